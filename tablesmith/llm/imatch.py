@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, ready
+from .common import partitions, ready
+from .sketch import slot_counts, slots
 from .words import mix, word_hashes
 
 #: The band: a term's documents over all documents. As a document has few terms, this bounds the lexicon.
 LOWEST, HIGHEST = 1 / 400, 1 / 4
-#: Terms of the lexicon at most: the share rises until they are no more (reported by ``lexicon``).
-MOST_TERMS = 400_000
+#: Terms that a lexicon can have; a corpus would need some thousand distinct terms in a document to exceed it.
+MOST_TERMS = 1_000_000
+SLOT_BITS = 19
 #: Fewest documents of a term of the lexicon, in small corpora.
 FEWEST = 2
 #: Rates of the subsets: one of 2 ** RATES[i] terms is in subset i.
@@ -29,69 +31,47 @@ RATES = (3,) * 4 + (4,) * 6 + (5,) * 8 + (6,) * 8 + (7,) * 6
 SEEDS = np.random.default_rng(11).integers(1, 1 << 63, len(RATES), dtype=np.uint64) | np.uint64(1)
 
 
-def _grouped(h: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-        yield np.unique(h[a:b])
-
-
 def lexicon(docs: DataFrame) -> np.ndarray:
     """Sorted hashes of the terms in the band, counted over all ``docs``.
 
-    A term with a share of LOWEST has at least that share in one of the tasks, so the first scan gathers what is
-    that frequent in some task, and a second scan counts exactly these.
+    The first scan counts terms on slots; a slot below the band holds no term in it. The second scan counts the
+    terms of the other slots exactly. Slots fill as documents grow in number, and so does the band's bound, so
+    few slots are left at any size.
     """
     spark = ready(docs.sparkSession)
     n = docs.count()
-    low = max(FEWEST / max(n, 1), LOWEST)
+    low, high = max(FEWEST, LOWEST * n), max(FEWEST, HIGHEST * n)
+    texts = docs.select("text")
+    heavy = spark.sparkContext.broadcast(slot_counts(texts, np.unique, SLOT_BITS) >= low)
 
-    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        known, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = heavy.value
+        known, counts, held, size = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
 
         def merge() -> None:
-            nonlocal known, counts, held
-            found, times = np.unique(np.concatenate(held), return_counts=True) if held else (known[:0], counts[:0])
-            both = np.concatenate([known, found])
-            known, back = np.unique(both, return_inverse=True)
+            nonlocal known, counts, held, size
+            found, times = np.unique(np.concatenate([known[:0], *held]), return_counts=True)
+            known, back = np.unique(np.concatenate([known, found]), return_inverse=True)
             counts = np.bincount(back, np.concatenate([counts, times]), len(known)).astype(np.int64)
-            held = []
+            held, size = [], 0
 
-        size = 0
         for b in batches:
             h, offsets = word_hashes(b.column(0))
-            rows += b.num_rows
-            for terms in _grouped(h, offsets):
-                held.append(terms)
-                size += len(terms)
+            keep = often[slots(h, SLOT_BITS)]
+            for a, z in zip(offsets[:-1], offsets[1:], strict=True):
+                held.append(np.unique(h[a:z][keep[a:z]]))
+                size += len(held[-1])
             if size > 2_000_000:
                 merge()
-                size = 0
         merge()
-        yield pa.RecordBatch.from_arrays([pa.array(known[counts >= low * rows].view(np.int64))], ["term"])
+        for at in range(0, len(known), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(known[at : at + (1 << 16)].view(np.int64)), pa.array(counts[at : at + (1 << 16)])], ["term", "n"])
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        counts = np.zeros(len(known) + 1, np.int64)
-        for b in batches:
-            h, offsets = word_hashes(b.column(0))
-            at = _find(known, h)
-            doc = np.repeat(np.arange(b.num_rows), np.diff(offsets))
-            counts += np.bincount(np.unique(at + doc * (len(known) + 1)) % (len(known) + 1), minlength=len(known) + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(counts[:-1])], ["term", "n"])
-
-    texts = docs.select("text")
-    while True:
-        frequent = texts.mapInArrow(often, "term long").distinct().limit(4 * MOST_TERMS).collect()
-        if len(frequent) < 4 * MOST_TERMS:
-            break
-        low *= 2
-    known = np.sort(np.array([r["term"] for r in frequent], np.int64).view(np.uint64))
-    if not len(known):
-        return known
-    shared = spark.sparkContext.broadcast(known)
     counted = texts.mapInArrow(exact, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    rows = counted.where((F.col("n") >= low * n) & (F.col("n") <= max(HIGHEST * n, FEWEST))).orderBy(F.desc("n"), "term").limit(MOST_TERMS).collect()
-    return np.sort(np.array([r["term"] for r in rows], np.int64).view(np.uint64))
+    rows = counted.where((F.col("n") >= low) & (F.col("n") <= high)).select("term").limit(MOST_TERMS + 1).toPandas()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms in the band; narrow it")
+    return np.sort(rows["term"].to_numpy(np.int64).view(np.uint64))
 
 
 def _find(known: np.ndarray, h: np.ndarray) -> np.ndarray:

@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import components, cut, ready
+from .sketch import slot_counts, slots
 from .words import mix, shingles, word_hashes
 
 #: Counters of the table by which shingles are ordered.
@@ -33,46 +33,16 @@ WANTED_BITS = 23
 NODE = "doc_id long, n long, set long, twin long, prefix array<long>, bits array<long>"
 
 
-def _counts(docs: DataFrame, n: int) -> np.ndarray:
-    """How often shingles fall on each of 2 ** SLOT_BITS slots, in steps of powers of two, over all documents."""
-    parts = 16
-    width = (1 << SLOT_BITS) // parts
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLOT_BITS, np.int64)
-        for b in batches:
-            h, offsets = word_hashes(b.column(0))
-            for a, z in zip(offsets[:-1], offsets[1:], strict=True):
-                if z > a:
-                    slot = np.unique(shingles(h[a:z], n)) >> np.uint64(64 - SLOT_BITS)
-                    if len(slot) > 4096:
-                        total += np.bincount(slot.astype(np.int64), minlength=1 << SLOT_BITS)
-                    else:
-                        np.add.at(total, slot.astype(np.int64), 1)
-        data = [total[i * width : (i + 1) * width].astype(np.int32).tobytes() for i in range(parts)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for part, data in zip(b.column("part").to_pylist(), b.column("data").to_pylist(), strict=True):
-                now = np.frombuffer(data, np.int32).astype(np.int64)
-                sums[part] = sums[part] + now if part in sums else now
-        for part, now in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([now.tobytes()], pa.binary())], ["part", "data"])
-
-    kept = docs.select("text").mapInArrow(count, "part int, data binary")
-    rows = kept.repartitionById(parts, F.col("part")).mapInArrow(add, "part int, data binary").collect()
-    total = np.zeros(1 << SLOT_BITS, np.int64)
-    for r in rows:
-        total[r["part"] * width : (r["part"] + 1) * width] += np.frombuffer(r["data"], np.int64)
+def _levels(docs: DataFrame, n: int) -> np.ndarray:
+    """How often shingles fall on each slot, in steps of powers of two, over all documents."""
+    total = slot_counts(docs.select("text"), lambda h: np.unique(shingles(h, n)), SLOT_BITS)
     return np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8)
 
 
 def _ordered(found: np.ndarray, level: np.ndarray) -> np.ndarray:
     """Distinct shingles, those on slots with lower counts first."""
     found = np.unique(found)
-    return found[np.argsort(level[(found >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], kind="stable")]
+    return found[np.argsort(level[slots(found, SLOT_BITS)], kind="stable")]
 
 
 def _nodes(docs: DataFrame, n: int, num: int, den: int, level) -> DataFrame:
@@ -166,7 +136,7 @@ def join(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFr
     """
     spark = ready(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    level = spark.sparkContext.broadcast(_counts(docs, n))
+    level = spark.sparkContext.broadcast(_levels(docs, n))
     whole = cut(_nodes(docs, n, num, den, level))
     single = whole.where("n > 0 and doc_id is not null").groupBy("set", "twin", "n").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("prefix", "bits"), "doc_id").alias("s"))
     nodes = cut(single.select("node", "set", "twin", "n", "s.prefix", *[F.col("s.bits")[i].alias(f"b{i}") for i in range(BITMAP)]))
