@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, jaccard, langid, mixing, packing, warc
+from . import hnsw, imatch, jaccard, langid, mixing, packing, pii, secrets, warc
 from .common import read
 
 
+#: The key of surrogates; a production job passes its own.
+SURROGATE_KEY = "change-me"
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.built_in(spark))
+    return found.select("doc_id", "start", "length", F.sha2("token", 256).alias("token_sha256"), "votes", "is_secret")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest_pages(read(spark, sf_dir, "pages"))
 
@@ -25,6 +35,15 @@ def op5_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return packing.digest(read(spark, sf_dir, "documents"), tokenizer)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymize(read(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return out.select("doc_id", "text", "n_entities")
+
+
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(read(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited(read(spark, sf_dir, "documents"))
 
@@ -38,4 +57,4 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(read(spark, sf_dir, "documents"), n=3, num=90, den=100).select("doc_id", F.col("n_shingles").cast("long"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op4_language_id, op5_packing, op8_imatch, op9_mixing, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op4_language_id, op5_packing, op6_pii, op7_hnsw, op8_imatch, op9_mixing, op10_ngram_jaccard)}

@@ -1,0 +1,49 @@
+import pytest
+
+from tablesmith.llm import secrets
+
+SCHEMA = "doc_id long, text string, source string, n_chars long, token string, votes string"
+HEX = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.built_in(spark)
+
+
+def test_forest_is_right_on_findings_it_has_not_seen(spark, forest):
+    from pyspark.sql import functions as F
+
+    rows = secrets.labelled_findings(spark, 6000).where("true").limit(6000)
+    rows = rows.select(forest.votes(secrets.features(F.col("token"), F.col("before"), F.col("after"), F.col("path"))).alias("v"), "label")
+    assert rows.where("(v >= 0.5) = (label = 1)").count() > 0.95 * rows.count()
+
+
+def test_scan_and_redaction(frame, forest):
+    long = "pad word " * 40000 + f'token = "{HEX}" end'
+    rows = [
+        (1, f'before token = "{HEX}" after', "src0", 1, "x", "y"),
+        (2, f"the commit {HEX} of", "src1", 1, "x", "y"),
+        (3, None, None, None, None, None),
+        (4, "", "s", 1, "x", "y"),
+        (5, f'TOKEN = "{HEX.upper()}"!! and {HEX}\n password: ghp_0123456789abcdefghijABCDEFGHIJ012345', None, 1, "x", "y"),
+        (6, "was 9807915762804490 and onthtionwhonattionnd 55.63.178.142", "s", 1, "x", "y"),
+        (7, long, "s", 1, "x", "y"),
+        (None, f'token = "{HEX}"', "s", 1, "x", "y"),
+        (1, f'before token = "{HEX}" after', "src0", 1, "x", "y"),
+    ]
+    docs = frame(rows, SCHEMA)
+    found = sorted((str(r.doc_id), r.start) for r in secrets.scan(docs, forest).where("is_secret").collect())
+    upper, key = rows[4][1].index(HEX.upper()), rows[4][1].index("ghp_")
+    assert [f for f in found if f[0] != "5"] == sorted([("1", 16), ("1", 16), ("7", long.index(HEX)), ("None", 9)])
+    assert {f[1] for f in found if f[0] == "5"} >= {upper, key}
+    clean = {r.doc_id: r for r in secrets.redact(docs, forest).collect()}
+    assert clean[1].text == 'before token = "[SECRET]" after' and clean[1].n_chars == len(clean[1].text)
+    assert clean[2].text == rows[1][1] and clean[3].text is None and clean[4].text == "" and clean[6].text == rows[5][1]
+    assert clean[7].text == long.replace(HEX, "[SECRET]")
+    assert secrets.redact(docs, forest).columns == docs.columns
+
+
+def test_empty_table(frame, forest):
+    assert secrets.scan(frame([], SCHEMA), forest).count() == 0
+    assert secrets.redact(frame([], SCHEMA), forest).count() == 0
