@@ -20,11 +20,13 @@ WINDOW = 4096
 END = 2
 #: Windows that one differencing fills, and the room it leaves in each for the spread between windows.
 GROUP = 32
-SLACK = 6
+SLACK = 12
 #: What is left of a document after its full windows is cut into pieces of this many tokens at most.
-PIECE = 512
+PIECE = 256
 #: Words whose ids a worker keeps at hand.
-CACHE = 900_000
+CACHE = 500_000
+#: Characters of texts that are taken apart together.
+TOGETHER = 1 << 20
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -115,7 +117,17 @@ class Encoder:
             self.runs[text] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.runs[text]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
+
+    def _together(self, texts: list[str]) -> list[bytes]:
         many = [_WORDS.findall(t.lower()) if _plain(t) else None for t in texts]
         new = {x for words in many if words for x in words if x not in self.words}
         if len(self.words) + len(new) > CACHE:
@@ -126,6 +138,18 @@ class Encoder:
         return [b"".join([self.run(x) for x in _SPACES.split(t) if x]) if words is None else b"".join([kept[x] for x in words]) for t, words in zip(texts, many, strict=True)]
 
 
+#: A worker's encoders, by the hash of their rules; they outlive its tasks.
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def encoder(rules: str) -> Encoder:
+    key = hash(rules)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(rules)
+    return _ENCODERS[key]
+
+
 #: The tokenizer's rule for words, fixed by its file, and the same rule for lowered Latin-1.
 RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa00-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
@@ -154,7 +178,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, first = Encoder(rules.value), TaskContext.get().partitionId() << 32
+        encode, first = encoder(rules.value), TaskContext.get().partitionId() << 32
         held: list[tuple] = []
         waiting: list[tuple] = []
         total = sequences = 0
