@@ -1,3 +1,3 @@
 """Queries over the driver's tables; each module registers its own."""
 
-from . import profiling, scaling  # noqa: F401
+from . import drifting, encoding, profiling, scaling, series  # noqa: F401
