@@ -1,3 +1,3 @@
 """Queries over the driver's tables; each module registers its own."""
 
-from . import drifting, encoding, featuring, profiling, resampling, scaling, series  # noqa: F401
+from . import drifting, encoding, evaluating, featuring, profiling, resampling, scaling, series  # noqa: F401
