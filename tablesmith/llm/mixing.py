@@ -42,7 +42,7 @@ def water_fill(sizes: list[int], weights: list[float], most: float) -> list[floa
                 out[i] = total * weights[i] / scale
             break
         for i in over:
-            out[i] = most * sizes[i]
+            out[i] = float(most * sizes[i])
         total -= sum(out[i] for i in over)
         free -= over
     return out
@@ -163,7 +163,8 @@ def apply(docs: DataFrame) -> DataFrame:
     rows = taken(docs).where("size > 0").withColumn("times", F.floor(F.col("taken") / F.col("size") + 0.5))
     marks = rows.groupBy("source").agg(F.min("times").alias("least"), F.max("times").alias("most"))
     marks = cut(rows.join(F.broadcast(marks.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).groupBy("s", "least").agg(F.max(F.when(F.col("times") > F.col("least"), F.col("key"))).alias("upto")))
-    keyed = sized(docs).where("size > 0").select(*[docs[c] for c in docs.columns], order_key("doc_id", F.xxhash64("text")).alias("__key"))
-    keyed = keyed.join(F.broadcast(marks), F.col("source").eqNullSafe(F.col("s")))
-    times = F.col("least") + F.when(F.col("__key") <= F.col("upto"), 1).otherwise(0)
+    marks = marks.withColumnsRenamed({c: f"__{c}" for c in marks.columns})
+    keyed = docs.where(F.regexp_count("text", F.lit(WORD)) > 0).withColumn("__key", order_key("doc_id", F.xxhash64("text")))
+    keyed = keyed.join(F.broadcast(marks), F.col("source").eqNullSafe(F.col("__s")))
+    times = F.col("__least") + F.when(F.col("__key") <= F.col("__upto"), 1).otherwise(0)
     return keyed.withColumn("__times", times).where("__times > 0").withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times").cast("long")))).select(*docs.columns)
