@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +22,26 @@ def ready(spark: SparkSession) -> SparkSession:
         now = spark.conf.get(key, None)
         if now is not None and not 0 < int(str(now).rstrip("bB")) <= most:
             spark.conf.set(key, str(most))
+    _ship(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tablesmith-"))
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Sends this library to the executors, unless they find it as the driver does: by PYTHONPATH or working folder."""
+    root = str(Path(__file__).resolve().parents[2])
+    here = [os.path.realpath(p or ".") for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
+    app = spark.sparkContext.applicationId
+    if root not in here and app not in _SHIPPED:
+        _SHIPPED.add(app)
+        with_package = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="tablesmith-"), "tablesmith"), "zip", root, "tablesmith")
+        spark.sparkContext.addPyFile(with_package)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, kept in the shared checkpoint folder so that lost executors don't cost them."""
     ready(df.sparkSession)
