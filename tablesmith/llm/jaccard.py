@@ -25,7 +25,7 @@ from .sketch import slot_counts, slots
 from .words import mix, shingles, word_hashes
 
 #: Counters of the table by which shingles are ordered.
-SLOT_BITS = 21
+SLOT_BITS = 20
 #: Longs of the bitmap of a set.
 BITMAP = 6
 #: Bits of the table that tells which documents' sets a later scan must bring.
@@ -97,10 +97,12 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "node long, items array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough."""
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough. Only the sets of nodes in pairs are brought."""
+    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = cut(_sets(docs, ids, n).join(ids, "node", "left_semi").dropDuplicates(["node"]))
     left, right = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    both = pairs.select("a", "b").distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    both = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(den * common >= num * (F.size("x") + F.size("y") - common)).select("a", "b")
 
@@ -159,9 +161,7 @@ def join(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFr
     first = first.where(_near(num, den, "x", "y")).select(F.least("x.g", "y.g").alias("a"), F.greatest("x.g", "y.g").alias("b"))
     inner = grouped.where("node <> g").select(F.col("g").alias("a"), F.col("node").alias("b"))
     pairs = cut(first.unionByName(inner).distinct())
-    involved = grouped.where("members > 1").select("node").unionByName(rows.select(F.col("g").alias("node"))).unionByName(grouped.join(rows.select("g").distinct(), "g", "left_semi").select("node")).distinct()
-    sets = cut(_sets(docs, involved, n).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    links = cut(_verified(pairs, sets, num, den))
+    links = cut(_verified(pairs, docs, n, num, den))
     label = _labels(nodes, links)
     # Then all pairs that may link and aren't connected yet: in groups, and between groups of a shingle.
     member = cut(grouped.join(label.hint("merge"), "node"))
@@ -187,9 +187,8 @@ def join(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFr
     spread = spread.where("ca <> cb").where(_near(num, den, "x", "y")).select("a", "b")
     rest = within.unionByName(spread).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = cut(rest.join(pairs, ["a", "b"], "left_anti"))
-    more = cut(_verified(rest, sets, num, den))
-    if more.limit(1).count():
-        links = links.unionByName(more)
+    if rest.limit(1).count():
+        links = links.unionByName(cut(_verified(rest, docs, n, num, den)))
         label = _labels(nodes, links)
     return whole, nodes.join(label, "node"), links
 
