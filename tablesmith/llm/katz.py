@@ -30,7 +30,7 @@ K = 5
 #: Added to every count by the base model.
 ADDED = 0.1
 #: Tokens that are packed together.
-TOKENS = 3_000_000
+TOKENS = 2_000_000
 #: Frequent words that get a short number in packed tables, and how often a task must see one to name it.
 SHORT, OFTEN = 65_000, 20
 #: A word with this share of a table, on average, is dealt by pair.
@@ -380,11 +380,13 @@ def score(docs: DataFrame) -> DataFrame:
     without training rows all words are unknown, with a probability of 1. An empty table gives no rows.
     """
     spark = ready(docs.sparkSession)
-    sc, buckets = spark.sparkContext, partitions(spark)
+    sc, buckets = spark.sparkContext, partitions(spark) * 3 // 2
     short, hot = _frequent(docs, buckets)
     short = np.unique(np.append(short, FIRST))
     fixed = sc.broadcast((short, hot, _held_words(docs.where("held_out or not train"))))
-    tables = _tables(docs, short, hot, buckets).rdd.map(lambda r: (r[0], (r[1], r[2], bytes(r[3])))).partitionBy(buckets, int)
+    # Both scans below use this one RDD, and so the files of one shuffle, which rows of bytes make without Python.
+    dealt = _tables(docs, short, hot, buckets).repartitionById(buckets, F.col("bucket"))
+    tables = dealt.rdd.map(lambda r: (r[0], (r[1], r[2], bytes(r[3]))))
     facts = tables.mapPartitions(_facts(short, hot)).collect()
     hot_counts: dict[int, int] = {}
     for f in facts:
