@@ -14,8 +14,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What may be a secret: a run of 16 to 512 characters of these that doesn't continue either way, or a private key's head.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=~-])[A-Za-z0-9_+/=~-]{16,512}(?![A-Za-z0-9_+/=~-])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+#: A private key: its block from BEGIN to END, or, where no END follows, its head and the lines of base64 after it.
+_KEY = "[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+BLOCK = rf"-----BEGIN {_KEY}(?:(?:(?!-----)[\s\S])*+-----END {_KEY}|(?:(?:\s|\\[nr])++[A-Za-z0-9+/=]{{16,}}+)*+)"
+#: What may be a secret: a private key, or a run of 16 or more characters that doesn't continue either way. '=' is only
+#: taken where it ends a run, so that in NAME=value the value is a candidate of its own.
+CANDIDATE = rf"{BLOCK}|(?<![A-Za-z0-9_+/~-])[A-Za-z0-9_+/~-]{{16,}}+(?:=++(?![A-Za-z0-9_+/~-]))?"
 #: Runs of letters alone are taken only after a word of NAMES.
 PLAIN = r"^[A-Za-z]+$"
 #: Characters looked at before and after a candidate.
@@ -35,7 +39,7 @@ SAMPLE_PATHS = ["test", "example", "fixture", "sample", "mock", "docs", "demo"]
 HEADS = ["AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "sk-", "AIza", "ya29", "eyJ", "npm_", "SG.", "-----BEGIN"]
 DICTIONARY = ["tion", "ing", "the", "and", "ent", "ion", "her", "for", "tha", "nth", "int", "ere", "ter", "est", "ers", "ati", "hat", "ate", "all", "eth", "hes", "ver", "his", "oft", "ith", "fth", "sth", "oth", "res", "ont", "file", "name", "data", "user", "test", "list", "page", "key", "value", "your", "here", "example", "token", "secret", "password", "change", "default", "config", "class", "function", "index", "content", "document", "version", "service"]
 
-FEATURES = ["length", "transitions", "digits", "uppers", "others", "distinct", "pairs", "covered", "hex", "decimal", "uuid", "repeats", "head", "named", "false_word", "sample_path", "assigned"]
+FEATURES = ["length", "transitions", "digits", "uppers", "others", "distinct", "pairs", "covered", "hex", "decimal", "uuid", "repeats", "head", "named", "false_word", "sample_path", "assigned", "names"]
 
 
 def _any(text: Column, words: list[str]) -> Column:
@@ -69,13 +73,15 @@ def features(token: Column, before: Column, after: Column, path: Column) -> Colu
         "false_word": _any(F.concat(near, F.lit(" "), F.lower(after)), FALSE_WORDS),
         "sample_path": _any(F.lower(path), SAMPLE_PATHS),
         "assigned": before.rlike("[=:]\\s*[\"'`]?$"),
+        "names": after.rlike("^=+[^=\\s]"),
     }
     return F.struct(*[values[n].cast("double").alias(n) for n in FEATURES])
 
 
 def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     """``n`` labelled findings (before, token, after, path, label) made by rule: secrets of known formats beside words
-    that name them, and digests, identifiers, numbers, paths, words and samples that aren't secrets."""
+    that name them, long ones, key blocks, NAME=value and some without a name, and digests, identifiers, numbers,
+    paths, words, names, embedded data and samples that aren't secrets."""
     digest = F.sha2(F.concat(F.lit("finding:"), F.col("id").cast("string")), 512)
     draw = lambda k, m: F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(m)).cast("int")
     pick = lambda k, words: F.element_at(F.array(*map(F.lit, words)), draw(k, len(words)) + 1)
@@ -87,23 +93,41 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     named = F.concat(pick("n", ["my ", "the ", "set ", "", "export ", "of "]), pick("k", NAMES), pick("o", [" = \"", "=", ": ", ": \"", " = '", " "]))
     prose = pick("p", ["commit ", "sha256: ", "checksum=", "md5 ", "revision ", "digest: ", "see ", "of ", "the ", "etag: \"", "order ", "invoice no. ", "tracking ", "was ", "in "])
     shift = draw("s", 3)
+    blob = F.concat(*[F.base64(F.unhex(F.sha2(F.concat(F.lit(f"part{i}:"), F.col("id").cast("string")), 384))) for i in range(16)])
+    long = F.substr(F.regexp_replace(blob, "[+/=]", ""), F.lit(1), F.lit(80) + draw("long", 900))
+    kind_of_key = pick("pem", ["RSA ", "EC ", "OPENSSH ", ""])
+    lines = F.concat_ws("\n", *[F.substr(blob, F.lit(64 * i + 1), F.lit(64)) for i in range(8)])
+    block = F.concat(F.lit("-----BEGIN "), kind_of_key, F.lit("PRIVATE KEY-----\n"), lines, F.lit("\n-----END "), kind_of_key, F.lit("PRIVATE KEY-----"))
+    glued = F.concat(pick("g", ["", "API_", "export MY_", "https://a.b/c?", "DB_"]), F.when(draw("case", 2) == 0, F.upper(pick("k", NAMES))).otherwise(pick("k", NAMES)), F.lit("="))
+    unnamed = pick("u", ["k: \"", "x = \"", "value: ", "v='", "set a = \"", "c=", "opt: \""])
     secrets = [
         F.substr(digest, F.lit(1), F.lit(40)), F.substr(digest, F.lit(1), F.lit(32) + 8 * shift), F.substr(code, F.lit(1), F.lit(24) + 8 * shift), F.concat(F.lit("ghp_"), F.substr(code, F.lit(1), F.lit(36))),
         F.concat(F.lit("AKIA"), F.substr(upper, F.lit(1), F.lit(16))), F.concat(F.lit("sk_live_"), F.substr(code, F.lit(1), F.lit(24))), F.substr(mixed, F.lit(1), F.lit(40)), F.concat(F.lit("eyJ"), F.substr(code, F.lit(1), F.lit(60))), F.upper(F.substr(digest, F.lit(1), F.lit(40))),
+        long, block,
     ]
     dashed = F.concat_ws("-", *[F.substr(digest, F.lit(a), F.lit(k)) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     others = [
         F.substr(digest, F.lit(1), F.lit(40)), F.substr(digest, F.lit(1), F.lit(32)), digest.substr(1, 64), dashed, F.substr(number, F.lit(1), F.lit(16) + shift), words, F.concat_ws("_", *[pick(f"v{i}", DICTIONARY) for i in range(5)]),
         F.concat(F.lit("src/"), words, F.lit("/"), pick("f", DICTIONARY)), F.repeat(pick("r", ["x", "0", "-", "=", "ab", "_"]), 18), F.concat(pick("y", ["YOUR_", "my_", "INSERT_"]), F.upper(pick("z", NAMES)), F.lit("_GOES_HERE")),
+        F.substr(blob, F.lit(1), F.lit(40) + draw("blob", 900)), F.concat(pick("y2", ["MY_SERVICE_", "PRODUCTION_", "INTERNAL_CLIENT_"]), F.upper(pick("z", NAMES)), pick("y3", ["_FOR_DEPLOY", "_OF_SERVICE", "_NUMBER_ONE"])),
     ]
-    rows = spark.range(min(n, MOST_FINDINGS))
     label = draw("label", 2)
-    secret, other = F.element_at(F.array(*secrets), draw("kind", len(secrets)) + 1), F.element_at(F.array(*others), draw("kind", len(others)) + 1)
-    filler = draw("kind", len(others)) >= 8
-    return rows.select(
-        F.when(label == 1, F.when((draw("bare", 6) == 0) & secret.rlike("^(ghp_|AKIA|sk_live_|eyJ)"), F.lit("use ")).otherwise(named)).otherwise(F.when(filler, named).otherwise(prose)).alias("before"),
-        F.when(label == 1, secret).otherwise(other).alias("token"),
-        pick("after", ["\" and", " of", "\"", "'", " the", ""]).alias("after"),
+    drawn = spark.range(min(n, MOST_FINDINGS)).select(
+        "id", label.alias("label"), draw("kind", len(others)).alias("kind"), F.element_at(F.array(*secrets), draw("kind", len(secrets)) + 1).alias("secret"), F.element_at(F.array(*others), draw("kind", len(others)) + 1).alias("other"),
+        named.alias("named"), prose.alias("prose"), glued.alias("glued"), unnamed.alias("unnamed"), F.substr(code, F.lit(1), F.lit(30)).alias("value"),
+    )
+    label, kind, secret = F.col("label"), F.col("kind"), F.col("secret")
+    filler, embedded, naming = kind.isin(8, 9), kind == 10, kind == 11
+    blob_before = pick("b", ["data:image/png;base64,", "src=\"data:font/woff;base64,", "integrity sha: \"", "digest: ", "checksum=", "the ", "\n"])
+    bare = (draw("bare", 6) == 0) & secret.rlike("^(ghp_|AKIA|sk_live_|eyJ|-----)")
+    form = draw("form", 6)
+    mixed_in = secret.rlike("[a-z]") & secret.rlike("[A-Z]") & secret.rlike("[0-9]")
+    secret_before = F.when(bare, F.lit("use ")).when((form == 0) & mixed_in, F.col("unnamed")).when(form <= 2, F.col("glued")).otherwise(F.col("named"))
+    other_before = F.when(filler, F.col("named")).when(embedded, blob_before).when(naming, pick("nb", ["export ", "\n", "set ", ""])).otherwise(F.col("prose"))
+    return drawn.select(
+        F.when(label == 1, secret_before).otherwise(other_before).alias("before"),
+        F.when(label == 1, secret).otherwise(F.col("other")).alias("token"),
+        F.when((label == 0) & naming, F.concat(F.lit("="), F.col("value"))).otherwise(pick("after", ["\" and", " of", "\"", "'", " the", ""])).alias("after"),
         F.when(label == 1, pick("path", ["src/app", "config", "deploy", "web"])).otherwise(pick("path", ["src/app", "config", "tests/example", "docs/sample", "web", "deploy"])).alias("path"),
         label.cast("double").alias("label"),
     )
@@ -116,7 +140,8 @@ class Forest:
         self.trees = [_parse(t.toDebugString) for t in model.trees]
 
     def votes(self, values: Column) -> Column:
-        return sum((_expression(t, values) for t in self.trees), F.lit(0.0)) / max(1, len(self.trees))
+        # Bound by a lambda, so that the features are worked out once and not in each node.
+        return F.transform(F.array(values), lambda v: sum((_expression(t, v) for t in self.trees), F.lit(0.0)) / max(1, len(self.trees)))[0]
 
 
 def _parse(text: str):
@@ -154,13 +179,11 @@ def findings(text: Column, path: Column, forest: Forest) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     pieces = F.split(text, CANDIDATE, -1)
     begin = lambda i: F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice(tokens, 1, i), F.lit(0), lambda s, x: s + F.length(x))
-    near = F.transform(
-        tokens,
-        lambda t, i: F.struct(
-            begin(i).cast("long").alias("start"), t.alias("token"),
-            F.right(F.element_at(pieces, i + 1), F.lit(BESIDE)).alias("before"), F.substr(F.element_at(pieces, i + 2), F.lit(1), F.lit(BESIDE)).alias("after"),
-        ),
-    )
+    # A candidate has 16 characters or more, so the three on either side, with what is between, hold all BESIDE.
+    piece, token = (lambda i: F.coalesce(F.get(pieces, i), F.lit(""))), (lambda i: F.coalesce(F.get(tokens, i), F.lit("")))
+    before = lambda i: F.right(F.concat(*[F.right(x, F.lit(BESIDE)) for k in (3, 2, 1) for x in (token(i - k), piece(i - k + 1))]), F.lit(BESIDE))
+    after = lambda i: F.left(F.concat(*[F.left(x, F.lit(BESIDE)) for k in (1, 2, 3) for x in (piece(i + k), token(i + k))]), F.lit(BESIDE))
+    near = F.transform(tokens, lambda t, i: F.struct(begin(i).cast("long").alias("start"), t.alias("token"), before(i).alias("before"), after(i).alias("after")))
     likely = F.filter(near, lambda c: ~c["token"].rlike(PLAIN) | (_any(F.lower(c["before"]), NAMES) > 0))
     judged = F.transform(likely, lambda c: F.struct(c["start"].alias("start"), c["token"].alias("token"), features(c["token"], c["before"], c["after"], F.coalesce(path, F.lit(""))).alias("f")))
     return F.transform(judged, lambda c: F.struct(c["start"].alias("start"), c["token"].alias("token"), forest.votes(c["f"]).alias("votes")))
