@@ -76,23 +76,32 @@ def k_means(df: DataFrame, key: str, vector: str, k: int, rounds: int = 20, tole
     return spark.createDataFrame(centers, "cluster int, center array<double>")
 
 
-def dbscan(df: DataFrame, key: str, vector: str, radius: float, least: int, most: int = 20_000) -> DataFrame:
+def dbscan(df: DataFrame, key: str, vector: str, radius: float, least: int, most: int = 20_000, rounds: int = 100) -> DataFrame:
     """(key, core, cluster): cores have ``least`` rows within the radius, themselves included; clusters are cores that
-    reach each other, named by their smallest key, and rows near a core; noise has none. Components iterate to a fixed point."""
+    reach each other, named by their smallest key, and rows near a core; noise has none. Labels hook onto smaller ones
+    nearby and jump to their labels' labels until none changes, which takes few rounds; more than ``rounds`` are an error."""
     if df.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} rows; index them first")
     other = df.select(F.col(key).alias("near"), F.col(vector).alias("__v"))
     near = df.select(key, vector).crossJoin(F.broadcast(other)).where(distance(F.col(vector), F.col("__v")) <= radius).select(key, "near").persist()
     cores = near.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(key)
     links = near.join(cores, key).join(cores.select(F.col(key).alias("near")), "near").select(key, "near").persist()
-    label = cores.withColumn("cluster", F.col(key)).persist()
-    for _ in range(50):
-        low = links.join(label.select(F.col(key).alias("near"), "cluster"), "near").groupBy(key).agg(F.min("cluster").alias("cluster"))
-        low = low.persist()
-        changed = low.join(label.withColumnRenamed("cluster", "was"), key).where("cluster <> was").limit(1).count()
-        label = low
+    # Each round is cut off from those before, whose plans would multiply; without a folder to share, in the executors.
+    cut = (lambda d: d.checkpoint()) if df.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.localCheckpoint())
+    label = cut(cores.withColumn("cluster", F.col(key)))
+    for _ in range(rounds):
+        low = links.join(label.select(F.col(key).alias("near"), "cluster"), "near").groupBy(key).agg(F.min("cluster").alias("low"))
+        both = label.join(low, key)
+        hooks = both.select(key, "low").unionByName(both.select(F.col("cluster").alias(key), "low"))
+        low = hooks.groupBy(key).agg(F.min("low").alias("low"))
+        jump = low.select(F.col(key).alias("low"), F.col("low").alias("cluster"))
+        new = cut(low.join(jump, "low").select(key, "cluster"))
+        changed = new.join(label.withColumnRenamed("cluster", "was"), key).where("cluster <> was").limit(1).count()
+        label = new
         if not changed:
             break
+    else:
+        raise RuntimeError(f"clusters still change after {rounds} rounds")
     border = near.join(label.select(F.col(key).alias("near"), "cluster"), "near").groupBy(key).agg(F.min("cluster").alias("reach"))
     own = label.select(key, F.col("cluster").alias("mine"))
     return df.select(key).join(own, key, "left").join(border, key, "left").select(key, F.col("mine").isNotNull().alias("core"), F.coalesce("mine", "reach").alias("cluster"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablesmith.functions import order_stats
-from tablesmith.operators import drift, encode, evaluate, govern, impute, sampling, scale, timeseries, transforms
+from tablesmith.operators import drift, encode, evaluate, govern, impute, learn, sampling, scale, timeseries, transforms
 from tablesmith.operators import features as fx
 
 
@@ -127,3 +127,14 @@ def test_rate_limits(spark):
 def test_backpressure():
     assert govern.backpressure([900, 900, 100], 1000) == [500, 250, 300]
     assert math.isclose(len(timeseries.walking(20, 10, 3, 2)), 3)
+
+
+def test_dbscan_joins_long_chains(spark):
+    # Two chains of 150 cores a unit apart, whose keys are shuffled along them.
+    rows = [(i * 37 % 300, [float(i + 50 * (i >= 150)), 0.0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "i long, v array<double>")
+    found = {r["i"]: r["cluster"] for r in learn.dbscan(df, "i", "v", 1.0, 2).collect()}
+    names = [min(k for k, _ in part) for part in (rows[:150], rows[150:])]
+    assert [found[k] for k, _ in rows] == [names[0]] * 150 + [names[1]] * 150
+    with pytest.raises(RuntimeError):
+        learn.dbscan(df, "i", "v", 1.0, 2, rounds=1)
