@@ -108,8 +108,9 @@ def page_hinkley(df: DataFrame, by: list[str], order: list[str], x: str, key: st
     return df.select(*dict.fromkeys([*by, *order, x, key])).groupBy(*by).applyInPandas(run, f"{key} {keys}, sum double, drift boolean")
 
 
-def adwin(df: DataFrame, by: list[str], order: list[str], x: str, key: str, delta: float = 0.002, most: int = 1000) -> DataFrame:
-    """(key, width, drift): an adaptive window per entity, cut where two parts differ by more than the Hoeffding bound."""
+def adwin(df: DataFrame, by: list[str], order: list[str], x: str, key: str, delta: float = 0.002, most: int = 10_000) -> DataFrame:
+    """(key, width, drift): an adaptive window per entity of ``most`` values at most, cut at the split whose two parts differ
+    most of all that differ by more than the Hoeffding bound. All splits of 10 or more values are tried, once a row."""
     keys = df.schema[key].dataType.simpleString()
 
     def run(pdf):
@@ -119,18 +120,16 @@ def adwin(df: DataFrame, by: list[str], order: list[str], x: str, key: str, delt
         window, widths, drifts = np.empty(0), [], []
         for v in pdf[x].astype(float):
             window = np.append(window, v)[-most:]
-            cut = False
-            while len(window) > 10:
-                n = len(window)
-                left = np.arange(5, n - 4)
+            n, cut = len(window), False
+            if n >= 10:
+                left = np.arange(1, n)
                 sums = np.cumsum(window)
-                gap = np.abs(sums[left - 1] / left - (sums[-1] - sums[left - 1]) / (n - left))
+                gap = np.abs(sums[:-1] / left - (sums[-1] - sums[:-1]) / (n - left))
                 m = 1 / (1 / left + 1 / (n - left))
-                limit = np.sqrt(np.log(4 * n / delta) / (2 * m))
-                over = np.flatnonzero(gap > limit)
-                if not len(over):
-                    break
-                window, cut = window[left[over[0]] :], True
+                over = np.where(gap > np.sqrt(np.log(n / delta) / (2 * m)), gap, 0.0)
+                best = int(over.argmax())
+                if over[best] > 0:
+                    window, cut = window[best + 1 :], True
             widths.append(len(window))
             drifts.append(cut)
         return pdf[[key]].assign(width=widths, drift=drifts)

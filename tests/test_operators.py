@@ -138,3 +138,34 @@ def test_dbscan_joins_long_chains(spark):
     assert [found[k] for k, _ in rows] == [names[0]] * 150 + [names[1]] * 150
     with pytest.raises(RuntimeError):
         learn.dbscan(df, "i", "v", 1.0, 2, rounds=1)
+
+
+def plain_adwin(series, delta=0.002, most=10_000):
+    window, out = [], []
+    for v in series:
+        window = [*window, v][-most:]
+        n, best, at, total, left = len(window), 0.0, 0, sum(window), 0.0
+        for split in range(1, n if n >= 10 else 0):
+            left += window[split - 1]
+            gap = abs(left / split - (total - left) / (n - split))
+            if gap > math.sqrt(math.log(n / delta) * (1 / split + 1 / (n - split)) / 2) and gap > best:
+                best, at = gap, split
+        window = window[at:]
+        out.append((len(window), at > 0))
+    return out
+
+
+def test_adwin_tries_all_splits_of_long_windows(spark):
+    wide = [float(i * 7919 % 10 < 1) for i in range(900)] + [float(i * 7919 % 10 < 3) for i in range(500)]
+    edge = [0.0] * 12 + [9.0, 9.0]
+    for series in (wide, edge):
+        df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(series)], "i int, g int, x double")
+        assert [(r["width"], r["drift"]) for r in drift.adwin(df, ["g"], ["i"], "x", "i").orderBy("i").collect()] == plain_adwin(series)
+    short = [(float(i % 10 == 0)) for i in range(400)]
+    df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(short)], "i int, g int, x double")
+    assert [(r["width"], r["drift"]) for r in drift.adwin(df, ["g"], ["i"], "x", "i", most=300).orderBy("i").collect()] == plain_adwin(short, most=300)
+    # A small drift after 4000 values that windows of 1000 don't find.
+    slow = [float(i * 7919 % 100 < (20 if i < 4000 else 29)) for i in range(8000)]
+    df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(slow)], "i int, g int, x double")
+    found = drift.adwin(df, ["g"], ["i"], "x", "i")
+    assert found.where("drift").count() > 0 and found.agg(F.max("width")).first()[0] > 4000
