@@ -88,29 +88,47 @@ def lof(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     return near.join(other, "near").join(density, key).groupBy(key).agg((F.avg("theirs") / F.max("density")).alias("lof"))
 
 
-def isolation_forest(df: DataFrame, key: str, columns: list[str], trees: int = 50, sample: int = 256, seed: int = 5) -> DataFrame:
-    """(key, score) by isolation trees that the driver grows on small samples; scoring is an expression over columns."""
+def isolation_forest(df: DataFrame, key: str, columns: list[str], trees: int = 100, sample: int = 256, seed: int = 5) -> DataFrame:
+    """(key, score) by isolation trees that the driver grows, each on min(sample, rows) rows drawn with replacement; rows
+    are scored by the trees' arrays, which are broadcast. A null counts as larger than every cut and isn't grown on."""
     import math
 
     import numpy as np
 
     rng = np.random.default_rng(seed)
     n = df.count()
-    rows = df.select(*columns).sample(min(1.0, 2 * trees * sample / max(n, 1)), seed=seed).limit(2 * trees * sample).toPandas().to_numpy(float)
+    rows = df.select(*columns).na.drop().sample(min(1.0, 2 * trees * sample / max(n, 1)), seed=seed).limit(2 * trees * sample).toPandas().to_numpy(float)
     if not len(rows):
         return df.select(key, F.lit(0.5).alias("score"))
     c = lambda m: 0.0 if m < 2 else 2 * (math.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m
-    limit = math.ceil(math.log2(min(sample, len(rows)) + 1))
-
-    def grow(x: np.ndarray, depth: int) -> Column:
-        j = int(rng.integers(len(columns)))
-        low, high = (x[:, j].min(), x[:, j].max()) if len(x) else (0, 0)
-        if depth >= limit or len(x) < 2 or low == high:
-            return F.lit(depth + c(len(x)))
-        cut = float(rng.uniform(low, high))
-        return F.when(F.col(columns[j]) < cut, grow(x[x[:, j] < cut], depth + 1)).otherwise(grow(x[x[:, j] >= cut], depth + 1))
-
-    size = min(sample, len(rows), 64)
-    depths = [grow(rows[rng.integers(len(rows), size=size)], 0) for _ in range(trees)]
-    mean = sum(depths, F.lit(0.0)) / len(depths)
-    return df.select(key, F.pow(F.lit(2.0), -mean / max(c(size), 1e-9)).alias("score"))
+    size = min(sample, len(rows))
+    limit = math.ceil(math.log2(size))
+    # Of each node: the column (-1 for a leaf), the cut, the nodes below and on or above it, and a leaf's depth.
+    nodes: list[list[float]] = []
+
+    def grow(x: np.ndarray, depth: int) -> int:
+        j, at = int(rng.integers(len(columns))), len(nodes)
+        low, high = x[:, j].min(initial=np.inf), x[:, j].max(initial=-np.inf)
+        nodes.append([-1, 0.0, at, at, depth + c(len(x))])
+        if depth < limit and len(x) > 1 and low < high:
+            cut = float(rng.uniform(low, high))
+            nodes[at] = [j, cut, grow(x[x[:, j] < cut], depth + 1), grow(x[x[:, j] >= cut], depth + 1), 0.0]
+        return at
+
+    roots = [grow(rows[rng.integers(len(rows), size=size)], 0) for _ in range(trees)]
+    shared = df.sparkSession.sparkContext.broadcast((np.array(nodes), roots))
+    norm = max(c(size), 1e-9)
+
+    def score(batches):
+        table, roots = shared.value
+        column, cut, below, above = table[:, 0].astype(int), table[:, 1], table[:, 2].astype(int), table[:, 3].astype(int)
+        for pdf in batches:
+            x, total = pdf[columns].to_numpy(float), np.zeros(len(pdf))
+            for root in roots:
+                at = np.full(len(x), root)
+                for _ in range(limit):
+                    at = np.where(x[np.arange(len(x)), column[at]] < cut[at], below[at], above[at])
+                total += table[at, 4]
+            yield pdf[[key]].assign(score=2.0 ** (-total / len(roots) / norm))
+
+    return df.select(*dict.fromkeys([key, *columns])).mapInPandas(score, f"`{key}` {df.schema[key].dataType.simpleString()}, score double")

@@ -147,4 +147,4 @@ def anomaly_lof(s, d):
 
 @query("anomaly_isolation_forest")
 def anomaly_isolation_forest(s, d):
-    return anomaly.isolation_forest(table(s, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice"), "p_partkey", ["p_size", "p_retailprice"], trees=20)
+    return anomaly.isolation_forest(table(s, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice"), "p_partkey", ["p_size", "p_retailprice"])

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablesmith.functions import order_stats
-from tablesmith.operators import drift, encode, evaluate, govern, impute, learn, sampling, scale, timeseries, transforms
+from tablesmith.operators import anomaly, drift, encode, evaluate, govern, impute, learn, sampling, scale, timeseries, transforms
 from tablesmith.operators import features as fx
 
 
@@ -169,3 +169,19 @@ def test_adwin_tries_all_splits_of_long_windows(spark):
     df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(slow)], "i int, g int, x double")
     found = drift.adwin(df, ["g"], ["i"], "x", "i")
     assert found.where("drift").count() > 0 and found.agg(F.max("width")).first()[0] > 4000
+
+
+def test_isolation_trees_grow_on_the_whole_sample(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(600, 2)))] + [(600, 9.0, 9.0), (601, None, 0.0)]
+    df = spark.createDataFrame(rows, "i int, a double, b double")
+    score = {r["i"]: r["score"] for r in anomaly.isolation_forest(df, "i", ["a", "b"]).collect()}
+    assert len(score) == 602 and max((v, k) for k, v in score.items() if k != 601)[1] == 600
+    # Normalised by c(256): one tree's scores are those of depths 1 to 8 and what a leaf's rows add.
+    c = lambda m: 0.0 if m < 2 else 2 * (math.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m
+    one = anomaly.isolation_forest(df, "i", ["a", "b"], trees=1).toPandas()["score"].to_numpy()
+    depths = -np.log2(one) * c(256)
+    allowed = np.array([d + c(m) for d in range(9) for m in range(257)])
+    assert np.abs(depths[:, None] - allowed[None]).min(1).max() < 1e-9 and depths.max() >= 8
