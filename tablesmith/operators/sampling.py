@@ -56,22 +56,32 @@ def near_miss(df: DataFrame, y: str, key: str, vector: str, k: int = 3, version:
     return df.where(F.col(y) == largest).join(kept, key, "left_semi").unionByName(others)
 
 
-def smote(df: DataFrame, y: str, key: str, vector: str, k: int = 5, minority=None) -> DataFrame:
-    """(source, near, vector): synthetic points of the smallest class on lines to one of the k nearest, until classes are even.
+def smote(df: DataFrame, y: str, key: str, vector: str, k: int = 5, minority=None, most: int = 20_000) -> DataFrame:
+    """(source, near, vector): synthetic points of each class below the largest (or of ``minority`` alone), on lines to one of
+    the k nearest that differ, until classes are even. Points are spread evenly over the rows that have such a neighbour.
 
-    A row without another of its class gives none.
+    A class without two different rows gives none.
     """
-    counts = sorted((r["count"], r[y]) for r in df.groupBy(y).count().collect())
-    minority = counts[0][1] if minority is None else minority
-    have, need = dict((c, n) for n, c in counts)[minority], counts[-1][0]
-    own = df.where(F.col(y) == minority)
-    near = neighbours(own, key, vector, k).where("dist > 0")
-    made = near.crossJoin(df.sparkSession.range(-(-(need - have) // max(1, have))).withColumnRenamed("id", "turn"))
-    picked = made.withColumn("__r", F.row_number().over(W.partitionBy(key, "turn").orderBy(draw(key, "near", "turn")))).where("__r = 1")
-    part = F.conv(F.substring(draw("turn", key), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    a, b = own.select(key, F.col(vector).alias("__a")), own.select(F.col(key).alias("near"), F.col(vector).alias("__b"))
-    joined = picked.join(a, key).join(b, "near").withColumn("u", part)
-    return joined.orderBy("turn", draw(key)).limit(need - have).select(F.col(key).alias("source"), "near", F.zip_with("__a", "__b", lambda p, q: p + F.col("u") * (q - p)).alias(vector))
+    counts = df.where(F.col(y).isNotNull()).groupBy(y).count().collect()
+    top = max((r["count"] for r in counts), default=0)
+    plan = [(r[y], r["count"], top - r["count"]) for r in counts if r["count"] < top and minority in (None, r[y])]
+    if any(n > most for _, n, _ in plan):
+        raise ValueError(f"a class to be raised has more than {most} rows; index or sample them")
+    plan = df.sparkSession.createDataFrame(plan, f"__y {df.schema[y].dataType.simpleString()}, __n long, __need long").select("__y", "__need")
+    own = df.join(F.broadcast(plan), F.col(y) == F.col("__y")).select(F.col(key).alias("source"), "__y", "__need", F.col(vector).alias("__a"))
+    other = own.select(F.col("source").alias("near"), "__y", F.col("__a").alias("__b"))
+    pairs = own.join(other, "__y").where("source <> near").select("source", "near", "__y", "__need", distance(F.col("__a"), F.col("__b")).alias("dist")).where("dist > 0")
+    near = pairs.withColumn("__k", F.row_number().over(W.partitionBy("source").orderBy("dist", "near"))).where(F.col("__k") <= k)
+    givers = near.where("__k = 1").select("source", "__y", "__need")
+    w = W.partitionBy("__y")
+    givers = givers.withColumn("__r", F.row_number().over(w.orderBy(draw("source"), "source"))).withColumn("__n", F.count(F.lit(1)).over(w))
+    times = F.expr("__need div __n") + (F.col("__r") <= F.col("__need") % F.col("__n")).cast("long")
+    turns = givers.withColumn("__t", times).where("__t > 0").select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__t") - 1)).alias("turn"))
+    picked = turns.join(near.groupBy("source").agg(F.collect_list("near").alias("__near")), "source")
+    picked = picked.withColumn("near", F.array_min(F.transform("__near", lambda x: F.struct(F.sha2(F.concat_ws(":", F.lit("draw"), F.col("source"), x, F.col("turn")), 256).alias("d"), x.alias("near"))))["near"])
+    part = F.conv(F.substring(draw("turn", "source"), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    joined = picked.select("source", "near", "turn").join(own.select("source", "__a"), "source").join(other.select("near", "__b"), "near").withColumn("u", part)
+    return joined.select("source", "near", F.zip_with("__a", "__b", lambda p, q: p + F.col("u") * (q - p)).alias(vector))
 
 
 def borderline(df: DataFrame, y: str, key: str, vector: str, m: int = 5, low: float = 0.3, high: float = 0.7) -> DataFrame:

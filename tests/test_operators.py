@@ -185,3 +185,15 @@ def test_isolation_trees_grow_on_the_whole_sample(spark):
     depths = -np.log2(one) * c(256)
     allowed = np.array([d + c(m) for d in range(9) for m in range(257)])
     assert np.abs(depths[:, None] - allowed[None]).min(1).max() < 1e-9 and depths.max() >= 8
+
+
+def test_smote_evens_all_classes_despite_copies(spark):
+    rows = [(i, 0, [float(i), 0.0]) for i in range(40)]
+    rows += [(100 + i, 1, [float(i // 8), 1.0]) for i in range(16)] + [(200 + i, 2, [float(i), 2.0]) for i in range(7)] + [(300 + i, 3, [5.0, 5.0]) for i in range(3)]
+    df = spark.createDataFrame(rows, "i long, y int, v array<double>")
+    made = sampling.smote(df, "y", "i", "v").collect()
+    assert sorted((c, sum(r["source"] // 100 == c for r in made)) for c in range(4)) == [(0, 0), (1, 24), (2, 33), (3, 0)]
+    at = {i: v for i, _, v in rows}
+    assert all(r["source"] // 100 == r["near"] // 100 and at[r["source"]] != at[r["near"]] and min(at[r["source"]][0], at[r["near"]][0]) <= r["v"][0] <= max(at[r["source"]][0], at[r["near"]][0]) for r in made)
+    assert len({r["source"] for r in made if r["source"] < 200}) == 16
+    assert {r["source"] // 100 for r in sampling.smote(df, "y", "i", "v", minority=2).collect()} == {2}
