@@ -22,7 +22,9 @@ LANDMARKS = 192
 SAMPLE = 3000
 ORDERS = (1, 2, 3)
 RIDGE = 1e-2
-#: Languages learned at most, the most frequent first.
+#: With many languages there are more of both, so that each has these at least.
+LEAST_LANDMARKS, LEAST_ROWS = 8, 64
+#: Languages that the model is built for: landmarks are dense rows over their n-grams. More are an error, none is left out.
 MOST_LANGUAGES = 64
 SLOT_BITS = 20
 #: Characters that one step of the n-gram count takes.
@@ -136,13 +138,17 @@ def _per_language(docs: DataFrame, counts: dict[str, int], most: int, salt: str)
 def fit(train: DataFrame) -> Model:
     """The model learned from ``train`` (doc_id, text, lang): rows without a text, a language or a letter don't teach.
 
-    Languages are counted over all rows; landmarks and documents are samples of whole texts, bounded by LANDMARKS
-    and SAMPLE, whose n-grams and features the executors work out.
+    Languages are counted over all rows and all are learned; more than MOST_LANGUAGES raise a ValueError. Landmarks and
+    documents are samples of whole texts, bounded by LANDMARKS and SAMPLE, or LEAST_LANDMARKS and LEAST_ROWS of each
+    language where that is more, whose n-grams and features the executors work out.
     """
     ready(train.sparkSession)
     rows = train.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(top) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; the model is not built for so many")
     counts = {r["lang"]: r["count"] for r in top}
+    landmarks, sample = max(LANDMARKS, LEAST_LANDMARKS * len(counts)), max(SAMPLE, LEAST_ROWS * len(counts))
     if not counts:
         return Model([])
 
@@ -160,8 +166,8 @@ def fit(train: DataFrame) -> Model:
             data = pa.array([None if g is None else g.tobytes() for g in found], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), data], ["doc_id", "lang", "data"])
 
-    near = _per_language(rows, counts, LANDMARKS, "landmarks").mapInArrow(collect_grams, "doc_id long, lang string, data binary").where("data is not null")
-    model = Model([np.frombuffer(r["data"], np.uint64) for r in spread(near.limit(4 * LANDMARKS + 64).collect(), LANDMARKS)])
+    near = _per_language(rows, counts, landmarks, "landmarks").mapInArrow(collect_grams, "doc_id long, lang string, data binary").where("data is not null")
+    model = Model([np.frombuffer(r["data"], np.uint64) for r in spread(near.limit(4 * landmarks + 64).collect(), landmarks)])
     shared = train.sparkSession.sparkContext.broadcast(model)
 
     def collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +177,8 @@ def fit(train: DataFrame) -> Model:
             data = pa.array([v.tobytes() if any(map(str.isalpha, t)) else None for v, t in zip(x, texts, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), data], ["doc_id", "lang", "data"])
 
-    found = _per_language(rows, counts, SAMPLE, "sample").mapInArrow(collect_features, "doc_id long, lang string, data binary").where("data is not null")
-    found = spread(found.limit(2 * SAMPLE + 64).collect(), SAMPLE)
+    found = _per_language(rows, counts, sample, "sample").mapInArrow(collect_features, "doc_id long, lang string, data binary").where("data is not null")
+    found = spread(found.limit(2 * sample + 64).collect(), sample)
     if found:
         model.fit(np.array([np.frombuffer(r["data"], np.float32) for r in found]), [r["lang"] for r in found])
     return model

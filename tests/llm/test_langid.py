@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tablesmith.llm import langid
 
 SCHEMA = "doc_id long, text string, lang string, lang_pred string, score string, source string"
@@ -38,3 +40,24 @@ def test_grams_are_exact():
     assert sorted(v.find(known)) == list(range(len(known)))
     other = np.setdiff1d(langid.grams("zyxw vuts"), known)
     assert (v.find(other) == v.size).all()
+
+
+def test_many_languages_are_all_learned_or_refused(frame, monkeypatch):
+    draw = random.Random(3)
+
+    def prose(lang):
+        letters = random.Random(lang).sample("abcdefghijklmnopqrstuvwxyz", 9)
+        return " ".join("".join(draw.choice(letters) for _ in range(draw.randint(2, 7))) for _ in range(60))
+
+    def corpus(n, each):
+        return frame([(i * n + lang, prose(lang), f"l{lang:02}", "s") for i in range(each) for lang in range(n)], "doc_id long, text string, lang string, source string")
+
+    with pytest.raises(ValueError):
+        langid.fit(corpus(langid.MOST_LANGUAGES + 1, 2))
+    built = []
+    init = langid.Model.__init__
+    monkeypatch.setattr(langid.Model, "__init__", lambda self, landmarks: (built.append(len(landmarks)), init(self, landmarks))[1])
+    docs = corpus(langid.MOST_LANGUAGES, 30)
+    model = langid.fit(docs)
+    assert len(model.names) == langid.MOST_LANGUAGES and built[0] > 6 * langid.MOST_LANGUAGES
+    assert langid.predict(docs, model).where("lang = lang_pred").count() > 0.9 * docs.count()
