@@ -43,9 +43,15 @@ def _ship(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared checkpoint folder so that lost executors don't cost them."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, kept in the shared checkpoint folder so that lost executors don't cost them.
+
+    The optimizer's guesses of size and content aren't kept: a guess for a join is a product, and over the rounds of
+    a loop its digits double with each. Adaptive execution measures instead.
+    """
+    spark = ready(df.sparkSession)
+    kept = df.checkpoint(eager=True)
+    plan = kept._jdf.queryExecution().logical()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.rdd(), kept._jdf.schema(), False), spark)
 
 
 def partitions(spark: SparkSession) -> int:

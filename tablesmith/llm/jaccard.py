@@ -1,126 +1,129 @@
 """Set-similarity join of documents by word n-grams: a grouped prefix join.
 
-A document's set is its distinct shingles. All sets are put in one order, rare shingles first, by counts kept
-in a table of fixed size; the order only has to be the same for all. Two sets of Jaccard similarity t or more
-share a shingle within their prefixes of size - ceil(t * size) + 1.
-
-Documents with equal sets make one node, and nodes with equal prefixes and sizes one group. Pairs of groups
-that share a prefix shingle are filtered by size, by the position of that shingle and by a bitmap of their sets,
-then expanded into members and verified. Since only reachability is asked for, each step first compares with
-one pivot of a group or of a shingle, and later steps leave out pairs that are connected already; a pair that
-is not connected is never left out, so components are exact.
+Documents with equal sets of shingles make one node, named by hashes of the set. ``shared.sets`` counts exactly how
+many shingles of each document no other document has, and leaves out those that have too many to be similar to
+anything; the sets of the others are brought once. They're put in one order, rare shingles first, by counts among
+these sets; the order only has to be the same for all. Two sets of Jaccard similarity t or more share a shingle
+within their prefixes of size - ceil(t * size) + 1.
+
+Nodes with equal prefixes and sizes make one group. Pairs of groups that share a prefix shingle are filtered by size
+and by the place of that shingle, then expanded into members, filtered by bitmaps of their sets and verified. Since
+only reachability is asked for, each step first compares with one pivot of a group or of a shingle, and later steps
+leave out pairs that are connected already; a pair that is not connected is never left out, so components are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+from .blocks import release
 from .common import components, cut, ready
-from .sketch import slot_counts, slots
+from .sketch import slots, tallied
 from .words import mix, shingles, word_hashes
 
-#: Counters of the table by which shingles are ordered.
-SLOT_BITS = 20
+#: Bounds of the bits of the table by which shingles are ordered; it grows with the shingles counted.
+FEWEST_BITS, MOST_BITS = 16, 22
 #: Longs of the bitmap of a set.
 BITMAP = 6
-#: Bits of the table that tells which documents' sets a later scan must bring.
-WANTED_BITS = 23
-NODE = "doc_id long, n long, set long, twin long, prefix array<long>, bits array<long>"
+#: Bounds of the bits of the table that tells which documents' sets a scan must bring, and its bits per document.
+WANTED_LEAST, WANTED_MOST, WANTED_EACH = 16, 25, 16
 
 
-def _levels(docs: DataFrame, n: int) -> np.ndarray:
-    """How often shingles fall on each slot, in steps of powers of two, over all documents."""
-    total = slot_counts(docs.select("text"), lambda h: np.unique(shingles(h, n)), SLOT_BITS)
-    return np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8)
-
-
-def _ordered(found: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Distinct shingles, those on slots with lower counts first."""
-    found = np.unique(found)
-    return found[np.argsort(level[slots(found, SLOT_BITS)], kind="stable")]
-
-
-def _nodes(docs: DataFrame, n: int, num: int, den: int, level) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = level.value
-        for b in batches:
-            h, offsets = word_hashes(b.column("text"))
-            rows = []
-            for doc, a, z in zip(b.column("doc_id").to_pylist(), offsets[:-1], offsets[1:], strict=True):
-                own = _ordered(shingles(h[a:z], n), rank)
-                size = len(own)
-                k = size - -(-num * size // den) + 1 if size else 0
-                one, two = own.sum(dtype=np.uint64), mix(own ^ np.uint64(0xABCD)).sum(dtype=np.uint64)
-                spread = np.bincount((mix(own * np.uint64(3)) % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
-                bits = np.packbits(spread.astype(np.uint8), bitorder="little").view(np.int64)
-                rows.append((doc, size, one.astype(np.int64), two.astype(np.int64), own[:k].view(np.int64), bits))
-            if rows:
-                doc, size, one, two, prefix, bits = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n", "set", "twin", "prefix", "bits"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, NODE)
-
-
-def _wanted(ids: DataFrame) -> np.ndarray:
-    """A bit table of fixed size in which each of ``ids`` has its bit; more ids than bits only make it less selective."""
-    slot = F.pmod(F.xxhash64("node"), F.lit(1 << WANTED_BITS))
-    words = ids.select((slot / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {1 << WANTED_BITS}) % 64 as int))").alias("bit"))
-    table = np.zeros(1 << (WANTED_BITS - 6), np.int64)
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+def _wanted(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A bit table in which each doc_id of ``ids`` has its bit, and its size; beyond the most bits it is only less selective."""
+    bits = min(WANTED_MOST, max(WANTED_LEAST, (n * WANTED_EACH).bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    words = ids.select((slot / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {1 << bits}) % 64 as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
     table[found["word"].to_numpy()] = found["bits"].to_numpy()
-    return table
+    return table, bits
 
 
-def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(node, items): the sets of the documents whose ids are in ``ids`` (node), and of a few more."""
-    ready(docs.sparkSession)
-    table = _wanted(ids)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+def _sets(docs: DataFrame, alive: DataFrame, n: int) -> DataFrame:
+    """(node, items): the sets of the nodes of ``alive`` (node, doc_id, n), each brought from one document."""
+    count = alive.count()
+    table, bits = _wanted(alive, count)
+    shared_table = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        wanted = shared_table.value
         for b in batches:
             slot = b.column("slot").to_numpy(zero_copy_only=False)
-            keep = np.flatnonzero((bits[slot >> 6] >> (slot & 63)) & 1)
+            keep = np.flatnonzero((wanted[slot >> 6] >> (slot & 63)) & 1)
             if len(keep):
-                b = b.take(pa.array(keep))
-                h, offsets = word_hashes(b.column("text"))
-                items = [np.unique(shingles(h[a:z], n)).view(np.int64) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(items, pa.list_(pa.int64()))], ["node", "items"])
+                h, offsets = word_hashes(b.column("text").take(pa.array(keep)))
+                own = [np.unique(shingles(h[a:z], n)) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([shared.names(x)[0] for x in own], pa.int64()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["node", "items"])
+        release()
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED_BITS)).alias("slot"), "text")
-    return rows.mapInArrow(run, "node long, items array<long>")
+    rows = docs.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("slot"), "text")
+    brought = rows.mapInArrow(run, "node long, items array<long>")
+    found = cut(brought.join(alive.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    shared_table.unpersist()
+    return found
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough. Only the sets of nodes in pairs are brought."""
-    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = cut(_sets(docs, ids, n).join(ids, "node", "left_semi").dropDuplicates(["node"]))
-    left, right = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    both = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(den * common >= num * (F.size("x") + F.size("y") - common)).select("a", "b")
+def _items(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    items = batch.column("items")
+    offsets = np.asarray(items.offsets)
+    return np.asarray(items.values).view(np.uint64)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _near(num: int, den: int, a: str, b: str, members: bool = False) -> F.Column:
-    """Whether sizes, the places of a shared prefix shingle and bitmaps allow that two sets are similar enough.
+def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, n, prefix, b0 ... of the bitmap) of ``sets``."""
+    tokens = int(sets.agg(F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("n")).first()["n"])
+    width = min(MOST_BITS, max(FEWEST_BITS, tokens.bit_length()))
+    total = tallied(sets, lambda b: [_items(b)[0]], width)
+    level = sets.sparkSession.sparkContext.broadcast(np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8))
 
-    The test is made at every shared shingle as if it were their first; for the first it is exact, and a pair
-    that is similar enough passes there. The members of a group differ beyond their prefixes, so with
-    ``members`` bitmaps are only compared where both groups have one member.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = level.value
+        for b in batches:
+            items, offsets = _items(b)
+            prefix, bits = [], []
+            for a, z in zip(offsets[:-1], offsets[1:], strict=True):
+                own = np.sort(items[a:z])
+                own = own[np.argsort(rank[slots(own, width)], kind="stable")]
+                prefix.append(own[: int(shared.most_single(len(own), num, den)) + 1].view(np.int64))
+                odd = np.bincount((mix(own * np.uint64(3)) % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
+                bits.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+            map_bits = np.array(bits, np.int64).reshape(-1, BITMAP)
+            columns = [b.column("node"), pa.array(np.diff(offsets), pa.int64()), pa.array(prefix, pa.list_(pa.int64())), *[pa.array(map_bits[:, i]) for i in range(BITMAP)]]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "prefix", *[f"b{i}" for i in range(BITMAP)]])
+
+    return cut(sets.mapInArrow(run, "node long, n long, prefix array<long>, " + ", ".join(f"b{i} long" for i in range(BITMAP))))
+
+
+def _near(num: int, den: int, x, y) -> F.Column:
+    """Whether sizes and the places of a shared prefix shingle allow that two sets are similar enough.
+
+    ``x`` and ``y`` give columns n and at. The test is made at every shared shingle as if it were their first; for
+    the first it is exact, and a pair that is similar enough passes there.
     """
-    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-    total = x("n") + y("n")
     size = den * F.least(x("n"), y("n")) >= num * F.greatest(x("n"), y("n"))
-    place = (den + num) * F.least(x("n") - x("at"), y("n") - y("at")) >= num * total
-    apart = sum((F.bit_count(x(f"b{i}").bitwiseXOR(y(f"b{i}"))) for i in range(BITMAP)), F.lit(0))
-    bits = (den + num) * apart <= (den - num) * total
-    return size & place & (bits | (x("members") > 1) | (y("members") > 1) if members else bits)
+    place = (den + num) * F.least(x("n") - x("at"), y("n") - y("at")) >= num * (x("n") + y("n"))
+    return size & place
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough: by size and bitmap, then by the sets themselves."""
+    bits = [f"b{i}" for i in range(BITMAP)]
+    facts = lambda side, s: nodes.select(F.col("node").alias(side), F.struct("n", *bits).alias(s))
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    apart = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in bits), F.lit(0))
+    likely = (den * F.least(x("n"), y("n")) >= num * F.greatest(x("n"), y("n"))) & ((den + num) * apart <= (den - num) * (x("n") + y("n")))
+    left = pairs.select("a", "b").join(facts("a", "x"), "a").join(facts("b", "y"), "b").where(likely).select("a", "b")
+    both = left.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(den * common >= num * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
 def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -129,77 +132,85 @@ def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return cut(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
 
 
-def join(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with their nodes, nodes with components, verified links between nodes) of ``docs`` (doc_id, text).
+def _unconnected(grouped: DataFrame, rows: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of nodes in one group, or in groups that share a prefix shingle, that may link and aren't connected.
+
+    Rows of a group or a shingle that belong to its main component are only compared with the others. Groups of a
+    shingle are dealt by bands of sizes too, of which a set only meets its own and the two beside it.
+    """
+    member = cut(grouped.join(label, "node"))
+    split = member.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    loose = cut(member.join(split.where("lo <> hi").select("g", F.col("lo").alias("main")), "g"))
+    minor = loose.where("component <> main").select("g", F.col("node").alias("a"), F.col("component").alias("ca"))
+    within = minor.join(loose.select("g", F.col("node").alias("b"), F.col("component").alias("cb")), "g").where("ca <> cb").select("a", "b")
+    lanes = cut(rows.join(split, "g"))
+    kinds = lanes.groupBy("token").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.mode("lo", True).alias("main")).where("least <> most").select("token", "main")
+    band = F.floor(F.log(F.col("n").cast("double")) / log(den / num) if num < den else F.col("n")).cast("long")
+    lanes = lanes.join(kinds, "token").withColumn("band", band).withColumn("major", (F.col("lo") == F.col("main")) & (F.col("hi") == F.col("main")))
+    facts = F.struct("g", "at", "n", "lo", "hi")
+    x = lanes.where(~F.col("major")).select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), facts.alias("x"))
+    y = lanes.select("token", "band", facts.alias("y"), "major")
+    apart = (F.col("x.lo") != F.col("y.lo")) | (F.col("x.hi") != F.col("y.hi")) | (F.col("x.lo") != F.col("x.hi"))
+    across = x.join(y, ["token", "band"]).where((F.col("major") | (F.col("x.g") < F.col("y.g"))) & apart & _near(num, den, lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
+    across = across.select(F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).distinct()
+    side = lambda c: member.select(F.col("g").alias(f"g{c}"), F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    spread = across.join(side("a"), "ga").join(side("b"), "gb").where("ca <> cb").select("a", "b")
+    return cut(within.unionByName(spread).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def join(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``docs`` with their sets' names, nodes that may link, with their components).
 
     Sets are of ``n``-word shingles and link when den * intersection >= num * union. A null or empty text has an
     empty set and links with nothing; so does a row without doc_id. Rows that repeat a doc_id are documents of
-    their own, of which the sets are compared by the first scan; equal sets always link.
+    their own, each with its set; equal sets always link. Other columns of ``docs`` are ignored.
     """
-    spark = ready(docs.sparkSession)
+    ready(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    level = spark.sparkContext.broadcast(_levels(docs, n))
-    whole = cut(_nodes(docs, n, num, den, level))
-    single = whole.where("n > 0 and doc_id is not null").groupBy("set", "twin", "n").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("prefix", "bits"), "doc_id").alias("s"))
-    nodes = cut(single.select("node", "set", "twin", "n", "s.prefix", *[F.col("s.bits")[i].alias(f"b{i}") for i in range(BITMAP)]))
+    whole = shared.sets(docs, n, num, den)
+    alive = cut(whole.where("alive").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    sets = _sets(docs, alive, n)
+    nodes = _prefixes(sets, num, den)
     # Groups of nodes with equal prefixes and sizes; the smallest node is the group's pivot and name.
     keyed = nodes.select("node", "n", F.xxhash64("prefix").alias("p"), F.hash("prefix").alias("q"))
-    heads = cut(keyed.groupBy("n", "p", "q").agg(F.min("node").alias("g"), F.count("*").alias("members")))
-    grouped = cut(keyed.join(heads.hint("merge"), ["n", "p", "q"]).select("node", "n", "g", "members"))
-    # Prefix shingles that two groups or more share.
-    tops = nodes.join(heads.select(F.col("g").alias("node")).hint("merge"), "node")
-    shared = tops.select("node", F.posexplode("prefix").alias("at", "token"))
-    tokens = cut(shared.groupBy("token").agg(F.count("*").alias("k"), F.min("node").alias("pivot")).where("k > 1").select("token", "pivot"))
-    rows = cut(shared.join(tokens.hint("merge"), "token").select("token", "pivot", F.col("node").alias("g"), "at"))
-    bits = [f"b{i}" for i in range(BITMAP)]
-    facts = nodes.select(F.col("node").alias("g"), "n", *bits)
-    rich = cut(rows.join(facts.hint("merge"), "g"))
-    # First the pivots: of a group with its members, of a shingle with its groups.
-    pivot = rich.where("g = pivot").select("token", *[F.col(c).alias(f"p_{c}") for c in ("g", "at", "n", *bits)])
-    first = rich.where("g <> pivot").join(cut(pivot).hint("merge"), "token")
-    first = first.select(F.struct("g", "at", "n", *bits).alias("x"), F.struct(*[F.col(f"p_{c}").alias(c) for c in ("g", "at", "n", *bits)]).alias("y"))
-    first = first.where(_near(num, den, "x", "y")).select(F.least("x.g", "y.g").alias("a"), F.greatest("x.g", "y.g").alias("b"))
-    inner = grouped.where("node <> g").select(F.col("g").alias("a"), F.col("node").alias("b"))
-    pairs = cut(first.unionByName(inner).distinct())
-    links = cut(_verified(pairs, docs, n, num, den))
+    heads = keyed.groupBy("n", "p", "q").agg(F.min("node").alias("g"))
+    grouped = cut(keyed.join(heads, ["n", "p", "q"]).select("node", "g"))
+    # Prefix shingles that two groups or more share, each with the smallest group as its pivot.
+    tops = nodes.join(grouped.where("node = g").select("node"), "node", "left_semi")
+    every = tops.select(F.col("node").alias("g"), "n", F.posexplode("prefix").alias("at", "token"))
+    tokens = every.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct("g", "at", "n")).alias("pivot")).where("k > 1")
+    rows = cut(every.join(tokens, "token").select("token", "g", "at", "n", "pivot"))
+    # First the pivots: of a group with its members, and with the pivot of the shingles that it shares most of.
+    near = rows.where("g <> pivot.g").where(_near(num, den, F.col, lambda c: F.col(f"pivot.{c}")))
+    first = cut(near.select(F.col("pivot.g").alias("a"), F.col("g").alias("b")).groupBy("a", "b").agg(F.count("*").alias("k")))
+    best = first.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
+    links = cut(_verified(best.select("a", "b").unionByName(grouped.where("node <> g").select(F.col("g").alias("a"), F.col("node").alias("b"))), nodes, sets, num, den))
     label = _labels(nodes, links)
-    # Then all pairs that may link and aren't connected yet: in groups, and between groups of a shingle.
-    member = cut(grouped.join(label.hint("merge"), "node"))
-    bitted = member.join(nodes.select("node", *bits), "node")
-    split = cut(member.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("g", F.col("lo").alias("main")))
-    loose = cut(bitted.join(split.hint("merge"), "g"))
-    side = loose.select("g", F.struct("node", "component", "n", *bits, F.lit(0).alias("at")).alias("x"), (F.col("component") != F.col("main")).alias("minor"))
-    others = loose.select("g", F.struct("node", "component", "n", *bits, F.lit(0).alias("at")).alias("y"))
-    within = side.where("minor").join(others, "g").where("x.component <> y.component").where(_near(num, den, "x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    ends = cut(member.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")))
-    lanes = cut(rich.join(ends.hint("merge"), "g"))
-    main = lanes.groupBy("token", "lo").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("lo", F.struct("k", "lo")).alias("main"), F.min("lo").alias("first"), F.max("lo").alias("last"))
-    mixed = lanes.groupBy("token").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least <> most").select("token")
-    main = cut(main.join(mixed, "token").select("token", "main"))
-    lanes = cut(lanes.join(main.hint("merge"), "token"))
-    x = lanes.where("lo <> main or hi <> main").select("token", F.struct("g", "at", "n", "lo", "hi", "members", *bits).alias("x"))
-    y = lanes.select("token", F.struct("g", "at", "n", "lo", "hi", "members", *bits).alias("y"), (F.col("lo").eqNullSafe(F.col("main")) & (F.col("hi") == F.col("main"))).alias("major"))
-    across = x.join(y, "token").where((F.col("major") | (F.col("x.g") < F.col("y.g"))) & ((F.col("x.lo") != F.col("y.lo")) | (F.col("x.hi") != F.col("y.hi")) | (F.col("x.lo") != F.col("x.hi")))).where(_near(num, den, "x", "y", members=True))
-    across = cut(across.select(F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).distinct())
-    wide = bitted.select("g", "node", "component", F.struct("n", *bits, F.lit(0).alias("at")).alias("f"))
-    spread = across.join(wide.select(F.col("g").alias("ga"), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("f").alias("x")), "ga")
-    spread = spread.join(wide.select(F.col("g").alias("gb"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("f").alias("y")), "gb")
-    spread = spread.where("ca <> cb").where(_near(num, den, "x", "y")).select("a", "b")
-    rest = within.unionByName(spread).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = cut(rest.join(pairs, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        links = links.unionByName(cut(_verified(rest, docs, n, num, den)))
-        label = _labels(nodes, links)
-    return whole, nodes.join(label, "node"), links
+    # Then the other pivots, and all pairs that may link, as far as they aren't connected yet.
+    for step in (lambda: _apart(first, label), lambda: _unconnected(grouped, rows.select("token", "g", "at", "n"), label, num, den)):
+        more = cut(_verified(step(), nodes, sets, num, den))
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            label = _labels(nodes, links)
+    return whole, label
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    side = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where("ca <> cb").select("a", "b")
 
 
 def similar(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of all ``docs``.
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of all ``docs`` (doc_id, text).
 
-    Without shingles, component_id is the document's own id; without doc_id it is null.
+    One row per row of ``docs``. Without shingles, component_id is the document's own id; without doc_id it is null.
+    Texts of any length are compared whole; repeated ids, ties and an empty table are no special cases, and columns
+    other than doc_id and text are ignored. Where rows that repeat an id are in several components, each keeps its own.
     """
-    whole, nodes, _ = join(docs, n, num, den)
-    named = cut(nodes.select("set", "twin", "n", "component"))
-    out = whole.join(named.hint("merge"), ["set", "twin", "n"], "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    whole, label = join(docs, n, num, den)
+    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    named = whole.join(label, "node", "left").select("doc_id", "n", F.when(linked, F.coalesce("component", "node")).alias("c"), F.when(linked & F.col("component").isNull(), F.col("twin")).otherwise(F.lit(0)).alias("t"))
+    named = cut(named)
+    heads = named.where("c is not null").groupBy("c", "t").agg(F.min("doc_id").alias("least"))
+    out = named.join(heads, ["c", "t"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))

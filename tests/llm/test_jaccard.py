@@ -60,3 +60,32 @@ def test_empty_table_and_missing_ids(frame):
     rows = [(None, "a b c d", "s", 1, "x", "y"), (3, "a b c d", "s", 1, "x", "y"), (3, "a b c d", "s", 1, "x", "y"), (2, "A b c d", "s", 1, "x", "y")]
     got = sorted((tuple(r) for r in jaccard.similar(frame(rows, SCHEMA)).collect()), key=str)
     assert got == [(2, 2, 2), (3, 2, 2), (3, 2, 2), (None, 2, None)]
+
+
+def test_repeated_ids_with_different_texts(frame):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(500)]
+    a, b = rng.choices(words, k=300), rng.choices(words, k=300)
+    c = b[:100] + ["other"] + b[101:]
+    rows = [(i, " ".join(t), "s", 1, "x", "y") for i, t in ((7, a), (7, b), (9, c), (10, a))]
+    got = sorted(tuple(r) for r in jaccard.similar(frame(rows, SCHEMA)).collect())
+    size = lambda t: len({tuple(t[i : i + 3]) for i in range(len(t) - 2)})
+    assert got == sorted([(7, size(a), 7), (7, size(b), 7), (9, size(c), 7), (10, size(a), 7)])
+
+
+def test_copies_in_many_partitions(frame):
+    rows = [(i, text, "s", 1, "x", "y") for i, text in enumerate(["p q r s t u v", "a b c d e f g h"] * 40)]
+    got = {tuple(r) for r in jaccard.similar(frame(rows, SCHEMA).repartition(16)).collect()}
+    assert got == {(i, 5 + i % 2, i % 2) for i in range(80)}
+
+
+def test_blocks_of_any_size_give_the_same(frame, monkeypatch):
+    from tablesmith.llm import shared
+
+    rows = corpus(5)
+    docs = frame(rows, SCHEMA).repartition(5)
+    want = brute(rows, 3, 80, 100)
+    for tokens, spare in ((500, 12), (20_000, 12), (3000, -30)):
+        monkeypatch.setattr(shared, "TOKENS", tokens)
+        monkeypatch.setattr(shared, "SPARE", spare)
+        assert {tuple(r) for r in jaccard.similar(docs, 3, 80, 100).collect()} == want
