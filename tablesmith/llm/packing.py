@@ -10,23 +10,26 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import release
 from .common import ready
+from .words import word_spans
 
 WINDOW = 4096
 #: Id that ends each document.
 END = 2
 #: Windows that one differencing fills, and the room it leaves in each for the spread between windows.
-GROUP = 32
-SLACK = 12
-#: What is left of a document after its full windows is cut into pieces of this many tokens at most.
-PIECE = 256
-#: Words whose ids a worker keeps at hand.
-CACHE = 500_000
-#: Characters of texts that are taken apart together.
-TOGETHER = 1 << 20
+GROUP = 128
+SLACK = 40
+#: Share of windows by which their number may rise before items are cut.
+WASTE = 1 / 64
+#: Runs whose ids a worker keeps at hand, runs that are encoded together, and bytes of text whose runs are looked up together.
+CACHE = 300_000
+TOGETHER = 512
+GROUP_BYTES = 2 << 20
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -70,105 +73,159 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return sets
 
 
-def windows(sizes: list[int], capacity: int = WINDOW) -> list[list[int]]:
-    """Items in near-equal windows, none above ``capacity``; the number of windows rises until all fit."""
+def windows(sizes: list[int], capacity: int = WINDOW, most: int | None = None) -> list[list[int]] | None:
+    """Items in near-equal windows, none above ``capacity``; the number of windows rises until all fit, or None beyond ``most``."""
     k = max(1, -(-sum(sizes) // capacity))
-    while True:
+    while most is None or k <= most:
         sets = difference(sizes, k)
         if max(sum(sizes[i] for i in s) for s in sets) <= capacity:
             return [s for s in sets if s]
         k += max(1, k // 64)
+    return None
+
+
+def fitted(sizes: list[int], capacity: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+    """(item, begin, end) in windows: whole items where WASTE of the windows more is enough for them.
+
+    Else items are cut where the fewest windows overflow, and what is cut off goes where there is room.
+    """
+    k = max(1, -(-sum(sizes) // capacity))
+    sets = windows(sizes, capacity, k + int(k * WASTE))
+    if sets is not None:
+        return [[(i, 0, sizes[i]) for i in s] for s in sets]
+    out, rooms, over = [], [], []
+    for s in difference(sizes, k):
+        own, at = [], 0
+        for i in sorted(s, key=lambda i: -sizes[i]):
+            fits = min(sizes[i], capacity - at)
+            if fits:
+                own.append((i, 0, fits))
+            if fits < sizes[i]:
+                over.append((i, fits, sizes[i]))
+            at += fits
+        if at < capacity:
+            rooms.append((capacity - at, len(out)))
+        out.append(own)
+    rooms.sort()
+    for i, begin, end in over:
+        while begin < end:
+            room, at = rooms.pop()
+            size = min(room, end - begin)
+            out[at].append((i, begin, begin + size))
+            begin += size
+            if size < room:
+                rooms.append((room - size, at))
+    return [x for x in out if x]
+
+
+#: What of a tokenizer file must read as here for runs between spaces to be encoded apart (fixed values of its format).
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_at_spaces(rules: dict) -> bool:
+    """Whether the tokenizer drops white space and joins nothing across it; other tokenizers get whole texts."""
+    first = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    parts = first.get("type") == "Split" and first.get("pattern") == {"Regex": RULE} and first.get("behavior") == "Removed" and first.get("invert") is True
+    added = all(not (x["lstrip"] or x["rstrip"] or re.search(r"\s", x["content"])) for x in rules["added_tokens"])
+    return parts and added and (rules.get("normalizer") or {}).get("normalizers") == NORMALIZERS
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that drops white space and joins nothing across it.
+    """Ids of texts. Each run of bytes between ASCII spaces is encoded once by the tokenizer and kept in a table.
 
-    Texts within Latin-1 are lowered and fall into words here, by the tokenizer's own rule, and each word is encoded
-    once and kept: new ones many at a time, by the same merges without the rule, with the last id of each word
-    telling them apart. Other texts fall into runs between ASCII white space, each encoded whole.
+    The table is arrays of bounded size; it is emptied when full. New runs are encoded many at a time, with an added
+    token between them that tells them apart.
     """
 
     def __init__(self, text: str):
         from tokenizers import Tokenizer
 
         rules = json.loads(text)
-        if rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != RULE:
-            raise ValueError("this tokenizer parts words by another rule")
-        self.tokenizer, self.words, self.runs = Tokenizer.from_str(text), {}, {}
-        plain = {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, rules["pre_tokenizer"]["pretokenizers"][1]]}}
-        self.merges = Tokenizer.from_str(json.dumps(rules | plain))
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-
-    def learn(self, new: list[str]) -> None:
-        groups = [new[i : i + 256] for i in range(0, len(new), 256)]
-        for part, e in zip(groups, self.merges.encode_batch_fast([" ".join(x) for x in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            data, at = ids.tobytes(), 0
-            for x, end in zip(part, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
-                self.words[x] = data[at:end]
-                at = end
-
-    def run(self, text: str) -> bytes:
-        if text not in self.runs:
-            if len(self.runs) > CACHE // 4:
-                self.runs.clear()
-            self.runs[text] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.runs[text]
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        held, size = [], 0
-        for text in texts:
-            held.append(text)
-            size += len(text)
-            if size >= TOGETHER:
-                yield from self._together(held)
-                held, size = [], 0
-        yield from self._together(held)
-
-    def _together(self, texts: list[str]) -> list[bytes]:
-        many = [_WORDS.findall(t.lower()) if _plain(t) else None for t in texts]
-        new = {x for words in many if words for x in words if x not in self.words}
-        if len(self.words) + len(new) > CACHE:
-            self.words.clear()
-            new = {x for words in many if words for x in words}
-        self.learn(list(new))
-        kept = self.words
-        return [b"".join([self.run(x) for x in _SPACES.split(t) if x]) if words is None else b"".join([kept[x] for x in words]) for t, words in zip(texts, many, strict=True)]
-
-
-#: A worker's encoders, by the hash of their rules; they outlive its tasks.
-_ENCODERS: dict[int, Encoder] = {}
+        self.tokenizer, self.apart = Tokenizer.from_str(text), splits_at_spaces(rules)
+        self.added = [x["content"] for x in rules["added_tokens"]]
+        self.between = rules["added_tokens"][0]["id"] if self.added else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.place = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.bounds, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
+
+    def one(self, run: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, np.uint32)
+
+    def learn(self, h: np.ndarray, runs: list[str]) -> None:
+        """Adds runs that aren't known, with their hashes in order."""
+        odd = [i for i, x in enumerate(runs) if self.between is None or any(t in x for t in self.added)]
+        found = {i: self.one(runs[i]) for i in odd}
+        plain = [i for i in range(len(runs)) if i not in found]
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        for part, e in zip(groups, self.tokenizer.encode_batch_fast([f" {self.added[0]} ".join([runs[i] for i in p]) for p in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.between)
+            found.update(zip(part, np.split(np.delete(ids, cuts), cuts - np.arange(len(cuts))), strict=True))
+        own = [found[i] for i in range(len(runs))]
+        place = np.arange(len(self.bounds) - 1, len(self.bounds) - 1 + len(own), dtype=np.int32)
+        self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in own]))
+        self.ids = np.concatenate([self.ids, *own])
+        at = np.searchsorted(self.known, h)
+        self.known, self.place = np.insert(self.known, at, h), np.insert(self.place, at, place)
+
+    def _places(self, h: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.known, h)
+        if len(self.known):
+            at[at == len(self.known)] = 0
+            return np.where(self.known[at] == h, self.place[at], -1)
+        return np.full(len(h), -1)
+
+    def _group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        h, offsets, start, end, data = word_spans(texts, lower=False)
+        each, first, back = np.unique(h, return_index=True, return_inverse=True)
+        where = self._places(each)
+        new = where < 0
+        if new.any():
+            if len(self.known) + new.sum() > CACHE or len(self.ids) > 4 * CACHE:
+                self.forget()
+                new[:] = True
+            self.learn(each[new], [data[a:z].tobytes().decode("utf-8") for a, z in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            where = self._places(each)
+        size, begin = np.diff(self.bounds)[where][back], self.bounds[where][back]
+        ends = np.append(0, np.cumsum(size))
+        at = np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])
+        return self.ids[at], ends[offsets]
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each of ``texts``, strings without nulls."""
+        if not self.apart:
+            for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False):
+                yield np.array(x.ids, np.uint32)
+            return
+        texts = texts.cast(pa.large_string())
+        sizes = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False))
+        for own in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes // GROUP_BYTES)) + 1) if len(texts) else []:
+            ids, offsets = self._group(texts.slice(own[0], len(own)))
+            for a, z in zip(offsets[:-1], offsets[1:], strict=True):
+                yield ids[a:z]
+
+
+#: A worker's encoder, by its rules; it outlives tasks.
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(rules: str) -> Encoder:
-    key = hash(rules)
-    if key not in _ENCODERS:
+    if rules not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(rules)
-    return _ENCODERS[key]
-
-
-#: The tokenizer's rule for words, fixed by its file, and the same rule for lowered Latin-1.
-RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa00-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
-_BEYOND = re.compile("[^\x00-\xff]|<\\|")
-_SPACES = re.compile("[ \t-\r]+")
-
-
-def _plain(text: str) -> bool:
-    """Whether the text is within Latin-1 and can hold no special token."""
-    return _BEYOND.search(text) is None
+        _ENCODERS[rules] = Encoder(rules)
+    return _ENCODERS[rules]
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """Pieces of all ``docs`` (doc_id, text) with their ids (little-endian unsigned 32-bit) and places.
 
     ``tokenizer`` is the path of a tokenizer file, read on the driver. A null or empty text is its end id alone.
-    A document's full windows are sequences of their own; the rest is cut into pieces, and as many pieces as fill
-    GROUP windows are packed together, within the task that reads them: nothing is shuffled, and equal or skewed
-    keys don't matter. sequence_id holds the task's number and the sequence's number in it. Rows that repeat a
+    A document's full windows are sequences of their own, as no other piece fits beside them. What is left of documents
+    is packed whole, as much as fills GROUP windows together, so the last document of such a group is cut, and others
+    only where the number of windows would rise by more than WASTE. This happens within the task that reads them: nothing is shuffled, and equal or skewed keys don't matter. sequence_id holds the task's number and the sequence's number in it. Rows that repeat a
     doc_id are packed as documents of their own; an empty table gives no pieces; other columns are ignored.
     """
     ready(docs.sparkSession)
@@ -194,7 +251,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
 
         def settle() -> None:
             nonlocal waiting, total
-            place([[waiting[i] for i in s] for s in windows([len(x[2]) for x in waiting], window)] if waiting else [])
+            sets = fitted([len(x[2]) for x in waiting], window) if waiting else []
+            place([[(waiting[i][0], waiting[i][1] + a, waiting[i][2][a:z], waiting[i][3]) for i, a, z in s] for s in sets])
             waiting, total = [], 0
 
         def out() -> pa.RecordBatch:
@@ -204,15 +262,14 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
 
         full = GROUP * (window - SLACK)
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            for doc, data in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
-                ids = np.append(np.frombuffer(data, "<u4"), np.uint32(END)).astype("<u4")
+            for doc, own in zip(batch.column("doc_id").to_pylist(), encode(pa.compute.fill_null(batch.column("text"), "")), strict=True):
+                ids = np.append(own, np.uint32(END)).astype("<u4")
                 n, at = len(ids), 0
                 while n - at >= window:
                     place([[(doc, at, ids[at : at + window], n)]])
                     at += window
                 while at < n:
-                    size = min(PIECE, n - at, full - total)
+                    size = min(n - at, full - total)
                     waiting.append((doc, at, ids[at : at + size], n))
                     at, total = at + size, total + size
                     if total == full:
@@ -222,6 +279,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
         settle()
         if held:
             yield out()
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

@@ -18,7 +18,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-_VALUE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER] | np.uint64(1)
+_EXACT = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_VALUE = _EXACT[_LOWER]
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -41,34 +42,40 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _hash(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of ``data`` and their starts; no word crosses a position in ``cuts``."""
+def _hash(data: np.ndarray, cuts: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of ``data``, their first and their last bytes; no word crosses a position in ``cuts``."""
     word = ~_SPACE[data]
     edge = np.zeros(len(word) + 1, bool)
     edge[cuts] = edge[0] = edge[-1] = True
     edge[1:-1] |= word[1:] != word[:-1]
     begin, end = np.flatnonzero(word & edge[:-1]), np.flatnonzero(word & edge[1:])
     up, down = _powers(len(data))
-    value = _VALUE[data] * up[: len(data)]
+    value = values[data] * up[: len(data)]
     total = np.cumsum(value, dtype=np.uint64)
     h = (total[end] - total[begin] + value[begin]) * down[begin]
-    return mix(h ^ (end - begin + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), begin
+    return mix(h ^ (end - begin + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), begin, end
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of ``texts`` in order, and the offsets of each text's words; a null has none."""
+    h, offsets, *_ = word_spans(texts)
+    return h, offsets
+
+
+def word_spans(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``word_hashes``, with each word's first byte, the one after its last, and the bytes; unless ``lower``, case counts."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_binary())
     if texts.null_count:
         texts = texts.fill_null(b"")
-    n = len(texts)
+    n, none = len(texts), np.empty(0, np.int64)
     if n == 0:
-        return np.empty(0, np.uint64), np.zeros(1, np.int64)
+        return np.empty(0, np.uint64), np.zeros(1, np.int64), none, none, np.empty(0, np.uint8)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and len(raw) else np.empty(0, np.uint8)
-    parts, starts, at, last = [], [], int(offsets[0]), int(offsets[-1])
+    parts, starts, ends, at, last = [], [], [], int(offsets[0]), int(offsets[-1])
     while at < last:
         stop = min(at + CHUNK, last)
         while stop < last:  # to the next space or end of a text
@@ -81,14 +88,15 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
                 break
             stop += len(ahead)
         inner = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, stop, "right")] - at
-        h, begin = _hash(data[at:stop], inner)
+        h, begin, end = _hash(data[at:stop], inner, _VALUE if lower else _EXACT)
         parts.append(h)
         starts.append(begin + at)
+        ends.append(end + (at + 1))
         at = stop
     if not parts:
-        return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
-    h, start = np.concatenate(parts), np.concatenate(starts)
-    return h, np.searchsorted(start, offsets, "left").astype(np.int64)
+        return np.empty(0, np.uint64), np.zeros(n + 1, np.int64), none, none, data
+    h, start, end = np.concatenate(parts), np.concatenate(starts), np.concatenate(ends)
+    return h, np.searchsorted(start, offsets, "left").astype(np.int64), start, end, data
 
 
 def shingles(h: np.ndarray, n: int) -> np.ndarray:

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -13,10 +14,18 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", "ab\x1dc it's ŁÓDŹ ǅ", bytes(range(1, 256)).decode("latin-1"), "É <|x|> ²³½", "<|endoftext|> hi É ̈", "İstanbul ΣΑΣ 123", " \xa0 T̈ ", "naïve café's don't", "日本語 テスト"]
 
 
-def test_encoder_gives_the_tokenizers_ids():
-    encode, plain = packing.Encoder(open(PATH, encoding="utf-8").read()), Tokenizer.from_file(PATH)
-    for text, data in zip(ODD, encode(ODD), strict=True):
-        assert np.frombuffer(data, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+def test_encoder_gives_the_tokenizers_ids(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 12)
+    monkeypatch.setattr(packing, "TOGETHER", 3)
+    monkeypatch.setattr(packing, "GROUP_BYTES", 64)
+    plain = Tokenizer.from_file(PATH)
+    texts = [*ODD, "x" * 500, "the The THE <|ENDOFTEXT|> <|endoftext|>x", *ODD]
+    for rules in (open(PATH, encoding="utf-8").read(), open(PATH, encoding="utf-8").read().replace('"NFC"', '"NFKC"')):
+        encode, plain = packing.Encoder(rules), Tokenizer.from_str(rules)
+        assert encode.apart == ("NFKC" not in rules)
+        for text, ids in zip(texts, encode(pa.array(texts)), strict=True):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+        assert list(encode(pa.array([], pa.string()))) == [] and len(encode.known) <= 60
 
 
 def test_differencing():
@@ -28,6 +37,18 @@ def test_differencing():
     assert all(sum([5, 5, 5][i] for i in s) <= 8 for s in packing.windows([5, 5, 5], 8)) and packing.difference([], 2) == [[], []]
 
 
+def test_items_are_cut_only_where_windows_would_be_wasted():
+    rng = random.Random(4)
+    for sizes in ([10] * 7, [6] * 9, [rng.randint(1, 10) for _ in range(400)], [1], [10, 9, 1]):
+        sets = packing.fitted(sizes, 10)
+        assert len(sets) <= -(-sum(sizes) // 10) * (1 + packing.WASTE) and all(sum(z - a for _, a, z in s) <= 10 and all(a < z for _, a, z in s) for s in sets)
+        parts = sorted(x for s in sets for x in s)
+        for i, size in enumerate(sizes):
+            own = [(a, z) for j, a, z in parts if i == j]
+            assert own[0][0] == 0 and own[-1][1] == size and all(x[1] == y[0] for x, y in zip(own, own[1:]))
+    assert sorted(packing.fitted([10, 9, 1], 10)) == [[(0, 0, 10)], [(1, 0, 9), (2, 0, 1)]]
+
+
 def test_pieces_rebuild_documents(spark, frame):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma", "été"], k=rng.choice([1, 30, 400, 5000]))), "x", "y") for i in range(150)]
