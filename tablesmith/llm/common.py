@@ -49,9 +49,20 @@ def cut(df: DataFrame) -> DataFrame:
     a loop its digits double with each. Adaptive execution measures instead.
     """
     spark = ready(df.sparkSession)
-    kept = df.checkpoint(eager=True)
-    plan = kept._jdf.queryExecution().logical()
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.rdd(), kept._jdf.schema(), False), spark)
+    plan = df.checkpoint(eager=True)._jdf.queryExecution().logical()
+    return _framed(spark, plan.rdd(), df)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, which ends in a shuffle, such that several jobs read the files of that one shuffle.
+
+    Files that go with an executor are made again from the input.
+    """
+    return _framed(ready(df.sparkSession), df._jdf.queryExecution().toRdd(), df)
+
+
+def _framed(spark: SparkSession, rows, like: DataFrame) -> DataFrame:
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, like._jdf.schema(), False), spark)
 
 
 def partitions(spark: SparkSession) -> int:

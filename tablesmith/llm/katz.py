@@ -17,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, ready
+from .blocks import BLOCK, batches, dealt, pack, read, release, small, text_bytes, unpack
+from .common import ready, shuffled
 from .sketch import PARTS, slots
 from .words import mix, word_hashes
 
@@ -29,8 +29,10 @@ from .words import mix, word_hashes
 K = 5
 #: Added to every count by the base model.
 ADDED = 0.1
-#: Tokens that are packed together.
-TOKENS = 2_000_000
+#: Tokens that are packed together, and at most about as many that one bucket gets.
+TOKENS = 1_000_000
+#: Bytes of text per token, at least.
+TOKEN_BYTES = 5
 #: Frequent words that get a short number in packed tables, and how often a task must see one to name it.
 SHORT, OFTEN = 65_000, 20
 #: A word with this share of a table, on average, is dealt by pair.
@@ -40,24 +42,6 @@ SEEN_BITS = 22
 FIRST, LAST = np.uint64(0x1F0E1D2C3B4A5968), np.uint64(0x6C8E9CF570932BD5)
 
 
-def _pack(arrays: dict[str, np.ndarray]) -> bytes:
-    """Arrays by bytes of equal weight, which compress better."""
-    planes = {k: (a.dtype.str, np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()) for k, a in arrays.items()}
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(planes))
-
-
-def _unpack(data: bytes) -> dict[str, np.ndarray]:
-    out = {}
-    for k, (kind, raw) in pickle.loads(zstandard.ZstdDecompressor().decompress(data)).items():
-        size = np.dtype(kind).itemsize
-        out[k] = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
-    return out
-
-
-def _small(a: np.ndarray) -> np.ndarray:
-    return a.astype(np.uint8 if a.max(initial=0) < 256 else np.uint16 if a.max(initial=0) < 65536 else np.uint32)
-
-
 def _frequent(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent words' hashes, sorted, and those to be dealt by pair. Only sizes and evenness depend on them."""
 
@@ -79,9 +63,10 @@ def _frequent(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         merge()
         keep = counts >= OFTEN
         yield pa.RecordBatch.from_arrays([pa.array(known[keep].view(np.int64)), pa.array(counts[keep])], ["word", "n"])
+        release()
 
-    rows = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(SHORT).toPandas()
-    words, n = rows["word"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    rows = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(SHORT).toArrow()
+    words, n = rows["word"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     return np.sort(words), np.sort(words[n > HOT * n.sum() / buckets])
 
 
@@ -125,7 +110,7 @@ def _tables(docs: DataFrame, short: np.ndarray, hot: np.ndarray, buckets: int) -
     """(bucket, kind, source, data): packed occurrences (kind 0), and each source's documents (kind 1)."""
     shared = docs.sparkSession.sparkContext.broadcast((short, hot))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         short, hot = shared.value
@@ -162,18 +147,16 @@ def _tables(docs: DataFrame, short: np.ndarray, hot: np.ndarray, buckets: int) -
                     rare, at = np.unique(before[own][code[before[own]] == len(short)], return_inverse=True)
                     h = code[before[own]]
                     h[h == len(short)] = len(short) + at
-                    rows.append(_pack({"w": word[own[first]], "k": _small(np.diff(np.append(first, len(own)))), "rare": known[rare], "h": h.astype(np.uint32), "doc": _small(doc[own]), "n": _small(times[own]), "t": np.packbits(learned[doc[own]])}))
+                    rows.append(pack({"w": word[own[first]], "k": small(np.diff(np.append(first, len(own)))), "rare": known[rare], "h": h.astype(np.uint32), "doc": small(doc[own]), "n": small(times[own]), "t": np.packbits(learned[doc[own]])}))
                     where.append(i)
             rows.append(pickle.dumps((ids, held, (n + 1).tolist())))
             where.append(source % buckets)
             kind = [0] * (len(rows) - 1) + [1]
             ids, held, train, words, sizes = [], [], [], [], []
-            for a in range(0, len(rows), 16):
-                part = slice(a, a + 16)
-                yield pa.RecordBatch.from_arrays([pa.array(where[part], pa.int32()), pa.array(kind[part], pa.int32()), pa.array([source] * len(rows[part]), pa.int64()), pa.array(rows[part], pa.binary())], ["bucket", "kind", "source", "data"])
+            yield from batches([(i, source, k, x) for i, k, x in zip(where, kind, rows, strict=True)])
 
         size = 0
-        for b in batches:
+        for b in found:
             h, offsets = word_hashes(b.column("text"))
             words.append(h)
             sizes += np.diff(offsets).tolist()
@@ -186,29 +169,58 @@ def _tables(docs: DataFrame, short: np.ndarray, hot: np.ndarray, buckets: int) -
                 size = 0
         if ids:
             yield from out()
+        release()
 
-    return docs.select("doc_id", "train", "held_out", "text").mapInArrow(run, "bucket int, kind int, source long, data binary")
+    return docs.select("doc_id", "train", "held_out", "text").mapInArrow(run, BLOCK)
+
+
+def _step(frame: DataFrame, run) -> DataFrame:
+    """``run`` over the rows (bucket, source, kind, data) of each partition, which it holds in memory one bucket at a time."""
+
+    def each(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in run(read(found)):
+            yield from batches([row])
+        release()
+
+    return frame.mapInArrow(each, BLOCK)
 
 
 class Table:
     """One bucket's occurrences, with the counts of training documents."""
 
     def __init__(self, rows: list[tuple[int, bytes]], short: np.ndarray):
-        parts = []
+        names = ("w", "h", "doc", "n", "at", "learned")
+        parts: dict[str, list[np.ndarray]] = {k: [] for k in names}
         self.sources = [s for s, _ in rows]
         for i, (_, data) in enumerate(rows):
-            x = _unpack(data)
+            x = unpack(data)
             h = np.concatenate([short, x["rare"]])[x["h"]]
-            learned = np.unpackbits(x["t"])[: len(h)].astype(bool)
-            parts.append((np.repeat(x["w"], x["k"].astype(np.int64)), h, x["doc"].astype(np.int32), x["n"].astype(np.int32), np.full(len(h), i, np.int32), learned))
-        self.w, self.h, self.doc, self.n, self.at, learned = (np.concatenate(c) for c in zip(*parts, strict=True))
-        taught = self.n * learned
-        self.words, self.word = np.unique(self.w, return_inverse=True)
+            own = (np.repeat(x["w"], x["k"].astype(np.int64)), h, x["doc"].astype(np.int32), x["n"].astype(np.int32), np.full(len(h), i, np.int32), np.unpackbits(x["t"])[: len(h)].astype(bool))
+            for k, a in zip(names, own, strict=True):
+                parts[k].append(a)
+        rows.clear()
+        for k in names:
+            setattr(self, k, np.concatenate(parts.pop(k)))
+        taught = self.n * self.learned
+        del self.learned
+        self.words, self.word = self._numbered(self.w)
         self.count = np.bincount(self.word, taught, len(self.words)).astype(np.int64)
-        pairs, first, self.pair = np.unique(mix(self.w) ^ (self.h * np.uint64(0x2545F4914F6CDD1D)), return_index=True, return_inverse=True)
+        pairs = mix(self.w) ^ (self.h * np.uint64(0x2545F4914F6CDD1D))
+        del self.w
+        pairs, self.pair, first = self._numbered(pairs, True)
         self.pair_count = np.bincount(self.pair, taught, len(pairs)).astype(np.int64)
         self.pair_word, self.pair_h = self.word[first], self.h[first]
 
+    @staticmethod
+    def _numbered(keys: np.ndarray, first: bool = False):
+        """Distinct keys in order, each key's place among them, and where each occurs, in 32 bits."""
+        order = np.argsort(keys)
+        now = keys[order]
+        edge = np.append(True, now[1:] != now[:-1]) if len(now) else np.zeros(0, bool)
+        place = np.empty(len(keys), np.int32)
+        place[order] = np.cumsum(edge, dtype=np.int32) - 1
+        return (now[edge], place, order[edge]) if first else (now[edge], place)
+
 
 def _discounts(of: np.ndarray) -> np.ndarray:
     """The discounted count over the count, for counts 0 to K, and last what is taken from each greater count.
@@ -235,9 +247,9 @@ def _discounted(count: np.ndarray, by: np.ndarray) -> np.ndarray:
     return np.where(count <= K, count * by[np.minimum(count, K)], count - by[K + 1])
 
 
-def _rows(items: Iterator[tuple[int, tuple]]) -> tuple[list, list]:
+def _rows(items: Iterator[tuple[int, int, int, bytes]]) -> tuple[list, list]:
     tables, papers = [], []
-    for _, (kind, source, data) in items:
+    for _, source, kind, data in items:
         (papers if kind else tables).append((source, data))
     return tables, papers
 
@@ -254,7 +266,8 @@ def _facts(short: np.ndarray, hot: np.ndarray):
         cold = t.count[~is_hot]
         of = lambda c: np.bincount(np.minimum(c[c > 0], K + 2), minlength=K + 3)[: K + 2]
         first = int(t.count[t.words == LAST].sum())
-        yield int(t.count.sum()), int((cold > 0).sum()), of(cold), dict(zip(t.words[is_hot].tolist(), t.count[is_hot].tolist(), strict=True)), of(t.pair_count), first
+        facts = int(t.count.sum()), int((cold > 0).sum()), of(cold), dict(zip(t.words[is_hot].tolist(), t.count[is_hot].tolist(), strict=True)), of(t.pair_count), first
+        yield 0, 0, 0, pickle.dumps(facts)
 
     return run
 
@@ -267,7 +280,7 @@ def _score_terms(fixed, model, buckets: int):
         total, vocabulary, docs, hot_counts, by_word, by_pair, unknown = model.value
         tables, papers = _rows(items)
         for source, data in papers:
-            yield source % buckets, (1, source, data)
+            yield source % buckets, source, 1, data
         if not tables:
             return
         t = Table(tables, short)
@@ -286,7 +299,7 @@ def _score_terms(fixed, model, buckets: int):
             own = order[bounds[i] : bounds[i + 1]]
             size = int(t.doc[own].max(initial=-1)) + 1
             sums = [np.bincount(t.doc[own], x[own], size) for x in (values, t.n * base[t.word], t.n * (count > 0)[t.word])]
-            yield source % buckets, (0, source, _pack({"score": sums[0], "base": sums[1], "known": _small(sums[2].astype(np.int64))}))
+            yield source % buckets, source, 0, pack({"score": sums[0], "base": sums[1], "known": small(sums[2].astype(np.int64))})
         need = asked[slots(t.pair_h, SEEN_BITS)] & seen
         h, at = np.unique(t.pair_h[need], return_inverse=True)
         c = np.bincount(at, t.pair_count[need], len(h)).astype(np.int64)
@@ -296,7 +309,7 @@ def _score_terms(fixed, model, buckets: int):
         for i in range(buckets):
             own = h % np.uint64(buckets) == i
             if own.any():
-                yield i, (2, 0, _pack({"h": h[own], "left": (c - taken)[own], "covered": covered[own]}))
+                yield i, 0, 2, pack({"h": h[own], "left": (c - taken)[own], "covered": covered[own]})
         ask = np.flatnonzero(new)
         where = (t.h[ask] % np.uint64(buckets)).astype(np.int64)
         ask, where = ask[order := np.argsort(where, kind="stable")], where[order]
@@ -304,13 +317,13 @@ def _score_terms(fixed, model, buckets: int):
         for i in range(buckets):
             own = ask[bounds[i] : bounds[i + 1]]
             if len(own):
-                yield i, (3, np.array(t.sources, np.int64).tobytes(), _pack({"h": t.h[own], "at": t.at[own], "doc": t.doc[own], "n": t.n[own]}))
+                yield i, 0, 3, pack({"sources": np.array(t.sources, np.int64), "h": t.h[own], "at": small(t.at[own]), "doc": small(t.doc[own]), "n": small(t.n[own])})
 
     return run
 
 
 def _sum(into: dict, source: int, data: bytes) -> None:
-    x = _unpack(data)
+    x = unpack(data)
     now = into.get(source)
     size = max(len(x["score"]), 0 if now is None else len(now["score"]))
     out = {k: np.pad(v.astype(np.float64), (0, size - len(v))) for k, v in x.items()}
@@ -326,53 +339,57 @@ def _weights(buckets: int):
     def run(items: Iterator) -> Iterator[tuple[int, tuple]]:
         sums: dict[int, dict] = {}
         left, asks = [], []
-        for _, (kind, source, data) in items:
+        for _, source, kind, data in items:
             if kind == 0:
                 _sum(sums, source, data)
             elif kind == 1:
-                yield source % buckets, (1, source, data)
+                yield source % buckets, source, 1, data
             elif kind == 2:
-                left.append(_unpack(data))
+                left.append(unpack(data))
             else:
-                asks.append((np.frombuffer(source, np.int64), _unpack(data)))
+                asks.append(unpack(data))
         if asks and left:
             h, at = np.unique(np.concatenate([x["h"] for x in left]), return_inverse=True)
             rest = np.bincount(at, np.concatenate([x["left"] for x in left]), len(h))
             free = 1 - np.bincount(at, np.concatenate([x["covered"] for x in left]), len(h))
             weight = np.log10(np.maximum(rest, 1e-300) / np.maximum(free, 1e-300))
-            for sources, x in asks:
+            for x in asks:
                 place = _find(h, x["h"])
                 known = place < len(h)
                 for i in np.unique(x["at"][known]):
                     own = known & (x["at"] == i)
                     more = np.bincount(x["doc"][own], x["n"][own] * weight[place[own]])
-                    _sum(sums, int(sources[i]), _pack({"score": more, "base": np.zeros(len(more)), "known": np.zeros(len(more), np.uint8)}))
+                    _sum(sums, int(x["sources"][i]), pack({"score": more, "base": np.zeros(len(more)), "known": np.zeros(len(more), np.uint8)}))
         for source, x in sums.items():
-            yield source % buckets, (0, source, _pack(x))
+            yield source % buckets, source, 0, pack(x)
 
     return run
 
 
 def _documents(model):
-    def run(items: Iterator) -> Iterator[tuple]:
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, _, docs, *_ = model.value
+        start = np.log10(docs) if docs else 0.0
         sums: dict[int, dict] = {}
         papers = []
-        for _, (kind, source, data) in items:
+        for _, source, kind, data in read(found):
             if kind:
                 papers.append((source, data))
             else:
                 _sum(sums, source, data)
         for source, data in papers:
             ids, held, tokens = pickle.loads(data)
-            x = sums[source]
-            start = np.log10(docs) if docs else 0.0
-            for i, (doc, is_held, n) in enumerate(zip(ids, held, tokens, strict=True)):
-                yield doc, is_held, n, int(round(x["known"][i])), total, float(x["base"][i]), float(x["score"][i] - start)
+            x = {k: v[: len(ids)] for k, v in sums.pop(source).items()}
+            columns = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(tokens, pa.int64()), pa.array(np.rint(x["known"]).astype(np.int64)), pa.array(np.full(len(ids), total)), pa.array(x["base"]), pa.array(x["score"] - start)]
+            yield pa.RecordBatch.from_arrays(columns, SCORES)
+        release()
 
     return run
 
 
+SCORES = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of ``docs`` (doc_id, text, train, held_out).
 
@@ -380,14 +397,12 @@ def score(docs: DataFrame) -> DataFrame:
     without training rows all words are unknown, with a probability of 1. An empty table gives no rows.
     """
     spark = ready(docs.sparkSession)
-    sc, buckets = spark.sparkContext, partitions(spark) * 3 // 2
+    sc, buckets = spark.sparkContext, text_bytes(docs) // TOKEN_BYTES // TOKENS + 1
     short, hot = _frequent(docs, buckets)
     short = np.unique(np.append(short, FIRST))
     fixed = sc.broadcast((short, hot, _held_words(docs.where("held_out or not train"))))
-    # Both scans below use this one RDD, and so the files of one shuffle, which rows of bytes make without Python.
-    dealt = _tables(docs, short, hot, buckets).repartitionById(buckets, F.col("bucket"))
-    tables = dealt.rdd.map(lambda r: (r[0], (r[1], r[2], bytes(r[3]))))
-    facts = tables.mapPartitions(_facts(short, hot)).collect()
+    tables = shuffled(dealt(_tables(docs, short, hot, buckets), buckets))
+    facts = [pickle.loads(r["data"]) for r in _step(tables, _facts(short, hot)).select("data").toLocalIterator()]
     hot_counts: dict[int, int] = {}
     for f in facts:
         for w, c in f[3].items():
@@ -402,9 +417,8 @@ def score(docs: DataFrame) -> DataFrame:
     lost = ((1 - by_word[1 : K + 1]) * low * words[1 : K + 1]).sum() + by_word[K + 1] * (vocabulary - words[1 : K + 1].sum())
     unknown = lost / total if total else 1.0
     model = sc.broadcast((total, vocabulary, sum(f[5] for f in facts), hot_counts, by_word, by_pair, unknown))
-    terms = tables.mapPartitions(_score_terms(fixed, model, buckets)).partitionBy(buckets, int)
-    rows = terms.mapPartitions(_weights(buckets)).partitionBy(buckets, int).mapPartitions(_documents(model))
-    return spark.createDataFrame(rows, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", verifySchema=False)
+    terms = dealt(_step(tables, _score_terms(fixed, model, buckets)), buckets)
+    return dealt(_step(terms, _weights(buckets)), buckets).mapInArrow(_documents(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
