@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,28 @@ def read(found: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes
         yield from zip(b.column("bucket").to_pylist(), b.column("source").to_pylist(), b.column("kind").to_pylist(), b.column("data").to_pylist(), strict=True)
 
 
+def numbered(keys: np.ndarray, first: bool = False):
+    """Distinct keys in order, and each key's place among them in 32 bits; with ``first``, where each occurs, too."""
+    order = np.argsort(keys)
+    now = keys[order]
+    edge = np.append(True, now[1:] != now[:-1]) if len(now) else np.zeros(0, bool)
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(edge, dtype=np.int32) - 1
+    return (now[edge], place, order[edge]) if first else (now[edge], place)
+
+
+def slices(found: Iterator[pa.RecordBatch], column: str | int = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Batches cut into such of ``most`` bytes of ``column``, or of one row; what is computed of them is several times larger."""
+    for b in found:
+        at = 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while at < b.num_rows:
+            base = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def dealt(blocks: DataFrame, buckets: int) -> DataFrame:
     """``blocks`` with each bucket in a partition of its own."""
     return blocks.repartitionById(buckets, F.col("bucket"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .blocks import release
+from .blocks import release, slices
 from .common import components, cut, ready
 from .sketch import slots, tallied
 from .words import mix, shingles, word_hashes
@@ -55,7 +55,7 @@ def _sets(docs: DataFrame, alive: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared_table.value
-        for b in batches:
+        for b in slices(batches):
             slot = b.column("slot").to_numpy(zero_copy_only=False)
             keep = np.flatnonzero((wanted[slot >> 6] >> (slot & 63)) & 1)
             if len(keep):
@@ -132,26 +132,43 @@ def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return cut(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
 
 
-def _unconnected(grouped: DataFrame, rows: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
+def _lanes(member: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with the least and the greatest component (lo, hi) of the members of their groups."""
+    return cut(rows.join(member.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")), "g"))
+
+
+def _by_pivot(member: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of the pivots of prefix shingles and other groups that may link and aren't connected."""
+    lanes = _lanes(member, rows)
+    own = F.max(F.when(F.col("g") == F.col("pivot.g"), F.col("lo"))).alias("main")
+    kinds = lanes.groupBy("token").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), own).where("least <> most").select(F.col("token").alias("of"), "main")
+    # The second condition belongs to the join, so that rows of groups that are connected never leave it.
+    apart = lanes.join(kinds, (F.col("token") == F.col("of")) & ((F.col("lo") != F.col("main")) | (F.col("hi") != F.col("main"))))
+    pairs = apart.where(F.col("g") != F.col("pivot.g")).where(_near(num, den, F.col, lambda c: F.col(f"pivot.{c}")))
+    return cut(pairs.select(F.col("pivot.g").alias("a"), F.col("g").alias("b")).distinct())
+
+
+def _unconnected(member: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of nodes in one group, or in groups that share a prefix shingle, that may link and aren't connected.
 
     Rows of a group or a shingle that belong to its main component are only compared with the others. Groups of a
     shingle are dealt by bands of sizes too, of which a set only meets its own and the two beside it.
     """
-    member = cut(grouped.join(label, "node"))
     split = member.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     loose = cut(member.join(split.where("lo <> hi").select("g", F.col("lo").alias("main")), "g"))
     minor = loose.where("component <> main").select("g", F.col("node").alias("a"), F.col("component").alias("ca"))
     within = minor.join(loose.select("g", F.col("node").alias("b"), F.col("component").alias("cb")), "g").where("ca <> cb").select("a", "b")
-    lanes = cut(rows.join(split, "g"))
+    lanes = _lanes(member, rows.drop("pivot"))
     kinds = lanes.groupBy("token").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.mode("lo", True).alias("main")).where("least <> most").select("token", "main")
     band = F.floor(F.log(F.col("n").cast("double")) / log(den / num) if num < den else F.col("n")).cast("long")
     lanes = lanes.join(kinds, "token").withColumn("band", band).withColumn("major", (F.col("lo") == F.col("main")) & (F.col("hi") == F.col("main")))
     facts = F.struct("g", "at", "n", "lo", "hi")
     x = lanes.where(~F.col("major")).select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), facts.alias("x"))
-    y = lanes.select("token", "band", facts.alias("y"), "major")
+    y = lanes.select(F.col("token").alias("of"), F.col("band").alias("other"), facts.alias("y"), "major")
     apart = (F.col("x.lo") != F.col("y.lo")) | (F.col("x.hi") != F.col("y.hi")) | (F.col("x.lo") != F.col("x.hi"))
-    across = x.join(y, ["token", "band"]).where((F.col("major") | (F.col("x.g") < F.col("y.g"))) & apart & _near(num, den, lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
+    once = F.col("major") | (F.col("x.g") < F.col("y.g"))
+    near = _near(num, den, lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
+    across = x.join(y, (F.col("token") == F.col("of")) & (F.col("band") == F.col("other")) & once & apart & near)
     across = across.select(F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).distinct()
     side = lambda c: member.select(F.col("g").alias(f"g{c}"), F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     spread = across.join(side("a"), "ga").join(side("b"), "gb").where("ca <> cb").select("a", "b")
@@ -182,24 +199,19 @@ def join(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFr
     rows = cut(every.join(tokens, "token").select("token", "g", "at", "n", "pivot"))
     # First the pivots: of a group with its members, and with the pivot of the shingles that it shares most of.
     near = rows.where("g <> pivot.g").where(_near(num, den, F.col, lambda c: F.col(f"pivot.{c}")))
-    first = cut(near.select(F.col("pivot.g").alias("a"), F.col("g").alias("b")).groupBy("a", "b").agg(F.count("*").alias("k")))
+    first = near.select(F.col("pivot.g").alias("a"), F.col("g").alias("b")).groupBy("a", "b").agg(F.count("*").alias("k"))
     best = first.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
     links = cut(_verified(best.select("a", "b").unionByName(grouped.where("node <> g").select(F.col("g").alias("a"), F.col("node").alias("b"))), nodes, sets, num, den))
     label = _labels(nodes, links)
     # Then the other pivots, and all pairs that may link, as far as they aren't connected yet.
-    for step in (lambda: _apart(first, label), lambda: _unconnected(grouped, rows.select("token", "g", "at", "n"), label, num, den)):
-        more = cut(_verified(step(), nodes, sets, num, den))
+    for step in (_by_pivot, _unconnected):
+        more = cut(_verified(step(cut(grouped.join(label, "node")), rows, num, den), nodes, sets, num, den))
         if more.limit(1).count():
             links = links.unionByName(more)
             label = _labels(nodes, links)
     return whole, label
 
 
-def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    side = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where("ca <> cb").select("a", "b")
-
-
 def similar(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of all ``docs`` (doc_id, text).
 

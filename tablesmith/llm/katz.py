@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, batches, dealt, pack, read, release, small, text_bytes, unpack
+from .blocks import BLOCK, batches, dealt, numbered, pack, read, release, slices, small, text_bytes, unpack
 from .common import ready, shuffled
 from .sketch import PARTS, slots
 from .words import mix, word_hashes
@@ -55,7 +55,7 @@ def _frequent(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
             counts = np.bincount(back, np.concatenate([counts, times]), len(known)).astype(np.int64)
             held, size = [], 0
 
-        for b in batches:
+        for b in slices(batches):
             held.append(word_hashes(b.column(0))[0])
             size += len(held[-1])
             if size > TOKENS:
@@ -76,7 +76,7 @@ def _held_words(docs: DataFrame) -> np.ndarray:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << SEEN_BITS, bool)
-        for b in batches:
+        for b in slices(batches):
             seen[slots(word_hashes(b.column(0))[0], SEEN_BITS)] = True
         data = [np.packbits(seen[i * width : (i + 1) * width]).tobytes() for i in range(PARTS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
@@ -123,19 +123,24 @@ def _tables(docs: DataFrame, short: np.ndarray, hot: np.ndarray, buckets: int) -
             turn += 1
             n, learned = np.array(sizes, np.int64), np.array(train, bool)
             ends = np.cumsum(n + 1) - 1
-            w = np.insert(np.concatenate(words), np.cumsum(n), LAST)
-            doc = np.repeat(np.arange(len(n)), n + 1)
-            known, number = np.unique(np.concatenate([w, [FIRST]]), return_inverse=True)
-            before = np.empty(len(w), np.int64)
-            before[1:], before[0] = number[: len(w) - 1], number[-1]
+            known, number = numbered(np.append(np.insert(np.concatenate(words), np.cumsum(n), LAST), FIRST))
+            words = []
+            before = np.append(number[-1:], number[:-2])
             before[ends[:-1] + 1] = number[-1]
             # One value for (word, word before, document): fewer than 2**63, as TOKENS bounds all three.
-            key, times = np.unique((number[:-1] * len(known) + before) * len(n) + doc, return_counts=True)
-            pair, doc = np.divmod(key, len(n))
-            wide, before = np.divmod(pair, len(known))
-            word, prior = known[wide], known[before]
-            spread = (_find(hot, known) < len(hot))[wide] if len(hot) else np.zeros(len(wide), bool)
-            bucket = np.where(spread, mix(word ^ (prior * np.uint64(3))) % np.uint64(buckets), word % np.uint64(buckets)).astype(np.int64)
+            key = number[:-1] * np.int64(len(known)) + before
+            del number, before
+            key *= len(n)
+            key += np.repeat(np.arange(len(n)), n + 1)
+            key, times = np.unique(key, return_counts=True)
+            doc, times = (key % len(n)).astype(np.int32), small(times)
+            key //= len(n)
+            wide, before = (key // len(known)).astype(np.int32), (key % len(known)).astype(np.int32)
+            del key
+            bucket = (known % np.uint64(buckets)).astype(np.int32)[wide]
+            if len(hot):
+                spread = np.flatnonzero((_find(hot, known) < len(hot))[wide])
+                bucket[spread] = mix(known[wide[spread]] ^ (known[before[spread]] * np.uint64(3))) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
             code = _find(short, known)
@@ -147,7 +152,7 @@ def _tables(docs: DataFrame, short: np.ndarray, hot: np.ndarray, buckets: int) -
                     rare, at = np.unique(before[own][code[before[own]] == len(short)], return_inverse=True)
                     h = code[before[own]]
                     h[h == len(short)] = len(short) + at
-                    rows.append(pack({"w": word[own[first]], "k": small(np.diff(np.append(first, len(own)))), "rare": known[rare], "h": h.astype(np.uint32), "doc": small(doc[own]), "n": small(times[own]), "t": np.packbits(learned[doc[own]])}))
+                    rows.append(pack({"w": known[wide[own[first]]], "k": small(np.diff(np.append(first, len(own)))), "rare": known[rare], "h": h.astype(np.uint32), "doc": small(doc[own]), "n": times[own], "t": np.packbits(learned[doc[own]])}))
                     where.append(i)
             rows.append(pickle.dumps((ids, held, (n + 1).tolist())))
             where.append(source % buckets)
@@ -156,7 +161,7 @@ def _tables(docs: DataFrame, short: np.ndarray, hot: np.ndarray, buckets: int) -
             yield from batches([(i, source, k, x) for i, k, x in zip(where, kind, rows, strict=True)])
 
         size = 0
-        for b in found:
+        for b in slices(found):
             h, offsets = word_hashes(b.column("text"))
             words.append(h)
             sizes += np.diff(offsets).tolist()
@@ -203,24 +208,14 @@ class Table:
             setattr(self, k, np.concatenate(parts.pop(k)))
         taught = self.n * self.learned
         del self.learned
-        self.words, self.word = self._numbered(self.w)
+        self.words, self.word = numbered(self.w)
         self.count = np.bincount(self.word, taught, len(self.words)).astype(np.int64)
         pairs = mix(self.w) ^ (self.h * np.uint64(0x2545F4914F6CDD1D))
         del self.w
-        pairs, self.pair, first = self._numbered(pairs, True)
+        pairs, self.pair, first = numbered(pairs, True)
         self.pair_count = np.bincount(self.pair, taught, len(pairs)).astype(np.int64)
         self.pair_word, self.pair_h = self.word[first], self.h[first]
 
-    @staticmethod
-    def _numbered(keys: np.ndarray, first: bool = False):
-        """Distinct keys in order, each key's place among them, and where each occurs, in 32 bits."""
-        order = np.argsort(keys)
-        now = keys[order]
-        edge = np.append(True, now[1:] != now[:-1]) if len(now) else np.zeros(0, bool)
-        place = np.empty(len(keys), np.int32)
-        place[order] = np.cumsum(edge, dtype=np.int32) - 1
-        return (now[edge], place, order[edge]) if first else (now[edge], place)
-
 
 def _discounts(of: np.ndarray) -> np.ndarray:
     """The discounted count over the count, for counts 0 to K, and last what is taken from each greater count.

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, TOKEN_BYTES, TOKENS, batches, dealt, pack, read, release, small, text_bytes, unpack
+from .blocks import BLOCK, TOKEN_BYTES, TOKENS, batches, dealt, pack, read, release, slices, small, text_bytes, unpack
 from .common import cut, ready
 from .words import mix, shingles, word_hashes
 
@@ -72,7 +72,7 @@ def _sent(docs: DataFrame, n: int, bits: int, buckets: int) -> DataFrame:
             rows, sets, total, seen = [], [], 0, {}
             yield from batches(sent)
 
-        for b in found:
+        for b in slices(found):
             h, offsets = word_hashes(b.column("text"))
             for doc, a, z in zip(b.column("doc_id").to_pylist(), offsets[:-1], offsets[1:], strict=True):
                 own = np.unique(shingles(h[a:z], n))
