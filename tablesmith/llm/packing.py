@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 from collections.abc import Iterator
 from pathlib import Path
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .blocks import release
 from .common import ready
-from .words import word_spans
+from .words import EXACT, LOWERED, hashed, runs, word_spans
 
 WINDOW = 4096
 #: Id that ends each document.
@@ -26,8 +27,8 @@ GROUP = 128
 SLACK = 40
 #: Share of windows by which their number may rise before items are cut.
 WASTE = 1 / 64
-#: Runs whose ids a worker keeps at hand, runs that are encoded together, and bytes of text whose runs are looked up together.
-CACHE = 300_000
+#: Units whose ids a worker keeps at hand, units that are encoded together, and bytes of text whose units are looked up together.
+CACHE = 500_000
 TOGETHER = 512
 GROUP_BYTES = 2 << 20
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -127,47 +128,104 @@ def splits_at_spaces(rules: dict) -> bool:
     """Whether the tokenizer drops white space and joins nothing across it; other tokenizers get whole texts."""
     first = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
     parts = first.get("type") == "Split" and first.get("pattern") == {"Regex": RULE} and first.get("behavior") == "Removed" and first.get("invert") is True
-    added = all(not (x["lstrip"] or x["rstrip"] or re.search(r"\s", x["content"])) for x in rules["added_tokens"])
-    return parts and added and (rules.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+    added = bool(rules["added_tokens"]) and all(x["content"].startswith("<|") and not (x["lstrip"] or x["rstrip"] or re.search(r"\s", x["content"])) for x in rules["added_tokens"])
+    return bool(parts and added and (rules.get("normalizer") or {}).get("normalizers") == NORMALIZERS and rules["model"].get("end_of_word_suffix"))
+
+
+#: Kinds of bytes: space, ASCII letter, digit, other ASCII, beyond ASCII.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[48:58] = 2
+_KIND[128:] = 4
+_SHORT = np.isin(np.arange(256), list(b"stmdSTMD"))
+
+
+def units(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first and last bytes of what RULE parts; a run between spaces is one unit where it is beyond ASCII or may hold an added token."""
+    kind, (word, run) = _KIND[data], runs(data, cuts)
+    edge = run.copy()
+    edge[1:-1] |= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    mark = np.flatnonzero((data == 39) & edge[:-1])  # an apostrophe that begins a unit takes an ending along
+    if len(mark):
+        ahead = np.append(data, np.zeros(3, np.uint8))
+        hard = np.zeros(len(data) + 4, bool)
+        hard[cuts] = True
+        hard[len(data) :] = True
+        one, two = ahead[mark + 1], ahead[mark + 2] | 32
+        short = _SHORT[one] & ~hard[mark + 1]
+        pair = (((one | 32) == 114) | ((one | 32) == 118)) & (two == 101) | ((one | 32) == 108) & (two == 108)
+        long = ~short & pair & ~hard[mark + 1] & ~hard[mark + 2] & (kind[np.minimum(mark + 1, len(data) - 1)] == 1) & (_KIND[ahead[mark + 2]] == 1)
+        edge[mark[short | long] + 1] = False
+        edge[mark[short] + 2] = edge[mark[long] + 3] = True
+    values = LOWERED[data]
+    added = (data == 60) & (np.append(data[1:], 0) == 124)
+    added[cuts[cuts > 0] - 1] = False
+    whole = np.flatnonzero((kind == 4) | added)
+    if len(whole):
+        number = np.cumsum(run[:-1], dtype=np.int32)
+        odd = np.zeros(int(number[-1]) + 1, bool)
+        odd[number[whole]] = True
+        odd = odd[number]
+        edge[:-1] = np.where(odd, run[:-1], edge[:-1])
+        values = np.where(odd, EXACT[data], values)
+    begin, end = np.flatnonzero(word & edge[:-1]), np.flatnonzero(word & edge[1:])
+    return hashed(values, begin, end), begin, end
 
 
 class Encoder:
-    """Ids of texts. Each run of bytes between ASCII spaces is encoded once by the tokenizer and kept in a table.
+    """Ids of texts. Each unit (word, digit, signs, or run beyond ASCII) is encoded once by the tokenizer and kept in a table.
 
-    The table is arrays of bounded size; it is emptied when full. New runs are encoded many at a time, with an added
-    token between them that tells them apart.
+    The table is arrays of bounded size; it is emptied when full. New units are encoded many at a time.
     """
 
     def __init__(self, text: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         rules = json.loads(text)
         self.tokenizer, self.apart = Tokenizer.from_str(text), splits_at_spaces(rules)
-        self.added = [x["content"] for x in rules["added_tokens"]]
-        self.between = rules["added_tokens"][0]["id"] if self.added else None
+        if self.apart:
+            self.separator, self.between = f" {rules['added_tokens'][0]['content']} ".encode(), rules["added_tokens"][0]["id"]
+            bare = {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, rules["pre_tokenizer"]["pretokenizers"][1]]}}
+            self.merges = Tokenizer.from_str(json.dumps(rules | bare))
+            vocabulary = self.merges.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for x, i in vocabulary.items() if x.endswith(rules["model"]["end_of_word_suffix"])]] = True
         self.forget()
 
     def forget(self) -> None:
         self.known, self.place = np.empty(0, np.uint64), np.empty(0, np.int32)
         self.bounds, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
 
-    def one(self, run: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, np.uint32)
-
-    def learn(self, h: np.ndarray, runs: list[str]) -> None:
-        """Adds runs that aren't known, with their hashes in order."""
-        odd = [i for i, x in enumerate(runs) if self.between is None or any(t in x for t in self.added)]
-        found = {i: self.one(runs[i]) for i in odd}
-        plain = [i for i in range(len(runs)) if i not in found]
-        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-        for part, e in zip(groups, self.tokenizer.encode_batch_fast([f" {self.added[0]} ".join([runs[i] for i in p]) for p in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.between)
-            found.update(zip(part, np.split(np.delete(ids, cuts), cuts - np.arange(len(cuts))), strict=True))
-        own = [found[i] for i in range(len(runs))]
-        place = np.arange(len(self.bounds) - 1, len(self.bounds) - 1 + len(own), dtype=np.int32)
-        self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in own]))
-        self.ids = np.concatenate([self.ids, *own])
+    def _plain(self, found: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and sizes of ASCII units: by the merges alone, whose last token of each unit says that it ends."""
+        groups = [found[i : i + TOGETHER] for i in range(0, len(found), TOGETHER)]
+        for e in self.merges.encode_batch_fast([b" ".join(p).lower().decode("ascii") for p in groups], add_special_tokens=False):
+            own = np.array(e.ids, np.uint32)
+            yield own, np.diff(np.flatnonzero(self.last[own]), prepend=-1)
+
+    def _others(self, found: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and sizes of other units: by the tokenizer as it is, with an added token between them."""
+        groups = [found[i : i + TOGETHER] for i in range(0, len(found), TOGETHER)]
+        for part, e in zip(groups, self.tokenizer.encode_batch_fast([self.separator.join(p).decode("utf-8") for p in groups], add_special_tokens=False), strict=True):
+            own = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(own == self.between)
+            if len(cuts) == len(part) - 1:
+                yield np.delete(own, cuts), np.diff(np.concatenate([[-1], cuts, [len(own)]])) - 1
+            else:  # one of them holds that added token
+                each = [np.array(self.tokenizer.encode(x.decode("utf-8"), add_special_tokens=False).ids, np.uint32) for x in part]
+                yield np.concatenate(each), np.array([len(x) for x in each])
+
+    def learn(self, h: np.ndarray, found: list[bytes]) -> None:
+        """Adds units that aren't known, with their hashes in order."""
+        plain = np.array([x.isascii() and b"<|" not in x for x in found])
+        order = np.argsort(~plain, kind="stable")
+        ids, sizes = zip(*self._plain([found[i] for i in order[: plain.sum()]]), *self._others([found[i] for i in order[plain.sum() :]]), strict=True)
+        place = np.empty(len(found), np.int32)
+        place[order] = np.arange(len(self.bounds) - 1, len(self.bounds) - 1 + len(found))
+        self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(sizes)))
+        self.ids = np.concatenate([self.ids, *ids])
         at = np.searchsorted(self.known, h)
         self.known, self.place = np.insert(self.known, at, h), np.insert(self.place, at, place)
 
@@ -179,7 +237,7 @@ class Encoder:
         return np.full(len(h), -1)
 
     def _group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        h, offsets, start, end, data = word_spans(texts, lower=False)
+        h, offsets, start, end, data = word_spans(texts, units)
         each, first, back = np.unique(h, return_index=True, return_inverse=True)
         where = self._places(each)
         new = where < 0
@@ -187,7 +245,9 @@ class Encoder:
             if len(self.known) + new.sum() > CACHE or len(self.ids) > 4 * CACHE:
                 self.forget()
                 new[:] = True
-            self.learn(each[new], [data[a:z].tobytes().decode("utf-8") for a, z in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            base = int(start[0])
+            raw = data[base : int(end[-1])].tobytes()
+            self.learn(each[new], [raw[a:z] for a, z in zip((start[first[new]] - base).tolist(), (end[first[new]] - base).tolist(), strict=True)])
             where = self._places(each)
         size, begin = np.diff(self.bounds)[where][back], self.bounds[where][back]
         ends = np.append(0, np.cumsum(size))

@@ -18,8 +18,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-_EXACT = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_VALUE = _EXACT[_LOWER]
+EXACT = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+LOWERED = EXACT[_LOWER]
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -42,18 +42,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _hash(data: np.ndarray, cuts: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hashed(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the spans from ``begin`` to ``end`` (their last positions) of bytes with these random values."""
+    up, down = _powers(len(values))
+    value = values * up[: len(values)]
+    total = np.cumsum(value, dtype=np.uint64)
+    h = (total[end] - total[begin] + value[begin]) * down[begin]
+    return mix(h ^ (end - begin + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words of ``data``, their first and their last bytes; no word crosses a position in ``cuts``."""
+    word, edge = runs(data, cuts)
+    begin, end = np.flatnonzero(word & edge[:-1]), np.flatnonzero(word & edge[1:])
+    return hashed(LOWERED[data], begin, end), begin, end
+
+
+def runs(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes are of words, and before which (the end, too) a run of words' or other bytes begins."""
     word = ~_SPACE[data]
     edge = np.zeros(len(word) + 1, bool)
     edge[cuts] = edge[0] = edge[-1] = True
     edge[1:-1] |= word[1:] != word[:-1]
-    begin, end = np.flatnonzero(word & edge[:-1]), np.flatnonzero(word & edge[1:])
-    up, down = _powers(len(data))
-    value = values[data] * up[: len(data)]
-    total = np.cumsum(value, dtype=np.uint64)
-    h = (total[end] - total[begin] + value[begin]) * down[begin]
-    return mix(h ^ (end - begin + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), begin, end
+    return word, edge
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,8 +73,11 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h, offsets
 
 
-def word_spans(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``word_hashes``, with each word's first byte, the one after its last, and the bytes; unless ``lower``, case counts."""
+def word_spans(texts: pa.Array, spans=_words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``word_hashes``, with each word's first byte, the one after its last, and the bytes.
+
+    ``spans`` may find other spans than words in a piece of the bytes, which is cut at spaces and ends of texts only.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_binary())
@@ -88,7 +102,7 @@ def word_spans(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndar
                 break
             stop += len(ahead)
         inner = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, stop, "right")] - at
-        h, begin, end = _hash(data[at:stop], inner, _VALUE if lower else _EXACT)
+        h, begin, end = spans(data[at:stop], inner)
         parts.append(h)
         starts.append(begin + at)
         ends.append(end + (at + 1))

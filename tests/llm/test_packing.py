@@ -19,7 +19,10 @@ def test_encoder_gives_the_tokenizers_ids(monkeypatch):
     monkeypatch.setattr(packing, "TOGETHER", 3)
     monkeypatch.setattr(packing, "GROUP_BYTES", 64)
     plain = Tokenizer.from_file(PATH)
-    texts = [*ODD, "x" * 500, "the The THE <|ENDOFTEXT|> <|endoftext|>x", *ODD]
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("aZst're vELlmd'' 1.,\n<|é", k=rng.choice([3, 9, 60]))) for _ in range(3000)]
+    texts += ["'S it'S 'twas we'RE you'll'd ''s 's's .'s a'", "don't", "'", "'r", "e's", "can'", "tis 'v", "e"]
+    texts += [*ODD, "x" * 500, "the The THE <|ENDOFTEXT|> <|endoftext|>x", *ODD]
     for rules in (open(PATH, encoding="utf-8").read(), open(PATH, encoding="utf-8").read().replace('"NFC"', '"NFKC"')):
         encode, plain = packing.Encoder(rules), Tokenizer.from_str(rules)
         assert encode.apart == ("NFKC" not in rules)
