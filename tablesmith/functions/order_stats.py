@@ -1,64 +1,94 @@
-"""Exact order statistics of columns, at any size."""
+"""Exact order statistics of columns, at any size, for all columns and ranks together."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to so many rows, values are ordered in one aggregate; beyond, ranges are narrowed by histograms first.
-DIRECT = 2_000_000
+#: Bins into which a scan cuts each range that still holds a rank.
 BINS = 4096
+MOST = 1.7976931348623157e308
 
 
-def _ranked(df: DataFrame, column: str, n: int, ranks: list[int]) -> dict[int, float]:
-    """Values at 0-based ranks: the discrete percentile halfway between two ranks' shares is the upper one."""
-    if not ranks:
-        return {}
-    asked = sorted(set(ranks))
-    row = df.agg(*[F.expr(f"percentile_disc({(k + 0.5) / n!r}) WITHIN GROUP (ORDER BY `{column}`)").alias(f"r{i}") for i, k in enumerate(asked)]).first()
-    return {k: row[i] for i, k in enumerate(asked)}
+def _bin(x: Column, a: float, b: float) -> Column:
+    """The bin of a value between a and b; both ends fall into different bins."""
+    low, high = max(a, -MOST) / 2, min(b, MOST) / 2
+    if (high - low) / BINS < 1e-290:
+        return F.when(x > a, 1).otherwise(0)
+    inner = F.greatest(F.least(F.floor((F.greatest(F.least(x, F.lit(MOST)), F.lit(-MOST)) / 2 - low) / (high - low) * (BINS - 2)) + 1, F.lit(BINS - 2)), F.lit(1))
+    return F.when(x <= a, 0).when(x >= b, BINS - 1).otherwise(inner).cast("int")
 
 
-def at_ranks(df: DataFrame, column: str, ranks: list[int]) -> dict[int, float]:
-    """The values of ``column`` at 0-based ``ranks`` of its sorted non-null values.
+def ranked(df: DataFrame, ranks: dict[str, Callable[[int], list[int]]]) -> dict[str, tuple[int, dict[int, float]]]:
+    """For each column how many values it has, and those at the 0-based ranks that ``ranks`` gives for that number.
 
-    Large inputs are scanned a few times: each scan counts values in equal bins of the range that holds a rank and
-    keeps its bin, so nothing is sorted or gathered but the rows of a last, small bin.
+    Nulls and NaN don't count. The first scan takes numbers and ranges; each further one counts values in bins of the
+    ranges that hold a rank, for all columns together, and narrows these to a bin, until a range is one value. What
+    reaches the driver is counts of bins; nothing is sorted or gathered, and a few scans settle any number of rows.
     """
-    values = df.select(F.col(column).cast("double").alias(column)).where(f"`{column}` is not null")
-    n, low, high = values.agg(F.count("*"), F.min(column), F.max(column)).first()
-    ranks = [k for k in ranks if 0 <= k < n]
-    if n <= DIRECT:
-        return _ranked(values, column, n, ranks)
-    out = {}
-    for k in set(ranks):
-        rows, a, b, left, size = values, low, high, k, n
-        while size > DIRECT and a < b:
-            bin_ = F.least(F.floor((F.col(column) - a) / (b - a) * BINS), F.lit(BINS - 1))
-            counts = sorted((r["bin"], r["n"], r["a"], r["b"]) for r in rows.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.min(column).alias("a"), F.max(column).alias("b")).collect())
-            for _, held, a2, b2 in counts:
-                if left < held:
-                    rows, a, b, size = rows.where(F.col(column).between(a2, b2)), a2, b2, held
-                    break
-                left -= held
-        out[k] = a if a == b else _ranked(rows, column, size, [left])[left]
-    return out
+    values = {c: F.col(c).cast("double") for c in ranks}
+    values = {c: F.when(~F.isnan(x), x) for c, x in values.items()}
+    first = df.agg(*[f(x).alias(f"{i}_{j}") for i, x in enumerate(values.values()) for j, f in enumerate((F.count, F.min, F.max))]).first()
+    found: dict[str, tuple[int, dict[int, float]]] = {}
+    open_: dict[tuple[str, float, float], list[tuple[int, int]]] = {}  # range -> (rank, rank within the range)
+    for i, (c, wanted) in enumerate(ranks.items()):
+        n, a, b = (first[f"{i}_{j}"] for j in range(3))
+        found[c] = (n, {})
+        for k in {k for k in wanted(n) if 0 <= k < n} if n else ():
+            open_.setdefault((c, a, b), []).append((k, k))
+    while open_:
+        spans, parts = {}, []
+        for (c, a, b), inside in open_.items():
+            if a == b:
+                found[c][1].update({k: a for k, _ in inside})
+            else:
+                spans[len(spans)] = (c, a, b)
+                x = values[c]
+                parts.append(F.when(x.between(a, b), F.struct(F.lit(len(spans) - 1).alias("span"), _bin(x, a, b).alias("bin"), x.alias("x"))))
+        if not spans:
+            break
+        rows = df.select(F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("s")).select("s.*")
+        bins: dict[int, list] = {}
+        for r in rows.groupBy("span", "bin").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).collect():
+            bins.setdefault(r["span"], []).append((r["bin"], r["n"], r["a"], r["b"]))
+        narrowed: dict[tuple[str, float, float], list[tuple[int, int]]] = {}
+        for i, (c, a, b) in spans.items():
+            for k, left in open_[c, a, b]:
+                for _, held, low, high in sorted(bins[i]):
+                    if left < held:
+                        narrowed.setdefault((c, low, high), []).append((k, left))
+                        break
+                    left -= held
+        open_ = narrowed
+    return found
+
+
+def at_ranks(df: DataFrame, column: str, ranks: list[int]) -> dict[int, float]:
+    """The values of ``column`` at 0-based ``ranks`` of its sorted values; ranks beyond them are left out."""
+    return ranked(df, {column: lambda n: ranks})[column][1]
 
 
 def count(df: DataFrame, column: str) -> int:
     return df.where(F.col(column).isNotNull()).count()
 
 
+def summaries(df: DataFrame, columns: list[str], shares: tuple[float, ...] = (0.25, 0.75)) -> dict[str, tuple[float | None, ...]]:
+    """For each column its median (the mean of the two middle values), then the values at ranks trunc(share * n)."""
+    place = lambda n: [(n - 1) // 2, n // 2, *[min(int(n * p), n - 1) for p in shares]]
+    out = {}
+    for c, (n, found) in ranked(df, {c: place for c in columns}).items():
+        got = [found[k] for k in place(n)] if n else [None] * (2 + len(shares))
+        out[c] = (None if n == 0 else (got[0] + got[1]) / 2, *got[2:])
+    return out
+
+
 def nearest(df: DataFrame, column: str, *shares: float) -> list[float]:
     """The values at ranks trunc(share * n), the last rank at most."""
-    n = count(df, column)
-    ranks = [min(int(n * p), n - 1) for p in shares]
-    found = at_ranks(df, column, ranks)
-    return [found.get(k) for k in ranks]
+    return list(summaries(df, [column], shares)[column][1:])
 
 
 def median(df: DataFrame, column: str) -> float | None:
     """The mean of the two middle values, or the middle one."""
-    n = count(df, column)
-    found = at_ranks(df, column, [(n - 1) // 2, n // 2])
-    return (found[(n - 1) // 2] + found[n // 2]) / 2 if n else None
+    return summaries(df, [column], ())[column][0]

@@ -20,8 +20,7 @@ def zscore(df: DataFrame, columns: list[str], bound: float = 3.0) -> DataFrame:
 def iqr_votes(df: DataFrame, columns: list[str], k: float = 1.5, least: int = 1) -> DataFrame:
     """score: how many columns lie beyond nearest-rank fences; label -1 from ``least`` of them."""
     parts = []
-    for c in columns:
-        a, b = order_stats.nearest(df, c, 0.25, 0.75)
+    for c, (_, a, b) in order_stats.summaries(df, columns).items():
         parts.append(((F.col(c) < a - k * (b - a)) | (F.col(c) > b + k * (b - a))).cast("int"))
     return df.withColumn("score", sum(parts, F.lit(0))).withColumn("label", F.when(F.col("score") >= least, -1).otherwise(1))
 

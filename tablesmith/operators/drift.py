@@ -35,8 +35,7 @@ def ks(df: DataFrame, column: str, side: str, alpha: float = 0.05) -> DataFrame:
 def psi(df: DataFrame, column: str, side: str, bins: int = 10) -> DataFrame:
     """The population stability index over bins at the first sample's ranks i * n / bins; shares are 1e-4 at least."""
     first = df.where(F.col(side) & F.col(column).isNotNull())
-    n = first.count()
-    found = order_stats.at_ranks(first, column, [i * n // bins for i in range(1, bins)])
+    n, found = order_stats.ranked(first, {column: lambda n: [i * n // bins for i in range(1, bins)]})[column]
     cuts = [found[i * n // bins] for i in range(1, bins)]
     place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda e: e < F.col(column)))
     counts = df.where(F.col(column).isNotNull()).groupBy(place.alias("bin")).agg(F.count_if(side).alias("a"), F.count_if(~F.col(side)).alias("b"))

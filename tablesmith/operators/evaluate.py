@@ -105,9 +105,9 @@ def temperature(df: DataFrame, y: str, p: str, grid: int = 60) -> float:
 def conformal(df: DataFrame, y: str, p: str, level: float = 0.9) -> float:
     """The half width of prediction intervals: the value at rank clamp(ceil(level * (n + 1))) - 1 of |y - p|."""
     rows = df.select(F.abs(F.col(y) - F.col(p)).alias("e"))
-    n = order_stats.count(rows, "e")
-    rank = max(1, min(n, math.ceil(level * (n + 1)))) - 1
-    return order_stats.at_ranks(rows, "e", [rank])[rank]
+    place = lambda n: max(1, min(n, math.ceil(level * (n + 1)))) - 1
+    n, found = order_stats.ranked(rows, {"e": lambda n: [place(n)]})["e"]
+    return found[place(n)]
 
 
 def entropy_confidence(p: Column) -> Column:
@@ -134,10 +134,9 @@ def combine(preds: DataFrame, key: str, value: str, how: str, weight: str | None
 
 def partial_dependence(df: DataFrame, column: str, score, points: int = 10, low: float = 5, high: float = 95) -> DataFrame:
     """(grid, mean): ``score`` (a function of a column's replacement) averaged over rows, at points between two percentiles."""
-    n = order_stats.count(df, column)
-    ranks = [int(p / 100 * (n - 1)) for p in (low, high)]
-    found = order_stats.at_ranks(df, column, ranks)
-    a, b = found[ranks[0]], found[ranks[1]]
+    place = lambda n: [int(p / 100 * (n - 1)) for p in (low, high)]
+    n, found = order_stats.ranked(df, {column: place})[column]
+    a, b = (found[k] for k in place(n))
     grid = [a + (b - a) * i / (points - 1) for i in range(points)]
     row = df.agg(*[F.avg(score(F.lit(g))).alias(f"g{i}") for i, g in enumerate(grid)])
     return row.select(F.explode(F.array(*[F.struct(F.lit(g).alias("grid"), F.col(f"g{i}").alias("mean")) for i, g in enumerate(grid)])).alias("s")).select("s.*")

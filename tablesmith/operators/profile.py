@@ -24,8 +24,8 @@ def info(df: DataFrame) -> DataFrame:
 
 def analyze(df: DataFrame, columns: list[str]) -> DataFrame:
     """The numeric profile: spread, nearest-rank quartiles, sample skewness and kurtosis, outliers and zeros."""
-    bounds = {c: order_stats.nearest(df, c, 0.25, 0.75) for c in columns}
-    middle = {c: order_stats.median(df, c) for c in columns}
+    found = order_stats.summaries(df, columns)
+    middle, bounds = {c: x[0] for c, x in found.items()}, {c: x[1:] for c, x in found.items()}
 
     def outliers(c: str) -> Column:
         a, b = bounds[c]
@@ -92,7 +92,7 @@ def quality(df: DataFrame, columns: list[str]) -> DataFrame:
     overall = .3 completeness + .2 distinct + .25 consistency + .25 validity, with consistency 1 for typed columns and
     validity = completeness * (1 - outliers).
     """
-    bounds = {c: order_stats.nearest(df, c, 0.25, 0.75) for c in columns}
+    bounds = {c: x[1:] for c, x in order_stats.summaries(df, columns).items()}
 
     def outside(c: str) -> Column:
         a, b = bounds[c]

@@ -39,11 +39,7 @@ def _scale(x: float | None) -> float:
 def fit(df: DataFrame, columns: list[str], method: str, low: float = 0.0, high: float = 1.0, clip: bool = False) -> dict[str, Params]:
     """Parameters by column. ``method``: standard, minmax, robust (nearest-rank quartiles), maxabs or none."""
     if method == "robust":
-        out = {}
-        for c in columns:
-            a, b = order_stats.nearest(df, c, 0.25, 0.75)
-            out[c] = Params(order_stats.median(df, c), _scale(b - a))
-        return out
+        return {c: Params(middle, _scale(None if a is None else b - a)) for c, (middle, a, b) in order_stats.summaries(df, columns).items()}
     measures = {"standard": (F.avg, F.stddev_samp), "minmax": (F.min, F.max), "maxabs": (lambda c: F.max(F.abs(c)), F.count), "none": (F.count, F.count)}[method]
     row = df.agg(*[f(c).cast("double").alias(f"{c}__{i}") for c in columns for i, f in enumerate(measures)]).first()
     out = {}

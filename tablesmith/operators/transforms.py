@@ -68,10 +68,9 @@ def edges(df: DataFrame, column: str, bins: int, how: str, rounds: int = 50) ->
     if how == "uniform":
         return [low + (high - low) * i / bins for i in range(bins + 1)]
     if how == "quantile":
-        n = order_stats.count(df, column)
-        ranks = [int(i / bins * (n - 1)) for i in range(bins + 1)]
-        found = order_stats.at_ranks(df, column, ranks)
-        return [found[k] for k in ranks]
+        place = lambda n: [int(i / bins * (n - 1)) for i in range(bins + 1)]
+        n, found = order_stats.ranked(df, {column: place})[column]
+        return [found[k] for k in place(n)]
     centers = [low + (high - low) * (i + 0.5) / bins for i in range(bins)]
     for _ in range(rounds):
         cuts = [(a + b) / 2 for a, b in zip(centers, centers[1:], strict=False)]
@@ -101,12 +100,12 @@ def bounds(df: DataFrame, column: str, method: str, k: float) -> tuple[float, fl
     if method == "zscore":
         m, s = df.agg(F.avg(column), F.stddev_pop(column)).first()
         return m - k * s, m + k * s
-    n = order_stats.count(df, column)
     if method == "percentile":
-        ranks = [int(n * k / 100), min(math.ceil(n * (100 - k) / 100), n - 1)]
-        found = order_stats.at_ranks(df, column, ranks)
-        return found[ranks[0]], found[ranks[1]]
-    middle = order_stats.at_ranks(df, column, [n // 2])[n // 2]
+        place = lambda n: [int(n * k / 100), min(math.ceil(n * (100 - k) / 100), n - 1)]
+        n, found = order_stats.ranked(df, {column: place})[column]
+        return tuple(found[r] for r in place(n))
+    n, found = order_stats.ranked(df, {column: lambda n: [n // 2]})[column]
+    middle = found[n // 2]
     spread = df.agg(F.avg(F.abs(F.col(column) - middle))).first()[0] * 1.4826
     return middle - k * spread, middle + k * spread
 

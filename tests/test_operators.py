@@ -26,12 +26,19 @@ def test_scalers(five):
     assert values(scale.inverse(scale.transform(five, params), params), "x") == [1, 2, 3, 4, 5]
 
 
-def test_order_statistics_by_histograms(spark, monkeypatch):
-    df = spark.range(5000).select(((F.col("id") * 7919) % 1000).cast("double").alias("x"))
-    direct = order_stats.at_ranks(df, "x", [0, 1249, 2500, 4999])
-    monkeypatch.setattr(order_stats, "DIRECT", 40)
+def test_order_statistics(spark, monkeypatch):
     monkeypatch.setattr(order_stats, "BINS", 8)
-    assert order_stats.at_ranks(df, "x", [0, 1249, 2500, 4999]) == direct == {0: 0.0, 1249: 249.0, 2500: 500.0, 4999: 999.0}
+    inf, nan = float("inf"), float("nan")
+    columns = {
+        "spread": [float(i * 7919 % 1000) for i in range(400)], "equal": [2.5] * 400, "tail": [1.5**i for i in range(400)], "holes": [None if i % 3 else float(-i) for i in range(400)],
+        "odd": [(inf, -inf, nan, 1.7e308, -1.7e308, 5e-324, 0.0, -0.5)[i % 8] for i in range(400)], "none": [None] * 400,
+    }
+    df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"{c} double" for c in columns))
+    for c, (n, found) in order_stats.ranked(df, {c: lambda n: [0, 1, n // 3, n // 2, n - 1, n] for c in columns}).items():
+        want = sorted(v for v in columns[c] if v is not None and v == v)
+        assert n == len(want) and found == {k: want[k] for k in {0, 1, n // 3, n // 2, n - 1} if 0 <= k < n}
+    middle, low, high = order_stats.summaries(df, ["tail", "none"])["tail"]
+    assert (middle, low, high) == ((1.5**199 + 1.5**200) / 2, 1.5**100, 1.5**300) and order_stats.median(df, "none") is None
 
 
 def test_windows(five):
