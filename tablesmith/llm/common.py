@@ -17,14 +17,21 @@ BATCH_BYTES = 16 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Bounds the Arrow batches of this session and makes sure that there is a checkpoint folder."""
+    """Bounds the Arrow batches of this session and makes sure that there is a checkpoint folder.
+
+    It is the one in spark.checkpoint.dir. Where that is unset, a folder of this machine serves a local master, as in
+    tests; a cluster's executors could not all see it, so there it is an error.
+    """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(key, None)
         if now is not None and not 0 < int(str(now).rstrip("bB")) <= most:
             spark.conf.set(key, str(most))
     _ship(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tablesmith-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tablesmith-"))
     return spark
 
 
@@ -65,6 +72,12 @@ def _framed(spark: SparkSession, rows, like: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, like._jdf.schema(), False), spark)
 
 
+def drop(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder, wherever Spark's file systems have it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

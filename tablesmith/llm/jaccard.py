@@ -212,6 +212,15 @@ def join(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFr
     return whole, label
 
 
+def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """A row per row of ``docs``: doc_id, n, node, its component (c, t) and the least doc_id of that; without a component c is null."""
+    whole, label = join(docs, n, num, den)
+    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    alone = F.when(linked & F.col("component").isNull(), F.col("twin")).otherwise(F.lit(0))
+    named = cut(whole.join(label, "node", "left").select("doc_id", "n", "node", F.when(linked, F.coalesce("component", "node")).alias("c"), alone.alias("t")))
+    return named.join(named.where("c is not null").groupBy("c", "t").agg(F.min("doc_id").alias("least")), ["c", "t"], "left")
+
+
 def similar(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of all ``docs`` (doc_id, text).
 
@@ -219,10 +228,33 @@ def similar(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataF
     Texts of any length are compared whole; repeated ids, ties and an empty table are no special cases, and columns
     other than doc_id and text are ignored. Where rows that repeat an id are in several components, each keeps its own.
     """
-    whole, label = join(docs, n, num, den)
-    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    named = whole.join(label, "node", "left").select("doc_id", "n", F.when(linked, F.coalesce("component", "node")).alias("c"), F.when(linked & F.col("component").isNull(), F.col("twin")).otherwise(F.lit(0)).alias("t"))
-    named = cut(named)
-    heads = named.where("c is not null").groupBy("c", "t").agg(F.min("doc_id").alias("least"))
-    out = named.join(heads, ["c", "t"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return _components(docs, n, num, den).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def distinct(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any other columns) without near copies: of each component one row stays.
+
+    It is that with the smallest doc_id; where several rows of a component have it, the first by their other columns.
+    Rows without shingles or without doc_id all stay, and so do rows that share an id but not a component. Ids that are
+    not repeated need no more than a join by id.
+    """
+    found = cut(_components(docs, n, num, den))
+    gone = found.where("least is not null and doc_id <> least").select("doc_id", "node").distinct()
+    again = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not again.limit(1).count():
+        return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(again, "doc_id", "left_anti").join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.join(again, "doc_id", "left_semi").select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    schema = f"doc_id long, node long, n long, row {rows.schema['row'].dataType.simpleString()}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            h, offsets = word_hashes(b.column("text"))
+            own = [np.unique(shingles(h[a:z], n)) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+            columns = [b.column("doc_id"), pa.array([shared.names(x)[0] for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64()), b.column("row")]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "row"])
+
+    several = rows.mapInArrow(run, schema).join(gone, ["doc_id", "node"], "left_anti")
+    names = found.where("c is not null").select("node", "c", "t").distinct()
+    one = several.where("n > 0").join(names, "node").groupBy("doc_id", "c", "t").agg(F.min("row").alias("row")).select("row")
+    return once.unionByName(one.unionByName(several.where("n = 0").select("row")).select("row.*"))

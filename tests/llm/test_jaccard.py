@@ -89,3 +89,15 @@ def test_blocks_of_any_size_give_the_same(frame, monkeypatch):
         monkeypatch.setattr(shared, "TOKENS", tokens)
         monkeypatch.setattr(shared, "SPARE", spare)
         assert {tuple(r) for r in jaccard.similar(docs, 3, 80, 100).collect()} == want
+
+
+def test_one_row_of_each_component_stays(frame):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(500)]
+    a, b, c = (" ".join(rng.choices(words, k=200)) for _ in range(3))
+    rows = [(7, a, "s", 1, "x", "y"), (7, b, "s", 1, "x", "y"), (7, b, "r", 1, "x", "y"), (9, b + " more", "s", 1, "x", "y"), (10, a, "s", 1, "x", "y"), (8, c, "s", 1, "x", "y")]
+    rows += [(7, "", "s", 1, "x", "y"), (None, a, "s", 1, "x", "y"), (12, None, "s", 1, "x", "y"), (11, c, "s", None, None, None)]
+    for own, want in ((rows, [rows[i] for i in (0, 2, 5, 6, 7, 8)]), (rows[3:6] + rows[7:], [rows[i] for i in (3, 4, 5, 7, 8)]), ([], [])):
+        docs = frame(own, SCHEMA)
+        out = jaccard.distinct(docs, 5, 80, 100)
+        assert out.columns == docs.columns and sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, want))
