@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesmith.llm import jaccard, langid, mixing, packing, secrets
-from tablesmith.llm.common import cut, read, ready
+from tablesmith.llm.common import drop, read, ready
 
 #: SQL expresses neither trained models nor packing; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -24,18 +24,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group whose five-word shingles are similar by 0.8 or more.
+    """Keeps one document, that with the smallest id, of each group whose five-word shingles are similar by 0.8 or more.
 
-    Of rows that repeat an id, one stays; rows without an id stay.
+    Documents without words and rows without an id stay; see ``jaccard.distinct`` for rows that repeat an id.
     """
-    found = cut(jaccard.similar(docs, n=5, num=80, den=100))
-    others = found.where("doc_id <> component_id").select("doc_id")
-    kept = docs.join(others, "doc_id", "left_anti")
-    again = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if again.limit(1).count():
-        one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("row")).select("doc_id", "row.*")
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(one)
-    return kept.select(*docs.columns)
+    return jaccard.distinct(docs, n=5, num=80, den=100)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +52,16 @@ STAGES = [("language_id", language_id), ("ngram_jaccard", ngram_jaccard), ("secr
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage kept is written to the shared folder and read by the next."""
+    """All stages over ``documents``; what a stage kept is written to the shared folder and read by the next.
+
+    A stage's folder goes as soon as the next one is written; the last one stays, as the result reads it.
+    """
     docs = read(spark, sf_dir, "documents")
-    folder = f"{ready(spark).sparkContext.getCheckpointDir()}/stages-{uuid.uuid4().hex}"
+    folder, before = f"{ready(spark).sparkContext.getCheckpointDir()}/stages-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            drop(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
