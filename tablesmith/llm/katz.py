@@ -30,7 +30,7 @@ K = 5
 #: Added to every count by the base model.
 ADDED = 0.1
 #: Tokens that are packed together, and at most about as many that one bucket gets.
-TOKENS = 1_000_000
+TOKENS, BUCKET_TOKENS = 1_000_000, 4_000_000
 #: Bytes of text per token, at least.
 TOKEN_BYTES = 5
 #: Frequent words that get a short number in packed tables, and how often a task must see one to name it.
@@ -267,12 +267,17 @@ def _facts(short: np.ndarray, hot: np.ndarray):
     return run
 
 
+def _steps(count: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Where counts are 1 to K, and under K + 1 where they're more."""
+    return [(r, np.flatnonzero(count == r)) for r in range(1, K + 1)] + [(K + 1, np.flatnonzero(count > K))]
+
+
 def _score_terms(fixed, model, buckets: int):
     """Terms of scores by source (kind 0), documents (kind 1), what is left after histories (2) and who asks for it (3)."""
 
     def run(items: Iterator) -> Iterator[tuple[int, tuple]]:
         short, hot, asked = fixed.value
-        total, vocabulary, docs, hot_counts, by_word, by_pair, unknown = model.value
+        hot_counts = model.value[3]
         tables, papers = _rows(items)
         for source, data in papers:
             yield source % buckets, source, 1, data
@@ -282,29 +287,31 @@ def _score_terms(fixed, model, buckets: int):
         count = t.count.copy()
         for i in np.flatnonzero(_find(hot, t.words) < len(hot)):
             count[i] = hot_counts.get(int(t.words[i]), 0)
-        base = np.log10((count + ADDED) / (total + ADDED * (vocabulary + 1)))
-        p = np.where(count > 0, _discounted(count, by_word) / max(total, 1), unknown)
-        as_history = np.where((count > 0) & (t.words != LAST), np.log10(np.maximum(count, 1)), 0.0)
         seen = t.pair_count > 0
-        term = np.where(seen, np.log10(np.maximum(_discounted(t.pair_count, by_pair), 1e-300)), np.log10(p)[t.pair_word])
-        values = t.n * (term[t.pair] - as_history[t.word])
-        order = np.argsort(t.at, kind="stable")
+        # For each occurrence the two counts on which its terms depend: integers, most of them small, take fewer bytes than sums.
+        order = np.lexsort((t.doc, t.at))
         bounds = np.searchsorted(t.at[order], np.arange(len(t.sources) + 1))
+        end = np.flatnonzero(t.words == LAST)
         for i, source in enumerate(t.sources):
             own = order[bounds[i] : bounds[i + 1]]
-            size = int(t.doc[own].max(initial=-1)) + 1
-            sums = [np.bincount(t.doc[own], x[own], size) for x in (values, t.n * base[t.word], t.n * (count > 0)[t.word])]
-            yield source % buckets, source, 0, pack({"score": sums[0], "base": sums[1], "known": small(sums[2].astype(np.int64))})
-        need = asked[slots(t.pair_h, SEEN_BITS)] & seen
-        h, at = np.unique(t.pair_h[need], return_inverse=True)
-        c = np.bincount(at, t.pair_count[need], len(h)).astype(np.int64)
-        taken = np.bincount(at, _discounted(t.pair_count, by_pair)[need], len(h))
-        covered = np.bincount(at, p[t.pair_word[need]], len(h))
+            word = t.word[own]
+            yield source % buckets, source, 0, pack({"doc": small(np.diff(t.doc[own], prepend=0)), "n": small(t.n[own]), "word": small(count[word]), "pair": small(t.pair_count[t.pair[own]]), "end": np.packbits(np.isin(word, end))})
+        del order
+        # Of each history asked for what its weight depends on, as integers: how many pairs were seen 1 to K times and
+        # oftener, how many words after it were, and the count of the latter; they say what is left, and what is covered.
+        need = np.flatnonzero(asked[slots(t.pair_h, SEEN_BITS)] & seen)
+        h, at = numbered(t.pair_h[need])
+        word = count[t.pair_word[need]]
+        facts = {f"p{r}": np.bincount(at[which], minlength=len(h)) for r, which in _steps(t.pair_count[need])}
+        facts |= {f"w{r}": np.bincount(at[which], minlength=len(h)) for r, which in _steps(word)}
+        facts["often"] = np.bincount(at, np.where(word > K, word, 0), len(h)).astype(np.int64)
+        facts["unknown"] = np.bincount(at[word == 0], minlength=len(h))
         new = ~seen[t.pair]
+        where = h % np.uint64(buckets)
         for i in range(buckets):
-            own = h % np.uint64(buckets) == i
-            if own.any():
-                yield i, 0, 2, pack({"h": h[own], "left": (c - taken)[own], "covered": covered[own]})
+            own = np.flatnonzero(where == i)
+            if len(own):
+                yield i, 0, 2, pack({"h": small(np.diff(h[own], prepend=np.uint64(0)))} | {k: small(v[own]) for k, v in facts.items()})
         ask = np.flatnonzero(new)
         where = (t.h[ask] % np.uint64(buckets)).astype(np.int64)
         ask, where = ask[order := np.argsort(where, kind="stable")], where[order]
@@ -317,44 +324,56 @@ def _score_terms(fixed, model, buckets: int):
     return run
 
 
-def _sum(into: dict, source: int, data: bytes) -> None:
-    x = unpack(data)
-    now = into.get(source)
-    size = max(len(x["score"]), 0 if now is None else len(now["score"]))
-    out = {k: np.pad(v.astype(np.float64), (0, size - len(v))) for k, v in x.items()}
-    if now is not None:
-        for k, v in now.items():
-            out[k][: len(v)] += v
-    into[source] = out
+def _add(into: dict[int, dict[str, np.ndarray]], source: int, doc: np.ndarray, **values: np.ndarray) -> None:
+    """Adds values by document to the sums of a source."""
+    sums = into.setdefault(source, {k: np.zeros(0) for k in ("score", "base", "known")})
+    size = int(doc.max(initial=-1)) + 1
+    for k, v in values.items():
+        now = np.bincount(doc, v, size)
+        if len(sums[k]) < size:
+            sums[k] = np.pad(sums[k], (0, size - len(sums[k])))
+        sums[k][:size] += now
 
 
-def _weights(buckets: int):
+def _weights(model, buckets: int):
     """Adds up terms by source, and sends each who asks the logarithm of a history's weight times its count."""
 
-    def run(items: Iterator) -> Iterator[tuple[int, tuple]]:
+    def run(items: Iterator[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int, bytes]]:
+        total, vocabulary, _, _, by_word, by_pair, unknown = model.value
         sums: dict[int, dict] = {}
         left, asks = [], []
         for _, source, kind, data in items:
-            if kind == 0:
-                _sum(sums, source, data)
-            elif kind == 1:
+            if kind == 1:
                 yield source % buckets, source, 1, data
-            elif kind == 2:
-                left.append(unpack(data))
+                continue
+            x = unpack(data)
+            if kind == 2:
+                low = np.arange(1, K + 1)
+                lost = np.append(low * (1 - by_pair[1 : K + 1]), by_pair[K + 1])
+                p = np.append(low * by_word[1 : K + 1], -by_word[K + 1])
+                rest = sum(x.pop(f"p{r}") * lost[r - 1] for r in range(1, K + 2))
+                seen = sum(x.pop(f"w{r}") * p[r - 1] for r in range(1, K + 2)) + x["often"]
+                left.append((np.cumsum(x["h"], dtype=np.uint64), rest, seen / max(total, 1) + x["unknown"] * unknown))
+            elif kind == 3:
+                asks.append(x)
             else:
-                asks.append(unpack(data))
+                doc, n = np.cumsum(x["doc"], dtype=np.int64), x["n"].astype(np.int64)
+                word, pair = x["word"].astype(np.int64), x["pair"].astype(np.int64)
+                history = (word > 0) & ~np.unpackbits(x["end"])[: len(doc)].astype(bool)
+                p = np.where(word > 0, _discounted(word, by_word) / max(total, 1), unknown)
+                term = np.log10(np.where(pair > 0, np.maximum(_discounted(pair, by_pair), 1e-300), p)) - np.where(history, np.log10(np.maximum(word, 1)), 0.0)
+                _add(sums, source, doc, score=n * term, base=n * np.log10((word + ADDED) / (total + ADDED * (vocabulary + 1))), known=n * (word > 0))
         if asks and left:
-            h, at = np.unique(np.concatenate([x["h"] for x in left]), return_inverse=True)
-            rest = np.bincount(at, np.concatenate([x["left"] for x in left]), len(h))
-            free = 1 - np.bincount(at, np.concatenate([x["covered"] for x in left]), len(h))
+            h, at = numbered(np.concatenate([x[0] for x in left]))
+            rest = np.bincount(at, np.concatenate([x[1] for x in left]), len(h))
+            free = 1 - np.bincount(at, np.concatenate([x[2] for x in left]), len(h))
             weight = np.log10(np.maximum(rest, 1e-300) / np.maximum(free, 1e-300))
             for x in asks:
                 place = _find(h, x["h"])
                 known = place < len(h)
                 for i in np.unique(x["at"][known]):
                     own = known & (x["at"] == i)
-                    more = np.bincount(x["doc"][own], x["n"][own] * weight[place[own]])
-                    _sum(sums, int(x["sources"][i]), pack({"score": more, "base": np.zeros(len(more)), "known": np.zeros(len(more), np.uint8)}))
+                    _add(sums, int(x["sources"][i]), x["doc"][own].astype(np.int64), score=x["n"][own] * weight[place[own]])
         for source, x in sums.items():
             yield source % buckets, source, 0, pack(x)
 
@@ -371,10 +390,12 @@ def _documents(model):
             if kind:
                 papers.append((source, data))
             else:
-                _sum(sums, source, data)
+                x = unpack(data)
+                _add(sums, source, np.arange(len(x["score"])), score=x["score"])
+                _add(sums, source, np.arange(len(x["base"])), base=x["base"], known=x["known"])
         for source, data in papers:
             ids, held, tokens = pickle.loads(data)
-            x = {k: v[: len(ids)] for k, v in sums.pop(source).items()}
+            x = {k: np.pad(v, (0, max(0, len(ids) - len(v))))[: len(ids)] for k, v in sums.pop(source).items()}
             columns = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(tokens, pa.int64()), pa.array(np.rint(x["known"]).astype(np.int64)), pa.array(np.full(len(ids), total)), pa.array(x["base"]), pa.array(x["score"] - start)]
             yield pa.RecordBatch.from_arrays(columns, SCORES)
         release()
@@ -392,7 +413,7 @@ def score(docs: DataFrame) -> DataFrame:
     without training rows all words are unknown, with a probability of 1. An empty table gives no rows.
     """
     spark = ready(docs.sparkSession)
-    sc, buckets = spark.sparkContext, text_bytes(docs) // TOKEN_BYTES // TOKENS + 1
+    sc, buckets = spark.sparkContext, text_bytes(docs) // TOKEN_BYTES // BUCKET_TOKENS + 1
     short, hot = _frequent(docs, buckets)
     short = np.unique(np.append(short, FIRST))
     fixed = sc.broadcast((short, hot, _held_words(docs.where("held_out or not train"))))
@@ -413,7 +434,7 @@ def score(docs: DataFrame) -> DataFrame:
     unknown = lost / total if total else 1.0
     model = sc.broadcast((total, vocabulary, sum(f[5] for f in facts), hot_counts, by_word, by_pair, unknown))
     terms = dealt(_step(tables, _score_terms(fixed, model, buckets)), buckets)
-    return dealt(_step(terms, _weights(buckets)), buckets).mapInArrow(_documents(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt(_step(terms, _weights(model, buckets)), buckets).mapInArrow(_documents(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
