@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import lineage
 from .anomaly import neighbours
 from .transforms import distance
 
@@ -86,16 +87,14 @@ def dbscan(df: DataFrame, key: str, vector: str, radius: float, least: int, most
     near = df.select(key, vector).crossJoin(F.broadcast(other)).where(distance(F.col(vector), F.col("__v")) <= radius).select(key, "near").persist()
     cores = near.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(key)
     links = near.join(cores, key).join(cores.select(F.col(key).alias("near")), "near").select(key, "near").persist()
-    # Each round is cut off from those before, whose plans would multiply; without a folder to share, in the executors.
-    cut = (lambda d: d.checkpoint()) if df.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.localCheckpoint())
-    label = cut(cores.withColumn("cluster", F.col(key)))
+    label = lineage.cut(cores.withColumn("cluster", F.col(key)))
     for _ in range(rounds):
         low = links.join(label.select(F.col(key).alias("near"), "cluster"), "near").groupBy(key).agg(F.min("cluster").alias("low"))
         both = label.join(low, key)
         hooks = both.select(key, "low").unionByName(both.select(F.col("cluster").alias(key), "low"))
         low = hooks.groupBy(key).agg(F.min("low").alias("low"))
         jump = low.select(F.col(key).alias("low"), F.col("low").alias("cluster"))
-        new = cut(low.join(jump, "low").select(key, "cluster"))
+        new = lineage.cut(low.join(jump, "low").select(key, "cluster"))
         changed = new.join(label.withColumnRenamed("cluster", "was"), key).where("cluster <> was").limit(1).count()
         label = new
         if not changed:
