@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lineage
+
 #: Rows of one Arrow batch sent to a Python worker; texts are long, so batches stay small.
 BATCH_ROWS = 512
 #: Bytes of one Arrow batch, where the running Spark has that setting.
@@ -17,21 +19,13 @@ BATCH_BYTES = 16 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Bounds the Arrow batches of this session and makes sure that there is a checkpoint folder.
-
-    It is the one in spark.checkpoint.dir. Where that is unset, a folder of this machine serves a local master, as in
-    tests; a cluster's executors could not all see it, so there it is an error.
-    """
+    """Bounds the Arrow batches of this session and makes sure that there is a checkpoint folder."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(key, None)
         if now is not None and not 0 < int(str(now).rstrip("bB")) <= most:
             spark.conf.set(key, str(most))
     _ship(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tablesmith-"))
+    lineage.folder(spark)
     return spark
 
 
@@ -50,26 +44,15 @@ def _ship(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared checkpoint folder so that lost executors don't cost them.
-
-    The optimizer's guesses of size and content aren't kept: a guess for a join is a product, and over the rounds of
-    a loop its digits double with each. Adaptive execution measures instead.
-    """
-    spark = ready(df.sparkSession)
-    plan = df.checkpoint(eager=True)._jdf.queryExecution().logical()
-    return _framed(spark, plan.rdd(), df)
+    """The same rows, kept in the shared checkpoint folder so that lost executors don't cost them."""
+    ready(df.sparkSession)
+    return lineage.cut(df)
 
 
 def shuffled(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, which ends in a shuffle, such that several jobs read the files of that one shuffle.
-
-    Files that go with an executor are made again from the input.
-    """
-    return _framed(ready(df.sparkSession), df._jdf.queryExecution().toRdd(), df)
-
-
-def _framed(spark: SparkSession, rows, like: DataFrame) -> DataFrame:
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, like._jdf.schema(), False), spark)
+    """The rows of ``df``, which ends in a shuffle, such that several jobs read the files of that one shuffle."""
+    ready(df.sparkSession)
+    return lineage.shuffled(df)
 
 
 def drop(spark: SparkSession, folder: str) -> None:
