@@ -8,7 +8,7 @@ within their prefixes of size - ceil(t * size) + 1.
 
 Nodes with equal prefixes and sizes make one group. Pairs of groups that share a prefix shingle are filtered by size
 and by the place of that shingle, then expanded into members, filtered by bitmaps of their sets and verified. Since
-only reachability is asked for, each step first compares with one pivot of a group or of a shingle, and later steps
+only reachability is asked for, each step first compares with the pivot of a group or a few of a shingle, and later steps
 leave out pairs that are connected already; a pair that is not connected is never left out, so components are exact.
 """
 
@@ -30,6 +30,8 @@ from .words import mix, shingles, word_hashes
 
 #: Bounds of the bits of the table by which shingles are ordered; it grows with the shingles counted.
 FEWEST_BITS, MOST_BITS = 16, 22
+#: Pivots of a shingle at most.
+PIVOTS = 4
 #: Longs of the bitmap of a set.
 BITMAP = 6
 #: Bounds of the bits of the table that tells which documents' sets a scan must bring, and its bits per document.
@@ -113,13 +115,19 @@ def _near(num: int, den: int, x, y) -> F.Column:
     return size & place
 
 
+_BITS = [f"b{i}" for i in range(BITMAP)]
+
+
+def _alike(num: int, den: int) -> F.Column:
+    """Whether the bitmaps of x and y allow that their sets are similar enough."""
+    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _BITS), F.lit(0))
+    return (den + num) * apart <= (den - num) * (F.col("x.n") + F.col("y.n"))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough: by size and bitmap, then by the sets themselves."""
-    bits = [f"b{i}" for i in range(BITMAP)]
-    facts = lambda side, s: nodes.select(F.col("node").alias(side), F.struct("n", *bits).alias(s))
-    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    apart = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in bits), F.lit(0))
-    likely = (den * F.least(x("n"), y("n")) >= num * F.greatest(x("n"), y("n"))) & ((den + num) * apart <= (den - num) * (x("n") + y("n")))
+    facts = lambda side, s: nodes.select(F.col("node").alias(side), F.struct("n", *_BITS).alias(s))
+    likely = (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")) & _alike(num, den)
     left = pairs.select("a", "b").join(facts("a", "x"), "a").join(facts("b", "y"), "b").where(likely).select("a", "b")
     both = left.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -133,42 +141,46 @@ def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _lanes(member: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` with the least and the greatest component (lo, hi) of the members of their groups."""
-    return cut(rows.join(member.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")), "g"))
+    """``rows`` with the least and the greatest component (lo, hi) of the members of their groups, and the number of these."""
+    return cut(rows.join(member.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")), "g"))
 
 
-def _by_pivot(member: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of the pivots of prefix shingles and other groups that may link and aren't connected."""
+def _by_pivot(member: DataFrame, rows: DataFrame, pivots: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of pivots of prefix shingles and other groups that may link and aren't connected."""
     lanes = _lanes(member, rows)
-    own = F.max(F.when(F.col("g") == F.col("pivot.g"), F.col("lo"))).alias("main")
-    kinds = lanes.groupBy("token").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), own).where("least <> most").select(F.col("token").alias("of"), "main")
-    # The second condition belongs to the join, so that rows of groups that are connected never leave it.
-    apart = lanes.join(kinds, (F.col("token") == F.col("of")) & ((F.col("lo") != F.col("main")) | (F.col("hi") != F.col("main"))))
-    pairs = apart.where(F.col("g") != F.col("pivot.g")).where(_near(num, den, F.col, lambda c: F.col(f"pivot.{c}")))
-    return cut(pairs.select(F.col("pivot.g").alias("a"), F.col("g").alias("b")).distinct())
+    own = lanes.select(F.col("g").alias("of_g"), F.col("token").alias("of"), "lo", "hi").join(pivots, (F.col("of") == F.col("token")) & (F.col("of_g") == F.col("pivot.g"))).select("of", F.struct("pivot.*", "lo", "hi").alias("pivot"))
+    # The conditions belong to the join, so that rows of groups that are connected never leave it.
+    apart = (F.col("lo") != F.col("pivot.lo")) | (F.col("hi") != F.col("pivot.hi")) | (F.col("lo") != F.col("hi"))
+    near = _near(num, den, F.col, lambda c: F.col(f"pivot.{c}"))
+    pairs = lanes.join(own, (F.col("token") == F.col("of")) & (F.col("g") != F.col("pivot.g")) & apart & near)
+    return cut(pairs.select(F.least("pivot.g", "g").alias("a"), F.greatest("pivot.g", "g").alias("b")).distinct())
 
 
-def _unconnected(member: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+def _unconnected(member: DataFrame, rows: DataFrame, pivots: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of nodes in one group, or in groups that share a prefix shingle, that may link and aren't connected.
 
     Rows of a group or a shingle that belong to its main component are only compared with the others. Groups of a
-    shingle are dealt by bands of sizes too, of which a set only meets its own and the two beside it.
+    shingle are dealt by bands of sizes too, of which a set only meets its own and the two beside it; groups of one
+    member are compared by their bitmaps within the join.
     """
     split = member.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     loose = cut(member.join(split.where("lo <> hi").select("g", F.col("lo").alias("main")), "g"))
     minor = loose.where("component <> main").select("g", F.col("node").alias("a"), F.col("component").alias("ca"))
-    within = minor.join(loose.select("g", F.col("node").alias("b"), F.col("component").alias("cb")), "g").where("ca <> cb").select("a", "b")
-    lanes = _lanes(member, rows.drop("pivot"))
+    within = minor.join(loose.select(F.col("g").alias("other"), F.col("node").alias("b"), F.col("component").alias("cb")), (F.col("g") == F.col("other")) & (F.col("ca") != F.col("cb"))).select("a", "b")
+    lanes = _lanes(member, rows)
     kinds = lanes.groupBy("token").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.mode("lo", True).alias("main")).where("least <> most").select("token", "main")
     band = F.floor(F.log(F.col("n").cast("double")) / log(den / num) if num < den else F.col("n")).cast("long")
-    lanes = lanes.join(kinds, "token").withColumn("band", band).withColumn("major", (F.col("lo") == F.col("main")) & (F.col("hi") == F.col("main")))
-    facts = F.struct("g", "at", "n", "lo", "hi")
+    bits = nodes.select(F.col("node").alias("g"), *_BITS)
+    lanes = lanes.join(kinds, "token").join(bits, "g").withColumn("band", band).withColumn("major", (F.col("lo") == F.col("main")) & (F.col("hi") == F.col("main")))
+    lanes = cut(lanes)
+    facts = F.struct("g", "at", "n", "lo", "hi", "members", *_BITS)
     x = lanes.where(~F.col("major")).select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), facts.alias("x"))
     y = lanes.select(F.col("token").alias("of"), F.col("band").alias("other"), facts.alias("y"), "major")
     apart = (F.col("x.lo") != F.col("y.lo")) | (F.col("x.hi") != F.col("y.hi")) | (F.col("x.lo") != F.col("x.hi"))
     once = F.col("major") | (F.col("x.g") < F.col("y.g"))
     near = _near(num, den, lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
-    across = x.join(y, (F.col("token") == F.col("of")) & (F.col("band") == F.col("other")) & once & apart & near)
+    alike = _alike(num, den) | (F.col("x.members") > 1) | (F.col("y.members") > 1)
+    across = x.join(y, (F.col("token") == F.col("of")) & (F.col("band") == F.col("other")) & once & apart & near & alike)
     across = across.select(F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).distinct()
     side = lambda c: member.select(F.col("g").alias(f"g{c}"), F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     spread = across.join(side("a"), "ga").join(side("b"), "gb").where("ca <> cb").select("a", "b")
@@ -192,20 +204,25 @@ def join(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFr
     keyed = nodes.select("node", "n", F.xxhash64("prefix").alias("p"), F.hash("prefix").alias("q"))
     heads = keyed.groupBy("n", "p", "q").agg(F.min("node").alias("g"))
     grouped = cut(keyed.join(heads, ["n", "p", "q"]).select("node", "g"))
-    # Prefix shingles that two groups or more share, each with the smallest group as its pivot.
+    # Prefix shingles that two groups or more share. A shingle's pivots are, of each of a few classes of its groups, the
+    # group that shares most shingles: it lies in the middle of its near copies, and most of them link with it.
     tops = nodes.join(grouped.where("node = g").select("node"), "node", "left_semi")
     every = tops.select(F.col("node").alias("g"), "n", F.posexplode("prefix").alias("at", "token"))
-    tokens = every.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct("g", "at", "n")).alias("pivot")).where("k > 1")
-    rows = cut(every.join(tokens, "token").select("token", "g", "at", "n", "pivot"))
-    # First the pivots: of a group with its members, and with the pivot of the shingles that it shares most of.
-    near = rows.where("g <> pivot.g").where(_near(num, den, F.col, lambda c: F.col(f"pivot.{c}")))
-    first = near.select(F.col("pivot.g").alias("a"), F.col("g").alias("b")).groupBy("a", "b").agg(F.count("*").alias("k"))
+    tokens = every.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    rows = cut(every.join(tokens, "token").select("token", "g", "at", "n"))
+    middle = rows.join(rows.groupBy("g").agg(F.count("*").alias("shares")), "g")
+    pivots = middle.groupBy("token", F.pmod(F.xxhash64("g"), F.lit(PIVOTS)).alias("kind")).agg(F.max(F.struct("shares", "g", "at", "n")).alias("pivot"))
+    pivots = cut(pivots.select("token", F.struct("pivot.g", "pivot.at", "pivot.n").alias("pivot")))
+    # First the pivots: of a group with its members, and with that one of its shingles' pivots that it shares most of.
+    near = _near(num, den, F.col, lambda c: F.col(f"pivot.{c}"))
+    first = rows.join(pivots.withColumnRenamed("token", "of"), (F.col("token") == F.col("of")) & (F.col("g") != F.col("pivot.g")) & near)
+    first = first.select(F.col("pivot.g").alias("a"), F.col("g").alias("b")).groupBy("a", "b").agg(F.count("*").alias("k"))
     best = first.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
     links = cut(_verified(best.select("a", "b").unionByName(grouped.where("node <> g").select(F.col("g").alias("a"), F.col("node").alias("b"))), nodes, sets, num, den))
     label = _labels(nodes, links)
     # Then the other pivots, and all pairs that may link, as far as they aren't connected yet.
     for step in (_by_pivot, _unconnected):
-        more = cut(_verified(step(cut(grouped.join(label, "node")), rows, num, den), nodes, sets, num, den))
+        more = cut(_verified(step(cut(grouped.join(label, "node")), rows, pivots, nodes, num, den), nodes, sets, num, den))
         if more.limit(1).count():
             links = links.unionByName(more)
             label = _labels(nodes, links)
