@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import order_stats
+from ..functions import near, order_stats
 
 
 def zscore(df: DataFrame, columns: list[str], bound: float = 3.0) -> DataFrame:
@@ -59,23 +59,10 @@ def ood(train: DataFrame, df: DataFrame, columns: list[str], share: float = 0.95
     return df.withColumn("score", F.sqrt(total)).withColumn("out", F.col("score") > bound)
 
 
-def neighbours(df: DataFrame, key: str, vector: str, k: int, other: DataFrame | None = None, most: int = 20_000, metric: str = "euclidean", keep_self: bool = False) -> DataFrame:
-    """(key, near, dist, rank) of the k nearest rows by (dist, key). ``other`` is broadcast after a check of its size."""
-    from .transforms import distance, dot
-
-    other = df if other is None else other
-    if other.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows to be near to; index or sample them")
-    right = other.select(F.col(key).alias("near"), F.col(vector).alias("__v"))
-    if metric == "cosine":
-        norm = F.sqrt(dot(F.col(vector), F.col(vector)) * dot(F.col("__v"), F.col("__v")))
-        dist = F.coalesce(1 - F.try_divide(dot(F.col(vector), F.col("__v")), norm), F.lit(1.0))
-    else:
-        dist = distance(F.col(vector), F.col("__v"))
-    pairs = df.select(key, vector).crossJoin(F.broadcast(right))
-    pairs = pairs if keep_self else pairs.where(F.col(key) != F.col("near"))
-    ranked = pairs.select(key, "near", dist.alias("dist")).withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("dist", "near")))
-    return ranked.where(F.col("rank") <= k)
+def neighbours(df: DataFrame, key: str, vector: str, k: int, other: DataFrame | None = None, metric: str = "euclidean", keep_self: bool = False) -> DataFrame:
+    """(key, near, dist, rank) of the k nearest rows of ``other``, or of ``df`` itself, by (dist, key)."""
+    found = near.pairs(df, df if other is None else other, key, vector, k=k, metric=metric, itself=keep_self)
+    return found.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("dist", "near")))
 
 
 def lof(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import order_stats
+from ..functions.folds import folded
 
 CRITICAL = {0.01: 1.63, 0.05: 1.36, 0.1: 1.22, 0.2: 1.07}
 
@@ -91,46 +92,35 @@ def eddm(df: DataFrame, by: list[str], order: list[str], error: str, least: int
 
 def page_hinkley(df: DataFrame, by: list[str], order: list[str], x: str, key: str, delta: float = 0.005, bound: float = 50.0, keep: float = 0.9999) -> DataFrame:
     """(key, sum, drift): the cumulative deviation from a slowly moving mean over its least so far, folded per entity."""
-    keys = df.schema[key].dataType.simpleString()
+    def step(state: tuple | None, v: float) -> tuple[tuple, tuple]:
+        mean, total, low = state or (v, 0.0, 0.0)
+        mean = keep * mean + (1 - keep) * v if state else v
+        total += v - mean - delta
+        low = min(low, total)
+        return (mean, total, low), (total - low, total - low > bound)
 
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        mean = total = low = 0.0
-        out = []
-        for i, v in enumerate(pdf[x].astype(float)):
-            mean = v if i == 0 else keep * mean + (1 - keep) * v
-            total += v - mean - delta
-            low = min(low, total)
-            out.append((total - low, total - low > bound))
-        return pdf[[key]].assign(sum=[a for a, _ in out], drift=[b for _, b in out])
-
-    return df.select(*dict.fromkeys([*by, *order, x, key])).groupBy(*by).applyInPandas(run, f"{key} {keys}, sum double, drift boolean")
+    rows = df.select(*dict.fromkeys([*by, *order, key]), F.col(x).cast("double").alias("__x"))
+    return folded(rows, by, order, ["__x"], "sum double, drift boolean", lambda: None, step).select(key, "sum", "drift")
 
 
 def adwin(df: DataFrame, by: list[str], order: list[str], x: str, key: str, delta: float = 0.002, most: int = 10_000) -> DataFrame:
     """(key, width, drift): an adaptive window per entity of ``most`` values at most, cut at the split whose two parts differ
     most of all that differ by more than the Hoeffding bound. All splits of 10 or more values are tried, once a row."""
-    keys = df.schema[key].dataType.simpleString()
-
-    def run(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values(order)
-        window, widths, drifts = np.empty(0), [], []
-        for v in pdf[x].astype(float):
-            window = np.append(window, v)[-most:]
-            n, cut = len(window), False
-            if n >= 10:
-                left = np.arange(1, n)
-                sums = np.cumsum(window)
-                gap = np.abs(sums[:-1] / left - (sums[-1] - sums[:-1]) / (n - left))
-                m = 1 / (1 / left + 1 / (n - left))
-                over = np.where(gap > np.sqrt(np.log(n / delta) / (2 * m)), gap, 0.0)
-                best = int(over.argmax())
-                if over[best] > 0:
-                    window, cut = window[best + 1 :], True
-            widths.append(len(window))
-            drifts.append(cut)
-        return pdf[[key]].assign(width=widths, drift=drifts)
-
-    return df.select(*dict.fromkeys([*by, *order, x, key])).groupBy(*by).applyInPandas(run, f"{key} {keys}, width long, drift boolean")
+    import numpy as np
+
+    def step(window: np.ndarray, v: float) -> tuple[np.ndarray, tuple]:
+        window = np.append(window, v)[-most:]
+        n, cut = len(window), False
+        if n >= 10:
+            left = np.arange(1, n)
+            sums = np.cumsum(window)
+            gap = np.abs(sums[:-1] / left - (sums[-1] - sums[:-1]) / (n - left))
+            m = 1 / (1 / left + 1 / (n - left))
+            over = np.where(gap > np.sqrt(np.log(n / delta) / (2 * m)), gap, 0.0)
+            best = int(over.argmax())
+            if over[best] > 0:
+                window, cut = window[best + 1 :], True
+        return window, (len(window), cut)
+
+    rows = df.select(*dict.fromkeys([*by, *order, key]), F.col(x).cast("double").alias("__x"))
+    return folded(rows, by, order, ["__x"], "width long, drift boolean", lambda: np.empty(0), step).select(key, "width", "drift")

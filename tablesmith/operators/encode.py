@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import ranks
+
 
 def categories(df: DataFrame, column: str, most: int = 1000) -> list:
     rows = df.where(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect()
@@ -25,7 +26,7 @@ def one_hot(df: DataFrame, column: str, values: list | None = None) -> DataFrame
 def label(df: DataFrame, column: str, order: str) -> DataFrame:
     """(value, index): values numbered from 0 by first appearance in ``order``."""
     first = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(order).alias("at"))
-    return first.select("value", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("at", "value")) - 1).alias("index"))
+    return ranks.numbered(first, ["at", "value"]).select("value", F.col("__i").cast("int").alias("index"))
 
 
 def lookup(df: DataFrame, column: str, table: DataFrame, to: str, otherwise=None) -> DataFrame:

@@ -149,19 +149,19 @@ def linear_shap(df: DataFrame, weights: dict[str, float]) -> dict[str, Column]:
 
 
 def permutation_importance(df: DataFrame, columns: list[str], y: str, key: str, score) -> DataFrame:
-    """(column, importance): the rise of the mean squared error when a column's values move to rows drawn by a hash.
+    """(column, importance): the rise of the mean squared error when a column's values move to other rows.
 
-    Values are matched by ranks of hashes within ranges of the hash, so nothing is sorted as a whole.
+    The row at a place in the order of the key gets the value of the row at that place in the order of draws; both
+    orders are numbered in ranges, so that no task sorts all rows.
     """
-    parts = 64
-    draw = lambda salt: F.xxhash64(F.lit(salt), key)
+    from ..functions.ranks import numbered
+
     base = df.agg(F.avg(F.pow(F.col(y) - score(*[F.col(c) for c in columns]), F.lit(2)))).first()[0]
-    out = None
-    for i, c in enumerate(columns):
-        number = lambda d, salt: d.withColumn("__p", F.pmod(draw(salt), F.lit(parts))).withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(draw(f"{salt}!"), key)))
-        left = number(df, "left")
-        right = number(df.select(key, F.col(c).alias("__v")), f"right{i}").select("__p", "__r", "__v")
-        moved = left.join(right, ["__p", "__r"], "left").withColumn(c, F.coalesce("__v", c))
+    rows, out = numbered(df, [key]).drop("__n"), None
+    for c in columns:
+        order = F.sha2(F.concat_ws(":", F.lit(c), key), 256)
+        other = numbered(df.select(key, F.col(c).alias("__v")), [order, key]).select("__i", "__v")
+        moved = rows.join(other, "__i").withColumn(c, F.col("__v"))
         one = moved.agg(F.lit(c).alias("column"), (F.avg(F.pow(F.col(y) - score(*[F.col(x) for x in columns]), F.lit(2))) - base).alias("importance"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -193,7 +193,36 @@ def bias(df: DataFrame, group: str, y: str) -> DataFrame:
 
 
 def pareto(df: DataFrame, key: str, low: list[str]) -> DataFrame:
-    """The rows that no other beats: none is at most equal in all of ``low`` (all minimised) and less in one."""
-    a, b = df.alias("a"), df.alias("b")
-    beats = F.expr(" and ".join(f"b.{c} <= a.{c}" for c in low) + " and (" + " or ".join(f"b.{c} < a.{c}" for c in low) + ")")
-    return a.join(b, beats, "left_anti")
+    """The rows that no other beats: none is at most equal in all of ``low`` (all minimised) and less in one.
+
+    A task keeps the rows that none of its own beats; what these tasks keep is reduced the same way until one task
+    has all of them. Rows with a null in ``low`` are beaten by none and beat none.
+    """
+    names = df.columns
+
+    def skyline(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held = None
+        for b in batches:
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            values = np.array([held[c].cast(pa.float64()).to_numpy() for c in low]).T
+            order = np.lexsort(values.T[::-1])
+            keep: list[int] = []
+            for i in order:  # in this order a row is only beaten by one before it
+                x = values[i]
+                front = values[keep] if keep else np.zeros((0, len(low)))
+                if not ((front <= x).all(1) & (front < x).any(1)).any():
+                    keep.append(i)
+            held = held.take(sorted(keep))
+        if held is not None:
+            yield from held.to_batches()
+
+    whole = df.where(" and ".join(f"`{c}` is not null" for c in low))
+    parts = whole.rdd.getNumPartitions()
+    front = whole.mapInArrow(skyline, df.schema)
+    while parts > 1:
+        parts = -(-parts // 8)
+        front = front.repartition(parts).mapInArrow(skyline, df.schema)
+    return front.unionByName(df.where(" or ".join(f"`{c}` is null" for c in low))).select(*names)

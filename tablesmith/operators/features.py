@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import lineage
+
 # The stop words that tokens leave out.
-STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "or", "that", "the", "to", "was", "were", "will", "with", "this", "have", "had"]
+STOP_WORDS = [
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "was", "are", "were", "be", "have", "has", "it", "this", "that", "i", "you", "he", "she", "we", "they",
+]
 
 
 def polynomial(columns: list[str], degree: int, bias: bool = False, interaction_only: bool = False) -> dict[str, Column]:
@@ -74,7 +78,7 @@ def vocabulary(counts: DataFrame, n: int, min_df: int = 1, max_df: float = 1.0,
 def tf_idf(docs: DataFrame, key: str, words: Column, sublinear: bool = False, **limits) -> DataFrame:
     """(key, term, weight): tf * (ln((n + 1) / (df + 1)) + 1), scaled to unit length per document."""
     n = docs.count()
-    counts = term_counts(docs, key, words)
+    counts = lineage.cut(term_counts(docs, key, words))
     tf = 1 + F.ln("tf") if sublinear else F.col("tf")
     weighed = counts.join(vocabulary(counts, n, **limits), "term").select(key, "term", (tf * (F.ln((F.lit(n) + 1) / (F.col("df") + 1)) + 1)).alias("w"))
     return weighed.select(key, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))).alias("weight"))

@@ -2,33 +2,74 @@
 
 from __future__ import annotations
 
+import re
+from collections import deque
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# What a column's values and names are searched for, and how long classes of data are kept.
+from ..functions import ranks
+from ..functions.folds import folded
+
+# What a column's values are matched against, what its name is searched for, and how long classes of data are kept.
 PATTERNS = {
-    "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$", "phone": r"^(\+?1[-. ]?)?\(?[0-9]{3}\)?[-. ]?[0-9]{3}[-. ]?[0-9]{4}$", "ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
-    "credit_card": r"^[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}$", "ip": r"^([0-9]{1,3}\.){3}[0-9]{1,3}$", "date_of_birth": r"^(19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}$",
-}
-NAMES = {"email": "email", "phone": "phone|mobile", "ssn": "ssn|social", "credit_card": "credit|card", "name": "name", "address": "address|street", "date_of_birth": "birth|dob", "ip": "ip_addr"}
+    "email": r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$",
+    "phone": r"^(\+?\d{1,3}[\s\-]?)?\(?\d{2,4}\)?[\s\-]?\d{3,4}[\s\-]?\d{3,4}$",
+    "ssn": r"^\d{3}-?\d{2}-?\d{4}$",
+    "credit_card": r"^\d{4}[\s\-]?\d{4}[\s\-]?\d{4}[\s\-]?\d{4}$",
+    "ip_address": r"^(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)$",
+    "postal_code": r"^\d{5}(-\d{4})?$",
+}
+NAMES = {
+    "email": "(e[-_]?mail|email_addr)",
+    "phone": "(phone|tel|mobile|cell)",
+    "ssn": "(ssn|social_sec|national_id)",
+    "credit_card": "(credit_card|card_num|cc_num)",
+    "name": "(first_?name|last_?name|full_?name|surname|given_name)",
+    "address": "(address|street|city|state|zip|postal)",
+    "date_of_birth": "(dob|date_of_birth|birth_?date|birthday)",
+    "ip_address": "(ip_addr|ip_address|source_ip|client_ip)",
+}
 RETENTION = {"public": None, "internal": 365, "confidential": 90, "restricted": 30}
+#: What is advised for a column, by the kinds found in it; the first that applies.
+ADVICE = {"remove": ("ssn", "credit_card"), "anonymize": ("email", "phone", "name"), "review": None}
+BY_NAME, LEAST_SHARE, LEAST_VALID = 0.7, 0.1, 0.05
 
 
-def pii_columns(df: DataFrame, columns: list[str], first: int = 1000, order: str | None = None, least: float = 0.1) -> DataFrame:
-    """(column, kind, matched, by): what each column's first values, in ``order``, match by more than ``least``, or its name says.
+def pii_columns(df: DataFrame, columns: list[str], first: int = 1000, order: str | None = None) -> DataFrame:
+    """(column, kind, confidence): kinds that a column's name suggests, or that more than LEAST_SHARE of its first values match.
 
-    Card numbers count only where at least 5 % of the matches pass the check of their last digit.
+    The ``first`` values that aren't null, in ``order``, are trimmed and matched; the share of matches takes the place of
+    a name's confidence. Card numbers count only where LEAST_VALID of the values at least have a right check digit, and
+    that share is their confidence. The bound on values is a parameter of the operator; each column is read by itself.
     """
-    rows = (df.orderBy(order) if order else df).limit(first)
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])).alias("s")).select("s.*").where("v is not null")
-    luhn = F.call_function("luhn_check", F.regexp_replace("v", "[- ]", ""))
-    hits = long.groupBy("column").agg(F.count("*").alias("n"), *[F.count_if(F.col("v").rlike(p)).alias(k) for k, p in PATTERNS.items()], F.count_if(F.col("v").rlike(PATTERNS["credit_card"]) & luhn).alias("luhn"))
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), (F.col(k) / F.col("n")).alias("matched"), (F.lit(True) if k != "credit_card" else F.col("luhn") >= 0.05 * F.col(k)).alias("ok")) for k in PATTERNS])
-    by_value = hits.select("column", F.explode(kinds).alias("s")).where((F.col("s.matched") > least) & F.col("s.ok")).select("column", "s.kind", F.round("s.matched", 6).alias("matched"), F.lit("value").alias("by"))
-    named = [(c, k, 0.7, "name") for c in columns for k, words in NAMES.items() if any(w in c.lower() for w in words.split("|"))]
-    by_name = df.sparkSession.createDataFrame(named, "column string, kind string, matched double, by string")
-    return by_value.unionByName(by_name.join(by_value.select("column", "kind"), ["column", "kind"], "left_anti"))
+    found = None
+    for c in columns:
+        value = F.col(c).cast("string")
+        rows = df.where(value.isNotNull())
+        rows = (rows.orderBy(order) if order else rows).limit(first).select(F.trim(value).alias("v"))
+        luhn = F.coalesce(F.call_function("luhn_check", F.regexp_replace("v", "[- ]", "")), F.lit(False))
+        hits = rows.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), *[F.count_if(F.col("v").rlike(p)).alias(k) for k, p in PATTERNS.items()], F.count_if(luhn).alias("__luhn"))
+        named = [k for k, words in NAMES.items() if re.search(words, c, re.IGNORECASE)]
+
+        def kind(k: str, named=named) -> Column:
+            share = F.col(k) / F.col("n") if k in PATTERNS else F.lit(0.0)
+            sure = F.when(share > LEAST_SHARE, share).otherwise(F.lit(BY_NAME if k in named else None).cast("double"))
+            valid = F.col("__luhn") / F.col("n")
+            return F.struct(F.lit(k).alias("kind"), F.when(valid >= LEAST_VALID, F.when(sure.isNotNull(), valid)).alias("confidence") if k == "credit_card" else sure.alias("confidence"))
+
+        own = hits.select(F.lit(c).alias("column"), F.explode(F.array(*[kind(k) for k in dict.fromkeys([*PATTERNS, *named])])).alias("s")).select("column", "s.kind", "s.confidence").where("confidence is not null")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def pii_advice(found: DataFrame) -> DataFrame:
+    """(column, kinds, advice) of what ``pii_columns`` found: remove, anonymize or review."""
+    kinds = F.array_sort(F.collect_set("kind"))
+    advice = F.when(F.arrays_overlap(kinds, F.array(*map(F.lit, ADVICE["remove"]))), "remove").when(F.arrays_overlap(kinds, F.array(*map(F.lit, ADVICE["anonymize"]))), "anonymize").otherwise("review")
+    return found.groupBy("column").agg(F.array_join(kinds, ",").alias("kinds"), advice.alias("advice"))
 
 
 def risk(found: Column) -> Column:
@@ -44,6 +85,22 @@ def mask(v: Column, keep: int = 3) -> Column:
     return F.when(F.octet_length(v) > keep, F.concat(F.substring(v, 1, keep), F.lit("***"))).otherwise(F.lit("***"))
 
 
+def suppress(v: Column) -> Column:
+    return F.when(v.isNotNull(), F.lit("[REDACTED]"))
+
+
+def randomize(df: DataFrame, column: str, key: str, seed: int = 42) -> DataFrame:
+    """``df`` with the values of ``column`` dealt to other rows: rows in order of the key take values in the order of draws.
+
+    The distribution of the values stays. Both orders are numbered in ranges, so that no task sorts all rows.
+    """
+    from .sampling import numbered
+
+    spread = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col(key)), 256), 1, 13), 16, 10).cast("long")
+    values = numbered(df.select(F.col(column).alias("__value"), spread.alias("__draw")), "__draw").select("__i", "__value")
+    return numbered(df, key).join(values, "__i").withColumn(column, F.col("__value")).select(*df.columns)
+
+
 def generalize(x: Column, edges: list[float]) -> Column:
     """Bins [low, high) as text, and ``last+``."""
     out = F.when(x >= edges[-1], f"{edges[-1]:g}+")
@@ -68,11 +125,14 @@ def retention(created: Column, kind: Column, now: str) -> tuple[Column, Column]:
 
 def chained(df: DataFrame, by: list[str], order: list[str], payload: Column) -> DataFrame:
     """``df`` with prev and hash, each entry's hash covering the one before: a fold over each entity's log."""
-    entries = F.array_sort(F.collect_list(F.struct(*order, F.struct(*df.columns).alias("__row"), payload.alias("__p"))))
-    step = lambda s, e: F.struct(F.sha2(F.concat_ws("|", s["h"], e["__p"]), 256).alias("h"), F.concat(s["out"], F.array(F.struct(e["__row"].alias("row"), s["h"].alias("prev"), F.sha2(F.concat_ws("|", s["h"], e["__p"]), 256).alias("hash")))).alias("out"))
-    kind = f"array<struct<row:{df.select(F.struct(*df.columns).alias('r')).schema['r'].dataType.simpleString()},prev:string,hash:string>>"
-    folded = df.groupBy(*by).agg(F.aggregate(entries, F.struct(F.lit("genesis").alias("h"), F.array().cast(kind).alias("out")), step, lambda s: s["out"]).alias("__all"))
-    return folded.select(F.explode("__all").alias("e")).select("e.row.*", "e.prev", "e.hash")
+    import hashlib
+
+    def step(before: str, text: str) -> tuple[str, tuple]:
+        now = hashlib.sha256(f"{before}|{text}".encode()).hexdigest()
+        return now, (before, now)
+
+    rows = df.withColumn("__payload", payload)
+    return folded(rows, by, order, ["__payload"], "prev string, hash string", lambda: "genesis", step).drop("__payload")
 
 
 def verify_chain(log: DataFrame, by: list[str], order: list[str], payload: Column) -> DataFrame:
@@ -113,38 +173,39 @@ def rate_limit(df: DataFrame, by: str, ts: str, key: str, most: int, seconds: in
     if how == "fixed":
         window = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
         return df.select(key, (F.row_number().over(W.partitionBy(by, window).orderBy(ts, key)) <= most).alias("accepted"))
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(pdf):
-        pdf = pdf.sort_values(["__t", key])
-        held: list[float] = []
-        tokens, last, out = float(most), None, []
-        for t in pdf["__t"]:
-            if how == "sliding":
-                held = [x for x in held if x > t - seconds]
-                ok = len(held) < most
-                if ok:
-                    held.append(t)
-            else:
-                tokens = min(float(most), tokens + (0 if last is None else (t - last) * most / seconds))
-                last, ok = t, tokens >= 1
-                tokens -= ok
-            out.append(ok)
-        return pdf[[key]].assign(accepted=out)
+    if how == "sliding":
 
+        def step(held: deque, t: float) -> tuple[deque, tuple]:
+            while held and held[0] <= t - seconds:
+                held.popleft()
+            accepted = len(held) < most
+            if accepted:
+                held.append(t)
+            return held, (accepted,)
+
+        start: Callable[[], object] = deque
+    else:
+
+        def step(bucket: tuple, t: float) -> tuple[tuple, tuple]:
+            tokens, last = bucket
+            tokens = min(float(most), tokens + (0 if last is None else (t - last) * most / seconds))
+            return (tokens - (tokens >= 1), t), (tokens >= 1,)
+
+        start = lambda: (float(most), None)
     rows = df.select(by, key, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("__t"))
-    return rows.groupBy(by).applyInPandas(run, f"{key} {kind}, accepted boolean")
+    return folded(rows, [by], ["__t", key], ["__t"], "accepted boolean", start, step).select(key, "accepted")
 
 
 def batches(df: DataFrame, order: list[str], size: int, by: list[str]) -> DataFrame:
     """``df`` with batch: rows in order of priority and arrival, ``size`` a batch, within each of ``by``."""
-    return df.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1) / size).cast("int"))
+    return ranks.numbered(df, order, by).select(*df.columns, F.floor(F.col("__i") / size).cast("int").alias("batch"))
+
+
+def backpressure(df: DataFrame, by: list[str], order: list[str], queue: str, capacity: int, start: int = 1000, low: int = 100, high: int = 10_000) -> DataFrame:
+    """``df`` with size, the next batch's: halved where the queue is above 80 % of the capacity, else raised by a fifth, within bounds."""
 
+    def step(size: float, waiting: int) -> tuple[float, tuple]:
+        size = max(float(low), size * 0.5) if waiting > 0.8 * capacity else min(float(high), size * 1.2)
+        return size, (int(size),)
 
-def backpressure(sizes: list[int], capacity: int, start: int = 1000, low: int = 100, high: int = 10_000) -> list[int]:
-    """Batch sizes for queue lengths: halved above 80 % of the capacity, else raised by a fifth, within bounds."""
-    out, size = [], float(start)
-    for q in sizes:
-        size = max(low, size * 0.5) if q > 0.8 * capacity else min(high, size * 1.2)
-        out.append(int(size))
-    return out
+    return folded(df, by, order, [queue], "size long", lambda: float(start), step)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lineage
+from ..functions.near import pairs
 from .anomaly import neighbours
 from .transforms import distance
 
@@ -56,8 +57,8 @@ def knn(df: DataFrame, key: str, vector: str, y: str, train: DataFrame, k: int =
 
 def assign(df: DataFrame, key: str, vector: str, centers: DataFrame) -> DataFrame:
     """(key, cluster, dist) of the nearest of ``centers`` (cluster, center), ties by the smallest cluster."""
-    pairs = df.select(key, vector).crossJoin(F.broadcast(centers)).select(key, "cluster", distance(F.col(vector), F.col("center")).alias("dist"))
-    return pairs.groupBy(key).agg(F.min(F.struct("dist", "cluster")).alias("s")).select(key, "s.cluster", "s.dist")
+    each = df.select(key, vector).crossJoin(F.broadcast(centers)).select(key, "cluster", distance(F.col(vector), F.col("center")).alias("dist"))
+    return each.groupBy(key).agg(F.min(F.struct("dist", "cluster")).alias("s")).select(key, "s.cluster", "s.dist")
 
 
 def k_means(df: DataFrame, key: str, vector: str, k: int, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
@@ -77,16 +78,13 @@ def k_means(df: DataFrame, key: str, vector: str, k: int, rounds: int = 20, tole
     return spark.createDataFrame(centers, "cluster int, center array<double>")
 
 
-def dbscan(df: DataFrame, key: str, vector: str, radius: float, least: int, most: int = 20_000, rounds: int = 100) -> DataFrame:
+def dbscan(df: DataFrame, key: str, vector: str, radius: float, least: int, rounds: int = 100) -> DataFrame:
     """(key, core, cluster): cores have ``least`` rows within the radius, themselves included; clusters are cores that
     reach each other, named by their smallest key, and rows near a core; noise has none. Labels hook onto smaller ones
     nearby and jump to their labels' labels until none changes, which takes few rounds; more than ``rounds`` are an error."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows; index them first")
-    other = df.select(F.col(key).alias("near"), F.col(vector).alias("__v"))
-    near = df.select(key, vector).crossJoin(F.broadcast(other)).where(distance(F.col(vector), F.col("__v")) <= radius).select(key, "near").persist()
+    near = lineage.cut(pairs(df, df, key, vector, radius=radius, itself=True).select(key, "near"))
     cores = near.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(key)
-    links = near.join(cores, key).join(cores.select(F.col(key).alias("near")), "near").select(key, "near").persist()
+    links = lineage.cut(near.join(cores, key).join(cores.select(F.col(key).alias("near")), "near").select(key, "near"))
     label = lineage.cut(cores.withColumn("cluster", F.col(key)))
     for _ in range(rounds):
         low = links.join(label.select(F.col(key).alias("near"), "cluster"), "near").groupBy(key).agg(F.min("cluster").alias("low"))

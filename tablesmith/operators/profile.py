@@ -147,3 +147,63 @@ def shifted(before: DataFrame, after: DataFrame, columns: list[str], least: floa
     b = per_column(after, columns, {"now": F.avg})
     z = (F.col("now") - F.col("mean")) / F.col("std")
     return a.join(F.broadcast(b), "column").select("column", F.round(z, 6).alias("z"), (F.abs(z) > least).alias("shifted"))
+
+
+def gate(df: DataFrame, numeric: list[str], other: list[str], y: str | None = None, most_imbalance: float = 10.0) -> DataFrame:
+    """The quality report: a row per column (completeness, distinct, outlier and zero shares, consistency, validity,
+    warnings), and a row ``*`` of the table with its means, uniqueness and overall score.
+
+    Shares are of all rows. Consistency is 1 for typed columns; for text it's the share of its larger kind, numbers or
+    not. Validity is completeness * consistency * (1 - outliers), overall .3 completeness + .2 uniqueness + .25
+    consistency + .25 validity. A table that repeats rows, and a target ``y`` whose largest class has more than
+    ``most_imbalance`` times the rows of the smallest, are warned of in the last row.
+    """
+    bounds = {c: x[1:] for c, x in order_stats.summaries(df, numeric).items()}
+    lit = lambda x: F.lit(x).cast("double")
+    first = {c: (r[f"{c}__0"], r[f"{c}__1"], r[f"{c}__2"]) for r in [df.agg(*[f(c).alias(f"{c}__{i}") for c in numeric for i, f in enumerate((F.min, F.max, F.count))]).first()] for c in numeric} if numeric else {}
+
+    def outside(c: str) -> Column:
+        a, b = bounds.get(c, (None, None))
+        return F.lit(0).cast("long") if a is None else F.count_if((F.col(c) < a - 1.5 * (b - a)) | (F.col(c) > b + 1.5 * (b - a)))
+
+    def uneven(c: str) -> Column:
+        """Values that aren't whole steps from the least one, if values are evenly spread."""
+        low, high, n = first.get(c, (None, None, 0))
+        if not n or n < 2 or high == low:
+            return F.lit(1).cast("long")
+        step = (float(high) - float(low)) / (n - 1)
+        place = (F.col(c).cast("double") - float(low)) / step
+        return F.count_if(F.abs(place - F.round(place)) * step >= 1e-9)
+
+    def consistency(c: str) -> Column:
+        if c in numeric:
+            return F.lit(1.0)
+        share = F.count_if(F.trim(F.col(c)).rlike(r"^[-+]?[0-9]+([.][0-9]+)?$")) / F.count(c)
+        return F.coalesce(F.greatest(share, 1 - share), F.lit(1.0))
+
+    on = lambda f: lambda c: f(c) if c in numeric else lit(None)
+    table = per_column(df, [*numeric, *other], {
+        "n": lambda c: F.count(F.lit(1)), "valid": F.count, "distinct": F.count_distinct, "outside": outside, "uneven": uneven, "consistency": consistency, "zeros": lambda c: F.count_if(F.col(c) == 0) if c in numeric else F.lit(0).cast("long"),
+        "std": on(lambda c: F.stddev_samp(c)), "skew": on(moments.skew_sample), "kurt": on(moments.kurt_sample),
+    })
+    share = lambda c: F.coalesce(F.try_divide(c, F.col("n")), F.lit(0.0))
+    table = table.withColumns({"completeness": F.coalesce(F.try_divide("valid", "n"), F.lit(1.0)), "distinct_ratio": share(F.col("distinct")), "outlier_ratio": share(F.col("outside")), "zeros_ratio": share(F.col("zeros"))})
+    table = table.withColumn("validity", F.col("completeness") * (1 - F.col("outlier_ratio")) * F.col("consistency"))
+    many = (F.col("distinct_ratio") > 0.95) & (F.col("n") > 20)
+    rules = [
+        ("HighMissingness", F.col("completeness") < 0.7), ("ConstantColumn", (F.col("std") < 1e-10) & (F.col("n") > 1)), ("LowVariance", (F.col("std") >= 1e-10) & (F.col("std") < 1e-6)),
+        ("HighSkewness", F.abs("skew") > 2), ("HighKurtosis", F.abs("kurt") > 7), ("HighZeroRatio", F.col("zeros_ratio") > 0.5), ("HighOutlierRatio", F.col("outlier_ratio") > 0.1), ("HighCardinality", many),
+        ("SuspectedId", many & (F.col("distinct_ratio") > 0.99) & (F.col("distinct") == F.col("valid")) & (F.col("uneven") == 0)),
+    ]
+    joined = lambda found: F.array_join(F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in found]), lambda w: w.isNotNull()), ",")
+    columns = table.withColumn("warnings", joined(rules)).withColumn("overall", lit(None))
+    repeats = duplicates(df).first()
+    unique = 1 - repeats["duplicates"] / repeats["rows"] if repeats["rows"] else 1.0
+    sizes = df.where(F.col(y).isNotNull()).groupBy(y).count().agg(F.max("count"), F.min("count")).first() if y else (None, None)
+    uneven_classes = bool(sizes[0] and sizes[0] > most_imbalance * sizes[1])
+    means = table.agg(*[F.avg(c).alias(c) for c in ("completeness", "outlier_ratio", "zeros_ratio", "consistency", "validity")])
+    whole = means.select(
+        F.lit("*").alias("column"), "completeness", F.lit(unique).alias("distinct_ratio"), "outlier_ratio", "zeros_ratio", "consistency", "validity", joined([("DuplicateRows", F.lit(bool(repeats["duplicates"]))), ("ClassImbalance", F.lit(uneven_classes))]).alias("warnings"),
+        (0.3 * F.col("completeness") + 0.2 * unique + 0.25 * F.col("consistency") + 0.25 * F.col("validity")).alias("overall"),
+    )
+    return columns.select(*whole.columns).unionByName(whole)

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import lineage, near, ranks
 from .anomaly import neighbours
-from .transforms import distance
 
 
 def draw(*keys: str) -> Column:
@@ -30,33 +30,30 @@ def over_plan(df: DataFrame, y: str, strategy: float = 1.0) -> DataFrame:
 
 def over_sample(df: DataFrame, y: str, key: str, strategy: float = 1.0) -> DataFrame:
     """``df`` and copies, numbered by ``copy``: with replacement in turns, the rest to those first in the order of draws."""
-    plan = over_plan(df, y, strategy).select(F.col(y).alias("__y"), "n", "more")
-    rows = df.join(F.broadcast(plan), df[y] == F.col("__y")).withColumn("__r", F.row_number().over(W.partitionBy(y).orderBy(draw(key), key)))
-    times = F.expr("more div n") + (F.col("__r") <= F.col("more") % F.col("n")).cast("int")
+    top = int((df.groupBy(y).count().agg(F.max("count")).first()[0] or 0) * strategy)
+    more = F.greatest(F.lit(top) - F.col("__n"), F.lit(0))
+    rows = ranks.numbered(df.where(F.col(y).isNotNull()), [draw(key), key], [y]).withColumn("more", more)
+    times = F.expr("more div __n") + (F.col("__i") < F.col("more") % F.col("__n")).cast("int")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), times))).select(*df.columns, "copy")
 
 
 def under_sample(df: DataFrame, y: str, key: str, strategy: float = 1.0) -> DataFrame:
     """trunc(smallest / strategy) rows of every class, those first in the order of draws."""
-    target = int(df.groupBy(y).count().agg(F.min("count")).first()[0] / strategy)
-    return df.withColumn("__r", F.row_number().over(W.partitionBy(y).orderBy(draw(key), key))).where(F.col("__r") <= target).drop("__r")
+    target = int((df.groupBy(y).count().agg(F.min("count")).first()[0] or 0) / strategy)
+    return ranks.numbered(df, [draw(key), key], [y]).where(F.col("__i") < target).select(*df.columns)
 
 
-def near_miss(df: DataFrame, y: str, key: str, vector: str, k: int = 3, version: int = 1, most: int = 20_000) -> DataFrame:
+def near_miss(df: DataFrame, y: str, key: str, vector: str, k: int = 3, version: int = 1) -> DataFrame:
     """As many rows of the largest class as the smallest has, by least mean distance to the k nearest (or, in version 2, farthest) others."""
     counts = sorted((r["count"], r[y]) for r in df.groupBy(y).count().collect())
     smallest, largest = counts[0][0], counts[-1][1]
-    others = df.where(F.col(y) != largest)
-    if others.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows of the other classes")
-    pairs = df.where(F.col(y) == largest).select(key, vector).crossJoin(F.broadcast(others.select(F.col(key).alias("__k"), F.col(vector).alias("__v")))).select(key, "__k", distance(F.col(vector), F.col("__v")).alias("d"))
-    order = F.desc("d") if version == 2 else F.col("d")
-    mean = pairs.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy(order, "__k"))).where(F.col("r") <= k).groupBy(key).agg(F.avg("d").alias("mean"))
-    kept = mean.orderBy("mean", key).limit(smallest).select(key)
-    return df.where(F.col(y) == largest).join(kept, key, "left_semi").unionByName(others)
+    others, own = df.where(F.col(y) != largest), df.where(F.col(y) == largest)
+    mean = near.pairs(own, others, key, vector, k=k, farthest=version == 2, itself=True).groupBy(key).agg(F.avg("dist").alias("mean"))
+    kept = ranks.numbered(mean, ["mean", key]).where(F.col("__i") < smallest).select(key)
+    return own.join(kept, key, "left_semi").unionByName(others)
 
 
-def smote(df: DataFrame, y: str, key: str, vector: str, k: int = 5, minority=None, most: int = 20_000) -> DataFrame:
+def smote(df: DataFrame, y: str, key: str, vector: str, k: int = 5, minority=None) -> DataFrame:
     """(source, near, vector): synthetic points of each class below the largest (or of ``minority`` alone), on lines to one of
     the k nearest that differ, until classes are even. Points are spread evenly over the rows that have such a neighbour.
 
@@ -65,30 +62,24 @@ def smote(df: DataFrame, y: str, key: str, vector: str, k: int = 5, minority=Non
     counts = df.where(F.col(y).isNotNull()).groupBy(y).count().collect()
     top = max((r["count"] for r in counts), default=0)
     plan = [(r[y], r["count"], top - r["count"]) for r in counts if r["count"] < top and minority in (None, r[y])]
-    if any(n > most for _, n, _ in plan):
-        raise ValueError(f"a class to be raised has more than {most} rows; index or sample them")
-    plan = df.sparkSession.createDataFrame(plan, f"__y {df.schema[y].dataType.simpleString()}, __n long, __need long").select("__y", "__need")
-    own = df.join(F.broadcast(plan), F.col(y) == F.col("__y")).select(F.col(key).alias("source"), "__y", "__need", F.col(vector).alias("__a"))
-    other = own.select(F.col("source").alias("near"), "__y", F.col("__a").alias("__b"))
-    pairs = own.join(other, "__y").where("source <> near").select("source", "near", "__y", "__need", distance(F.col("__a"), F.col("__b")).alias("dist")).where("dist > 0")
-    near = pairs.withColumn("__k", F.row_number().over(W.partitionBy("source").orderBy("dist", "near"))).where(F.col("__k") <= k)
-    givers = near.where("__k = 1").select("source", "__y", "__need")
-    w = W.partitionBy("__y")
-    givers = givers.withColumn("__r", F.row_number().over(w.orderBy(draw("source"), "source"))).withColumn("__n", F.count(F.lit(1)).over(w))
-    times = F.expr("__need div __n") + (F.col("__r") <= F.col("__need") % F.col("__n")).cast("long")
-    turns = givers.withColumn("__t", times).where("__t > 0").select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__t") - 1)).alias("turn"))
-    picked = turns.join(near.groupBy("source").agg(F.collect_list("near").alias("__near")), "source")
-    picked = picked.withColumn("near", F.array_min(F.transform("__near", lambda x: F.struct(F.sha2(F.concat_ws(":", F.lit("draw"), F.col("source"), x, F.col("turn")), 256).alias("d"), x.alias("near"))))["near"])
-    part = F.conv(F.substring(draw("turn", "source"), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    joined = picked.select("source", "near", "turn").join(own.select("source", "__a"), "source").join(other.select("near", "__b"), "near").withColumn("u", part)
-    return joined.select("source", "near", F.zip_with("__a", "__b", lambda p, q: p + F.col("u") * (q - p)).alias(vector))
+    found = None
+    for value, _, need in sorted(plan, key=str):
+        rows = df.where(F.col(y) == value)
+        own = rows.select(F.col(key).alias("source"), F.col(vector).alias("__a"))
+        close = lineage.cut(near.pairs(rows, rows, key, vector, k=k, apart=True).select(F.col(key).alias("source"), "near"))
+        givers = ranks.numbered(close.select("source").distinct(), [draw("source"), "source"])
+        times = F.expr(f"{need} div __n") + (F.col("__i") < F.lit(need) % F.col("__n")).cast("long")
+        turns = givers.withColumn("__t", times).where("__t > 0").select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__t") - 1)).alias("turn"))
+        made = _points(turns, close, own, vector)
+        found = made if found is None else found.unionByName(made)
+    return df.sparkSession.createDataFrame([], f"source {df.schema[key].dataType.simpleString()}, near {df.schema[key].dataType.simpleString()}, {vector} array<double>") if found is None else found
 
 
 def borderline(df: DataFrame, y: str, key: str, vector: str, m: int = 5, low: float = 0.3, high: float = 0.7) -> DataFrame:
     """(key, share, borderline): the share of another class among the m nearest."""
-    near = neighbours(df, key, vector, m)
+    close = neighbours(df, key, vector, m)
     label = df.select(F.col(key).alias("near"), F.col(y).alias("__y"))
-    return near.join(label, "near").join(df.select(key, y), key).groupBy(key).agg(F.avg((F.col("__y") != F.col(y)).cast("double")).alias("share")).withColumn("borderline", (F.col("share") > low) & (F.col("share") < high))
+    return close.join(label, "near").join(df.select(key, y), key).groupBy(key).agg(F.avg((F.col("__y") != F.col(y)).cast("double")).alias("share")).withColumn("borderline", (F.col("share") > low) & (F.col("share") < high))
 
 
 def adasyn_plan(df: DataFrame, y: str, key: str, vector: str, minority, k: int = 5, beta: float = 1.0) -> DataFrame:
@@ -96,7 +87,57 @@ def adasyn_plan(df: DataFrame, y: str, key: str, vector: str, minority, k: int =
     counts = {r[y]: r["count"] for r in df.groupBy(y).count().collect()}
     total = (max(counts.values()) - counts[minority]) * beta
     hard = borderline(df, y, key, vector, k).join(df.where(F.col(y) == minority).select(key), key, "left_semi")
-    return hard.select(key, F.floor(F.try_divide(F.col("share"), F.sum("share").over(W.partitionBy(F.lit(0)))) * total + 0.5).cast("long").alias("more")).na.fill(0, ["more"])
+    whole = hard.agg(F.sum("share").alias("__all"))
+    return hard.crossJoin(F.broadcast(whole)).select(key, F.floor(F.try_divide(F.col("share"), F.col("__all")) * total + 0.5).cast("long").alias("more")).na.fill(0, ["more"])
+
+
+def _points(turns: DataFrame, close: DataFrame, own: DataFrame, vector: str) -> DataFrame:
+    """(source, near, vector): a point for each of ``turns`` (source, turn), on the line to one of ``close`` (source, near)."""
+    picked = turns.join(close.groupBy("source").agg(F.collect_list("near").alias("__near")), "source")
+    picked = picked.withColumn("near", F.array_min(F.transform("__near", lambda x: F.struct(F.sha2(F.concat_ws(":", F.lit("draw"), F.col("source"), x, F.col("turn")), 256).alias("d"), x.alias("near"))))["near"])
+    part = F.conv(F.substring(draw("turn", "source"), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    other = own.select(F.col("source").alias("near"), F.col("__a").alias("__b"))
+    joined = picked.select("source", "near", "turn").join(own, "source").join(other, "near").withColumn("u", part)
+    return joined.select("source", "near", F.zip_with("__a", "__b", lambda p, q: p + F.col("u") * (q - p)).alias(vector))
+
+
+def _own(df: DataFrame, y: str, key: str, vector: str, minority) -> DataFrame:
+    return df.where(F.col(y) == minority).select(F.col(key).alias("source"), F.col(vector).alias("__a"))
+
+
+def _near_own(df: DataFrame, y: str, key: str, vector: str, minority, k: int) -> DataFrame:
+    """(source, near): the k nearest of the same class."""
+    return neighbours(df.where(F.col(y) == minority), key, vector, k).select(F.col(key).alias("source"), "near")
+
+
+def borderline_points(df: DataFrame, y: str, key: str, vector: str, minority, k: int = 5, m: int = 5) -> DataFrame:
+    """(source, near, vector): synthetic points of the minority until it is even with the largest class, from its borderline rows in turns.
+
+    Without a borderline row every row of the minority gives points.
+    """
+    counts = {r[y]: r["count"] for r in df.groupBy(y).count().collect()}
+    need = max(counts.values()) - counts[minority]
+    edge = borderline(df, y, key, vector, m).where("borderline").select(F.col(key).alias("source"))
+    own = _own(df, y, key, vector, minority)
+    givers = lineage.cut(own.select("source").join(edge, "source", "left_semi"))
+    givers = givers if givers.limit(1).count() else own.select("source")
+    placed = ranks.numbered(givers, [draw("source"), "source"])
+    times = F.expr(f"{need} div __n") + (F.col("__i") < F.lit(need) % F.col("__n")).cast("long")
+    turns = placed.withColumn("__t", times).where("__t > 0").select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__t") - 1)).alias("turn"))
+    return _points(turns, _near_own(df, y, key, vector, minority, k), own, vector)
+
+
+def adasyn(df: DataFrame, y: str, key: str, vector: str, minority, k: int = 5, beta: float = 1.0, most_share: float = 0.75) -> DataFrame:
+    """(source, near, vector): as many points of each row of the minority as ``adasyn_plan`` gives it.
+
+    None where the minority has more than ``most_share`` of the largest class.
+    """
+    counts = {r[y]: r["count"] for r in df.groupBy(y).count().collect()}
+    own = _own(df, y, key, vector, minority)
+    plan = adasyn_plan(df, y, key, vector, minority, k, beta).select(F.col(key).alias("source"), "more")
+    plan = plan.where(F.lit(counts[minority] <= most_share * max(counts.values())) & (F.col("more") > 0))
+    turns = plan.select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("more") - 1)).alias("turn"))
+    return _points(turns, _near_own(df, y, key, vector, minority, k), own, vector)
 
 
 def k_fold(df: DataFrame, k: int, order: str, n: int | None = None) -> DataFrame:
@@ -119,20 +160,23 @@ def numbered(df: DataFrame, order: str, parts: int = 32) -> DataFrame:
 
 
 def stratified(df: DataFrame, y: str, k: int, order: str) -> DataFrame:
-    return df.withColumn("fold", ((F.row_number().over(W.partitionBy(y).orderBy(order)) - 1) % k).cast("int"))
+    """``df`` with fold: rows of each class in order are dealt to folds in turn."""
+    return ranks.numbered(df, [order], [y]).select(*df.columns, (F.col("__i") % k).cast("int").alias("fold"))
 
 
 def group_fold(df: DataFrame, group: str, k: int) -> DataFrame:
     """Groups in order are dealt to folds in turn."""
-    groups = df.select(group).distinct()
-    dealt = groups.select(F.col(group).alias("__g"), ((F.row_number().over(W.partitionBy(F.lit(0)).orderBy(group)) - 1) % k).cast("int").alias("fold"))
+    dealt = ranks.numbered(df.select(F.col(group).alias("__g")).distinct(), ["__g"]).select("__g", (F.col("__i") % k).cast("int").alias("fold"))
     return df.join(dealt, F.col(group) == F.col("__g")).drop("__g")
 
 
 def repeated(df: DataFrame, k: int, times: int, key: str) -> DataFrame:
-    """(.., turn, fold): folds by the order of draws, anew each turn."""
-    rows = df.crossJoin(df.sparkSession.range(times).withColumnRenamed("id", "turn"))
-    return rows.withColumn("fold", F.pmod(F.conv(F.substring(draw(key, "turn"), 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int"))
+    """(.., turn, fold): rows in the order of draws, anew each turn, cut into folds of which the first n % k are one longer."""
+    rows = df.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))))
+    numbered_ = ranks.numbered(rows, [draw(key, "turn"), key], ["turn"])
+    i, size, extra = F.col("__i"), F.expr(f"__n div {k}"), F.col("__n") % k
+    fold = F.when(i < extra * (size + 1), F.floor(i / (size + 1))).otherwise(extra + F.floor((i - extra * (size + 1)) / F.greatest(size, F.lit(1))))
+    return numbered_.select(*rows.columns, fold.cast("int").alias("fold"))
 
 
 def tail_split(df: DataFrame, order: str, share: float) -> DataFrame:
@@ -143,7 +187,6 @@ def tail_split(df: DataFrame, order: str, share: float) -> DataFrame:
 
 def stratified_split(df: DataFrame, y: str, order: str, share: float) -> DataFrame:
     """``df`` with held, for the last clamp(trunc(n * share), 1, n - 1) rows of each class."""
-    w = W.partitionBy(y)
-    n = F.count(F.lit(1)).over(w)
+    n = F.col("__n")
     size = F.greatest(F.lit(0), F.least(F.greatest(F.floor(n * share), F.lit(1)), n - 1))
-    return df.withColumn("held", F.row_number().over(w.orderBy(order)) > n - size)
+    return ranks.numbered(df, [order], [y]).select(*df.columns, (F.col("__i") >= n - size).alias("held"))

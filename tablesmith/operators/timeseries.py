@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.folds import folded
+
 
 def over(by: list[str], order: list[str]) -> WindowSpec:
     return W.partitionBy(*by).orderBy(*order)
@@ -35,14 +37,15 @@ def diff(c: str, k: int, w: WindowSpec) -> Column:
 
 
 def ewm(df: DataFrame, c: str, by: list[str], order: list[str], span: float, key: str) -> DataFrame:
-    """(key, ewm): e[i] = a x[i] + (1 - a) e[i-1] with a = 2 / (span + 1), by a fold over each entity's rows in order."""
+    """(key, ewm): e[i] = a x[i] + (1 - a) e[i-1] with a = 2 / (span + 1), by a fold over each entity's rows; a null keeps e."""
     a = 2 / (span + 1)
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(key).alias("__key"), F.col(c).cast("double").alias("__x"))))
-    start = F.array().cast("array<struct<k:bigint,e:double>>")
-    last = lambda s: F.element_at(s, -1)["e"]
-    step = lambda s, r: F.concat(s, F.array(F.struct(r["__key"].cast("long").alias("k"), F.when(F.size(s) == 0, r["__x"]).otherwise(a * r["__x"] + (1 - a) * F.when(F.size(s) > 0, last(s))).alias("e"))))
-    folded = df.groupBy(*by).agg(F.aggregate(rows, start, step).alias("__all"))
-    return folded.select(F.explode("__all").alias("r")).select(F.col("r.k").alias(key), F.col("r.e").alias("ewm"))
+
+    def step(e: float | None, v: float | None) -> tuple[float | None, tuple]:
+        e = e if v is None else v if e is None else a * v + (1 - a) * e
+        return e, (e,)
+
+    rows = df.select(*dict.fromkeys([*by, *order, key]), F.col(c).cast("double").alias("__x"))
+    return folded(rows, by, order, ["__x"], "ewm double", lambda: None, step).select(key, "ewm")
 
 
 def calendar_approximate(ts: Column) -> dict[str, Column]:

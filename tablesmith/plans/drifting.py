@@ -93,9 +93,15 @@ def drift_ddm_eddm(s, d):
     return a.join(b, "event_id").select("event_id", state.alias("state"))
 
 
-@query("drift_page_hinkley")
+_PH = """WITH RECURSIVE o AS (SELECT event_id, user_id % 8 AS g, value AS v, row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) AS i FROM events),
+    c AS (SELECT event_id, g, i, v AS mean, 0 + v - v - .005::DOUBLE AS total, least(0::DOUBLE, 0 + v - v - .005::DOUBLE) AS low FROM o WHERE i = 1
+    UNION ALL SELECT event_id, g, i, m, t, least(low, t) FROM (SELECT o.event_id, o.g, o.i, .9999::DOUBLE * c.mean + (1 - .9999::DOUBLE) * o.v AS m, c.total + (o.v - (.9999::DOUBLE * c.mean + (1 - .9999::DOUBLE) * o.v) - .005::DOUBLE) AS t, c.low AS low FROM c JOIN o ON o.g = c.g AND o.i = c.i + 1))
+    SELECT event_id, round(total - low, 4) AS sum, total - low > 50 AS drift FROM c"""
+
+
+@query("drift_page_hinkley", _PH)
 def drift_page_hinkley(s, d):
-    return drift.page_hinkley(errors(s, d), ["g"], ["ts", "event_id"], "value", "event_id").withColumn("sum", F.round("sum", 6))
+    return drift.page_hinkley(errors(s, d), ["g"], ["ts", "event_id"], "value", "event_id").withColumn("sum", F.round("sum", 4))
 
 
 @query("drift_adwin")

@@ -133,16 +133,16 @@ def partial_dependence(s, d):
     return r6(ev.partial_dependence(table(s, d, "lineitem"), "l_quantity", lambda g: 2 * g + 3 * F.col("l_discount")))
 
 
-@query("ice", f"SELECT l_orderkey, l_linenumber, i, round(2 * (a + (b - a) * i / 3) + 3 * l_discount, 6) AS score FROM lineitem, {_PR}, range(4) t(i) WHERE l_orderkey % 50 = 0")
+@query("ice", f"SELECT l_orderkey, l_linenumber, i, round(2 * (a + (b - a) * i / 3) + 3 * l_discount, 6) AS score FROM lineitem, {_PR}, range(4) t(i)")
 def ice(s, d):
     from tablesmith.functions import order_stats
 
     df = table(s, d, "lineitem")
-    n = df.count()
-    found = order_stats.at_ranks(df, "l_quantity", [int(0.05 * (n - 1)), int(0.95 * (n - 1))])
-    a, b = found[int(0.05 * (n - 1))], found[int(0.95 * (n - 1))]
+    place = lambda n: [int(0.05 * (n - 1)), int(0.95 * (n - 1))]
+    n, found = order_stats.ranked(df, {"l_quantity": place})["l_quantity"]
+    a, b = (found[k] for k in place(n))
     grid = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(a + (b - a) * i / 3).alias("g")) for i in range(4)]))
-    return df.where("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", "l_discount", grid.alias("s")).select("l_orderkey", "l_linenumber", "s.i", F.round(2 * F.col("s.g") + 3 * F.col("l_discount"), 6).alias("score"))
+    return df.select("l_orderkey", "l_linenumber", "l_discount", grid.alias("s")).select("l_orderkey", "l_linenumber", "s.i", F.round(2 * F.col("s.g") + 3 * F.col("l_discount"), 6).alias("score"))
 
 
 @query("shap_linear", "SELECT l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) OVER ()) * 2, 5) AS l_quantity, round((l_discount - avg(l_discount) OVER ()) * -3, 5) AS l_discount FROM lineitem")
@@ -161,10 +161,15 @@ def shap_importance(s, d):
     return per_column(phi, ["l_quantity", "l_discount"], {"importance": lambda c: F.round(F.avg(F.abs(c)), 6)})
 
 
-@query("permutation_importance")
+def _moved(c):
+    y = {"a": "2 * w.v + o.b", "b": "2 * o.a + w.v"}[c]
+    return f"""SELECT '{c}' AS "column", round(avg((o.y - ({y})) ** 2), 2) AS importance FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS i FROM p) o JOIN (SELECT {c} AS v, row_number() OVER (ORDER BY sha256('{c}:' || o_orderkey), o_orderkey) AS i FROM p) w USING (i)"""
+
+
+@query("permutation_importance", f"WITH p AS (SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS a, o_totalprice AS b, 2 * CAST(o_custkey AS DOUBLE) + o_totalprice AS y FROM orders) {_moved('a')} UNION ALL {_moved('b')}")
 def permutation_importance(s, d):
     df = table(s, d, "orders").select("o_orderkey", F.col("o_custkey").cast("double").alias("a"), F.col("o_totalprice").alias("b")).withColumn("y", 2 * F.col("a") + F.col("b"))
-    return r6(ev.permutation_importance(df, ["a", "b"], "y", "o_orderkey", lambda a, b: 2 * a + b), "column")
+    return ev.permutation_importance(df, ["a", "b"], "y", "o_orderkey", lambda a, b: 2 * a + b).withColumn("importance", F.round("importance", 2))
 
 
 _FAIR = f"SELECT lang AS \"group\", count(*) AS n, count(*) FILTER (p > .4) / count(*) AS selection, coalesce(count(*) FILTER (p > .4 AND y = 1) / nullif(count(*) FILTER (y = 1), 0), 0) AS tpr, coalesce(count(*) FILTER (p > .4 AND y <> 1) / nullif(count(*) FILTER (y <> 1), 0), 0) AS fpr, coalesce(count(*) FILTER (p > .4 AND y = 1) / nullif(count(*) FILTER (p > .4), 0), 0) AS ppv, count(*) FILTER (y = 1) / count(*) AS base FROM {CLF} GROUP BY 1"
@@ -189,25 +194,52 @@ def bias_scan(s, d):
     return r6(ev.bias(clf(s, d), "lang", "y"), "group", "n", "under", "skewed")
 
 
-PEOPLE = "(SELECT c_custkey, 'user' || c_custkey || '@mail.com' AS contact, '555-' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || '-1234' AS reach, c_name FROM customer)"
+SCANNED = ["contact", "reach", "c_name", "card_num", "home_city", "c_custkey"]
+#: The same expressions, written for SQL: what values match, and what names say.
+_VALUES = {
+    "email": "[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z]{2,}", "phone": "([+]?[0-9]{1,3}[ -]?)?[(]?[0-9]{2,4}[)]?[ -]?[0-9]{3,4}[ -]?[0-9]{3,4}", "ssn": "[0-9]{3}-?[0-9]{2}-?[0-9]{4}",
+    "credit_card": "[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", "ip_address": "((25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)[.]){3}(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)", "postal_code": "[0-9]{5}(-[0-9]{4})?",
+}
+_NAMED = {"email": "e[-_]?mail|email_addr", "phone": "phone|tel|mobile|cell", "ssn": "ssn|social_sec|national_id", "credit_card": "credit_card|card_num|cc_num", "name": "first_?name|last_?name|full_?name|surname|given_name", "address": "address|street|city|state|zip|postal", "date_of_birth": "dob|date_of_birth|birth_?date|birthday", "ip_address": "ip_addr|ip_address|source_ip|client_ip"}
+_LUHN = "list_sum(list_transform(range(1, len(r) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(r[i] AS INT) ELSE (2 * CAST(r[i] AS INT)) // 10 + (2 * CAST(r[i] AS INT)) % 10 END)) % 10 = 0"
+PEOPLE = """(SELECT c_custkey, 'user' || c_custkey || '@mail.com' AS contact, '555-' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || '-1234' AS reach, c_name, CASE WHEN c_custkey % 2 = 0 THEN '4111 1111 1111 1111' ELSE '4111 1111 1111 1112' END AS card_num,
+    CASE WHEN c_custkey % 3 > 0 THEN 'town' END AS home_city FROM customer)"""
+_SCAN = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", kind, CASE WHEN kind = 'credit_card' THEN CASE WHEN luhn >= .05 AND (share > .1 OR named) THEN luhn END WHEN share > .1 THEN share WHEN named THEN .7 END AS confidence FROM ("
+    f"SELECT kind, named, coalesce(avg(CAST(CASE WHEN pattern = '' THEN false ELSE regexp_full_match(v, pattern) END AS DOUBLE)), 0) AS share, coalesce(avg(CAST(coalesce(CASE WHEN regexp_full_match(x, '[0-9]+') THEN {_LUHN} END, false) AS DOUBLE)), 0) AS luhn "
+    f"FROM (VALUES " + ", ".join(f"('{k}', '{_VALUES.get(k, '')}', regexp_matches('{c}', '{_NAMED.get(k, '^$')}'))" for k in dict.fromkeys([*_VALUES, *_NAMED])) + f") k(kind, pattern, named) LEFT JOIN (SELECT v, replace(replace(v, '-', ''), ' ', '') AS x, string_split(reverse(x), '') AS r FROM (SELECT trim(CAST({c} AS VARCHAR)) AS v FROM {PEOPLE} WHERE {c} IS NOT NULL ORDER BY c_custkey LIMIT 1000)) ON true GROUP BY ALL)"
+    for c in SCANNED
+)
+_SCAN = f"(SELECT * FROM ({_SCAN}) WHERE confidence IS NOT NULL)"
 
 
 def people(s, d):
     k = F.col("c_custkey").cast("string")
-    return table(s, d, "customer").select("c_custkey", F.concat(F.lit("user"), k, F.lit("@mail.com")).alias("contact"), F.concat(F.lit("555-"), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"), F.lit("-1234")).alias("reach"), "c_name")
+    card = F.when(F.col("c_custkey") % 2 == 0, "4111 1111 1111 1111").otherwise("4111 1111 1111 1112")
+    return table(s, d, "customer").select("c_custkey", F.concat(F.lit("user"), k, F.lit("@mail.com")).alias("contact"), F.concat(F.lit("555-"), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"), F.lit("-1234")).alias("reach"), "c_name", card.alias("card_num"), F.when(F.col("c_custkey") % 3 > 0, "town").alias("home_city"))
 
 
-@query("pii_columns", "SELECT 'contact' AS \"column\", 'email' AS kind, 1.0::DOUBLE AS matched, 'value' AS \"by\" UNION ALL SELECT 'reach', 'phone', 1.0, 'value' UNION ALL SELECT 'c_name', 'name', .7, 'name'")
+@query("pii_columns", f"SELECT \"column\", kind, round(confidence, 6) AS confidence FROM {_SCAN}")
 def pii_columns(s, d):
-    return gv.pii_columns(people(s, d), ["contact", "reach", "c_name"], order="c_custkey")
+    return r6(gv.pii_columns(people(s, d), SCANNED, order="c_custkey"), "column", "kind")
+
 
+@query("pii_advice", f"SELECT \"column\", string_agg(kind, ',' ORDER BY kind) AS kinds, CASE WHEN bool_or(kind IN ('ssn', 'credit_card')) THEN 'remove' WHEN bool_or(kind IN ('email', 'phone', 'name')) THEN 'anonymize' ELSE 'review' END AS advice FROM {_SCAN} GROUP BY 1")
+def pii_advice(s, d):
+    return gv.pii_advice(gv.pii_columns(people(s, d), SCANNED, order="c_custkey"))
 
-@query("pii_risk", "SELECT 3::BIGINT AS columns, 'High' AS risk")
+
+@query("pii_risk", f"SELECT count(DISTINCT \"column\") AS columns, CASE WHEN count(DISTINCT \"column\") = 0 THEN 'Low' WHEN count(DISTINCT \"column\") <= 2 THEN 'Medium' WHEN count(DISTINCT \"column\") <= 5 THEN 'High' ELSE 'Critical' END AS risk FROM {_SCAN}")
 def pii_risk(s, d):
-    found = gv.pii_columns(people(s, d), ["contact", "reach", "c_name"], order="c_custkey")
+    found = gv.pii_columns(people(s, d), SCANNED, order="c_custkey")
     return found.agg(F.count_distinct("column").alias("columns")).withColumn("risk", gv.risk(F.col("columns")))
 
 
+@query("randomize", "WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i FROM customer), b AS (SELECT c_acctbal, row_number() OVER (ORDER BY substr(sha256('42:' || c_custkey), 1, 13)) AS i FROM customer) SELECT c_custkey, c_acctbal FROM a JOIN b USING (i)")
+def randomize(s, d):
+    return gv.randomize(table(s, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey")
+
+
 @query("anonymize", "SELECT c_custkey, 'pseudo_' || substr(sha256('salt' || c_name), 1, 12) AS pseudonym, CASE WHEN strlen(c_name) > 3 THEN substr(c_name, 1, 3) || '***' ELSE '***' END AS masked, CASE WHEN c_acctbal >= 5000 THEN '5000+' WHEN c_acctbal >= 0 AND c_acctbal < 1000 THEN '0-1000' WHEN c_acctbal >= 1000 AND c_acctbal < 5000 THEN '1000-5000' ELSE '<0' END AS bin FROM customer")
 def anonymize(s, d):
     return table(s, d, "customer").select("c_custkey", gv.pseudonym(F.col("c_name"), "salt").alias("pseudonym"), gv.mask(F.col("c_name")).alias("masked"), gv.generalize(F.col("c_acctbal"), [0.0, 1000.0, 5000.0]).alias("bin"))
@@ -235,22 +267,23 @@ def compliance_score(s, d):
 
 
 def log(s, d):
-    e = table(s, d, "events").where("event_type = 'signup'").select("user_id", "event_id", "value")
+    e = table(s, d, "events").select("user_id", "event_id", "value")
     return gv.chained(e, ["user_id"], ["event_id"], F.concat_ws(":", "event_id", "user_id"))
 
 
-@query("audit_chain", """WITH RECURSIVE o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_type = 'signup'),
+@query("audit_chain", """WITH RECURSIVE o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
     c AS (SELECT user_id, event_id, i, 'genesis' AS prev, sha256('genesis|' || event_id || ':' || user_id) AS hash FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.event_id, o.i, c.hash, sha256(c.hash || '|' || o.event_id || ':' || o.user_id) FROM c JOIN o ON o.user_id = c.user_id AND o.i = c.i + 1)
     SELECT event_id, prev, hash FROM c""")
 def audit_chain(s, d):
     return log(s, d).select("event_id", "prev", "hash")
 
 
-@query("audit_verify", "SELECT event_id, event_id % 50 <> 7 AS valid FROM events WHERE event_type = 'signup'")
+@query("audit_verify", "SELECT event_id, event_id % 50 <> 7 AND coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) % 50 <> 13, true) AND event_id % 50 <> 13 AS valid FROM events")
 def audit_verify(s, d):
-    broken = log(s, d).withColumn("hash", F.col("hash"))
-    checked = gv.verify_chain(broken, ["user_id"], ["event_id"], F.when(F.col("event_id") % 50 == 7, F.lit("tampered")).otherwise(F.concat_ws(":", "event_id", "user_id")))
-    return checked.select("event_id", "valid")
+    """Entries whose payload was changed, or whose hash was: the latter breaks the next entry, too."""
+    text = F.concat_ws(":", "event_id", "user_id")
+    kept = log(s, d).withColumn("text", F.when(F.col("event_id") % 50 == 7, F.lit("tampered")).otherwise(text)).withColumn("hash", F.when(F.col("event_id") % 50 == 13, F.reverse("hash")).otherwise(F.col("hash")))
+    return gv.verify_chain(kept, ["user_id"], ["event_id"], F.col("text")).select("event_id", "valid")
 
 
 @query("latency_stats", "SELECT count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS low, max(value) AS high, " + ", ".join(f"list_sort(list(value))[CAST(floor({p} * (count(*) - 1)) AS BIGINT) + 1] AS p{q}" for p, q in ((.5, 50), (.95, 95), (.99, 99))) + " FROM events")
@@ -291,12 +324,17 @@ def rate_limit_fixed(s, d):
     return gv.rate_limit(table(s, d, "events"), "user_id", "ts", "event_id", 3, 86400, "fixed")
 
 
-@query("rate_limit_sliding")
+_CALLS = "o AS (SELECT event_id, user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
+
+
+@query("rate_limit_sliding", f"""WITH RECURSIVE {_CALLS}, c AS (SELECT event_id, user_id, i, [t] AS held, true AS accepted FROM o WHERE i = 1
+    UNION ALL SELECT event_id, user_id, i, CASE WHEN len(k) < 3 THEN list_append(k, t) ELSE k END, len(k) < 3 FROM (SELECT o.*, list_filter(c.held, lambda x: x > o.t - 86400) AS k FROM c JOIN o ON o.user_id = c.user_id AND o.i = c.i + 1)) SELECT event_id, accepted FROM c""")
 def rate_limit_sliding(s, d):
     return gv.rate_limit(table(s, d, "events"), "user_id", "ts", "event_id", 3, 86400)
 
 
-@query("rate_limit_bucket")
+@query("rate_limit_bucket", f"""WITH RECURSIVE {_CALLS}, c AS (SELECT event_id, user_id, i, t, 2.0::DOUBLE AS tokens, true AS accepted FROM o WHERE i = 1
+    UNION ALL SELECT event_id, user_id, i, t, CASE WHEN k >= 1 THEN k - 1 ELSE k END, k >= 1 FROM (SELECT o.*, least(3.0::DOUBLE, c.tokens + (o.t - c.t) * 3 / 86400) AS k FROM c JOIN o ON o.user_id = c.user_id AND o.i = c.i + 1)) SELECT event_id, accepted FROM c""")
 def rate_limit_bucket(s, d):
     return gv.rate_limit(table(s, d, "events"), "user_id", "ts", "event_id", 3, 86400, "bucket")
 
@@ -306,24 +344,28 @@ def priority_batches(s, d):
     return gv.batches(table(s, d, "orders"), ["o_orderpriority", "o_orderkey"], 32, ["o_orderstatus"]).select("o_orderkey", "batch")
 
 
-@query("backpressure")
+_QUEUES = "(SELECT user_id % 8 AS g, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, count(*) AS queue FROM events GROUP BY ALL)"
+
+
+@query("backpressure", f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY day) AS i FROM {_QUEUES}), c AS (SELECT g, day, i, CASE WHEN queue > .8 * 15 THEN 500.0::DOUBLE ELSE 1200.0::DOUBLE END AS size FROM o WHERE i = 1
+    UNION ALL SELECT o.g, o.day, o.i, CASE WHEN o.queue > .8 * 15 THEN greatest(100.0::DOUBLE, c.size * .5) ELSE least(10000.0::DOUBLE, c.size * 1.2::DOUBLE) END FROM c JOIN o ON o.g = c.g AND o.i = c.i + 1) SELECT g, day, CAST(floor(size) AS BIGINT) AS size FROM c""")
 def backpressure(s, d):
-    sizes = [100, 500, 900, 950, 990, 300, 200, 850, 100]
-    return s.createDataFrame(list(enumerate(gv.backpressure(sizes, 1000))), "step int, size int")
+    queues = table(s, d, "events").groupBy((F.col("user_id") % 8).alias("g"), F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400).alias("day")).agg(F.count("*").alias("queue"))
+    return gv.backpressure(queues, ["g"], ["day"], "queue", 15).select("g", "day", "size")
 
 
-@query("median_pruner", "WITH t AS (SELECT user_id AS trial, event_id % 4 AS step, avg(value) AS score FROM events WHERE user_id < 40 GROUP BY ALL), m AS (SELECT step, list_sort(list(score))[count(*) // 2 + 1] AS mid FROM t GROUP BY 1) SELECT trial, step, score > mid AS prune FROM t JOIN m USING (step)")
+@query("median_pruner", "WITH t AS (SELECT user_id AS trial, event_id % 4 AS step, avg(value) AS score FROM events GROUP BY ALL), m AS (SELECT step, list_sort(list(score))[count(*) // 2 + 1] AS mid FROM t GROUP BY 1) SELECT trial, step, score > mid AS prune FROM t JOIN m USING (step)")
 def median_pruner(s, d):
     """Prunes a trial's step that is worse than the upper median of all trials at that step."""
-    t = table(s, d, "events").where("user_id < 40").groupBy(F.col("user_id").alias("trial"), (F.col("event_id") % 4).alias("step")).agg(F.avg("value").alias("score"))
+    t = table(s, d, "events").groupBy(F.col("user_id").alias("trial"), (F.col("event_id") % 4).alias("step")).agg(F.avg("value").alias("score"))
     v = F.array_sort(F.collect_list("score"))
     m = t.groupBy("step").agg(F.element_at(v, F.floor(F.size(v) / 2).cast("int") + 1).alias("mid"))
     return t.join(F.broadcast(m), "step").select("trial", "step", (F.col("score") > F.col("mid")).alias("prune"))
 
 
-@query("percentile_pruner", "WITH t AS (SELECT user_id AS trial, event_id % 4 AS step, avg(value) AS score FROM events WHERE user_id < 40 GROUP BY ALL), m AS (SELECT step, list_sort(list(score))[least(CAST(floor(.25 * count(*)) AS BIGINT), count(*) - 1) + 1] AS mid FROM t GROUP BY 1) SELECT trial, step, score > mid AS prune FROM t JOIN m USING (step)")
+@query("percentile_pruner", "WITH t AS (SELECT user_id AS trial, event_id % 4 AS step, avg(value) AS score FROM events GROUP BY ALL), m AS (SELECT step, list_sort(list(score))[least(CAST(floor(.25 * count(*)) AS BIGINT), count(*) - 1) + 1] AS mid FROM t GROUP BY 1) SELECT trial, step, score > mid AS prune FROM t JOIN m USING (step)")
 def percentile_pruner(s, d):
-    t = table(s, d, "events").where("user_id < 40").groupBy(F.col("user_id").alias("trial"), (F.col("event_id") % 4).alias("step")).agg(F.avg("value").alias("score"))
+    t = table(s, d, "events").groupBy(F.col("user_id").alias("trial"), (F.col("event_id") % 4).alias("step")).agg(F.avg("value").alias("score"))
     v = F.array_sort(F.collect_list("score"))
     m = t.groupBy("step").agg(F.element_at(v, F.least(F.floor(F.size(v) * 0.25), F.size(v) - 1).cast("int") + 1).alias("mid"))
     return t.join(F.broadcast(m), "step").select("trial", "step", (F.col("score") > F.col("mid")).alias("prune"))

@@ -32,7 +32,7 @@ def auto_crossing(s, d):
     return fx.crossing(table(s, d, "lineitem"), NUM).withColumn("r", F.round("r", 6))
 
 
-STOP = ", ".join(f"'{w}'" for w in fx.STOP_WORDS)
+STOP = ", ".join(f"'{w}'" for w in "a an the and or but in on at to for of with by is was are were be have has it this that i you he she we they".split())
 TOKENS = f"list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: strlen(t) >= 2 AND t NOT IN ({STOP}))"
 
 
@@ -42,10 +42,10 @@ def tokenize(s, d):
     return table(s, d, "benchmark").select("item_id", F.array_join(words, " ").alias("tokens"), F.size(words).cast("long").alias("n"))
 
 
-@query("word_ngrams", f"SELECT item_id, array_to_string(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), '|') AS grams FROM (SELECT item_id, {TOKENS} AS w FROM benchmark) WHERE len(w) > 1")
+@query("word_ngrams", f"SELECT item_id, array_to_string(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), '|') AS grams FROM (SELECT item_id, {TOKENS} AS w FROM benchmark)")
 def word_ngrams(s, d):
     words = fx.tokens(F.col("text"))
-    return table(s, d, "benchmark").where(F.size(words) > 1).select("item_id", F.array_join(fx.ngrams(words, 1, 2), "|").alias("grams"))
+    return table(s, d, "benchmark").select("item_id", F.array_join(fx.ngrams(words, 1, 2), "|").alias("grams"))
 
 
 _TF = f"(SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark) GROUP BY ALL)"
@@ -72,7 +72,10 @@ def tf_idf_sublinear(s, d):
     return fx.tf_idf(table(s, d, "benchmark"), "item_id", fx.tokens(F.col("text")), sublinear=True).withColumn("weight", F.round("weight", 6))
 
 
-@query("hashing_vectorizer")
+_SLOT = "list_reduce(list_concat([5::BIGINT], list_transform(range(0, strlen(term)), lambda i: CAST('0x' || substr(hex(term), 2 * i + 1, 2) AS BIGINT))), lambda h, b: (h * 33 + b) % 256)"
+
+
+@query("hashing_vectorizer", f"WITH s AS (SELECT item_id, slot, count(*) AS n FROM (SELECT item_id, {_SLOT} AS slot FROM (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark)) GROUP BY ALL) SELECT item_id, slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS weight FROM s")
 def hashing_vectorizer(s, d):
     return fx.hashing(table(s, d, "benchmark"), "item_id", fx.tokens(F.col("text"))).withColumn("weight", F.round("weight", 6))
 
@@ -107,7 +110,11 @@ def mutual_information(s, d):
     return fx.mutual_information(table(s, d, "lineitem"), [c for c in NUM if c != "l_extendedprice"], "l_extendedprice").withColumn("mi", F.round("mi", 6))
 
 
-@query("redundant_columns")
+_ALL = {**{c: c for c in NUM}, "twice": "l_quantity * 2 + 1"}
+_CORR = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, '{a}' AS a, '{b}' AS b, abs(corr({x}, {y})) AS r FROM lineitem" for i, (a, x) in enumerate(_ALL.items()) for j, (b, y) in enumerate(_ALL.items()) if i != j)
+
+
+@query("redundant_columns", f"WITH r AS ({_CORR}), m AS (SELECT a, avg(r) AS m FROM r GROUP BY 1) SELECT DISTINCT CASE WHEN x.m > y.m THEN r.a ELSE r.b END AS \"column\" FROM r JOIN m x ON x.a = r.a JOIN m y ON y.a = r.b WHERE i < j AND r > .9")
 def redundant_columns(s, d):
     df = table(s, d, "lineitem").select(*NUM, (F.col("l_quantity") * 2 + 1).alias("twice"))
     return s.createDataFrame([(c,) for c in fx.redundant(df, [*NUM, "twice"])], "column string")

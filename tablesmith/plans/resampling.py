@@ -88,7 +88,7 @@ def group_fold(s, d):
     return sampling.group_fold(table(s, d, "customer"), "c_nationkey", 4).select("c_custkey", "fold")
 
 
-@query("repeated_fold")
+@query("repeated_fold", "SELECT c_custkey, turn, CAST(CASE WHEN i < n % 5 * (n // 5 + 1) THEN i // (n // 5 + 1) ELSE n % 5 + (i - n % 5 * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold FROM (SELECT c_custkey, turn, count(*) OVER (PARTITION BY turn) AS n, row_number() OVER (PARTITION BY turn ORDER BY sha256('draw:' || c_custkey || ':' || turn), c_custkey) - 1 AS i FROM customer, range(2) t(turn))")
 def repeated_fold(s, d):
     return sampling.repeated(table(s, d, "customer").select("c_custkey"), 5, 2, "c_custkey")
 

@@ -205,10 +205,14 @@ def quantize_asymmetric(s, d):
     return df.select("c_custkey", q.alias("q"), F.round(T.dequantize(q, scale_, zero), 6).alias("back"))
 
 
-@query("calibrate_histogram")
+_HIST = """WITH b AS (SELECT min(c_acctbal) AS low, (max(c_acctbal) - min(c_acctbal)) / 2048 AS w, count(*) AS n FROM customer), c AS (SELECT i, count(c_acctbal) AS k FROM range(2048) t(i) CROSS JOIN b LEFT JOIN customer ON least(floor((c_acctbal - low) / w), 2047) = i GROUP BY 1), r AS (SELECT i, sum(k) OVER (ORDER BY i) AS run FROM c)
+    SELECT low + coalesce(max(i + 1) FILTER (run <= (1 - .98::DOUBLE) / 2 * n), 0) * w AS low, low + least(coalesce(max(i + 2) FILTER (run < (1 - (1 - .98::DOUBLE) / 2) * n), 2048), 2048) * w AS high FROM r, b GROUP BY b.low, w, n"""
+
+
+@query("calibrate_histogram", f"SELECT round(low, 4) AS low, round(high, 4) AS high FROM ({_HIST})")
 def calibrate_histogram(s, d):
     low, high = T.calibrate(table(s, d, "customer"), "c_acctbal", "histogram", 0.98)
-    return s.createDataFrame([(low, high)], "low double, high double")
+    return s.createDataFrame([(round(low, 4), round(high, 4))], "low double, high double")
 
 
 _V = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
