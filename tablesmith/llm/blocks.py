@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Tokens that a task packs together, and about as many that one bucket gets.
-TOKENS = 2_000_000
+TOKENS = 1_000_000
 #: Bytes of text per token, at least.
 TOKEN_BYTES = 5
 #: Rows of one batch of blocks.
-ROWS = 16
+ROWS = 8
 BLOCK = "bucket int, source long, kind int, data binary"
 
 

@@ -15,7 +15,7 @@ from ..functions import lineage
 #: Rows of one Arrow batch sent to a Python worker; texts are long, so batches stay small.
 BATCH_ROWS = 512
 #: Bytes of one Arrow batch, where the running Spark has that setting.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:

@@ -52,10 +52,12 @@ def _sent(docs: DataFrame, n: int, bits: int, buckets: int) -> DataFrame:
             source, sent = (task << 24) + turn, []
             turn += 1
             if sets:
-                key = np.concatenate(sets) >> np.uint64(64 - bits)
+                owner = np.repeat(np.arange(1, len(sets) + 1, dtype=np.uint32), [len(x) for x in sets])
+                key, sets = np.concatenate(sets) >> np.uint64(64 - bits), []
                 order = np.argsort(key)
-                owner = np.repeat(np.arange(1, len(sets) + 1, dtype=np.uint32), [len(x) for x in sets])[order]
+                owner = owner[order]
                 key = key[order]
+                del order
                 first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
                 many = np.diff(np.append(first, len(key))) > 1
                 key, owner = key[first], owner[first]
@@ -114,6 +116,7 @@ def _singles(buckets: int):
             order = np.argsort(key)
             key = key[order]
             edge = np.append(np.append(True, key[1:] != key[:-1]), True)
+            del key
             order = order[edge[:-1] & edge[1:]]
             order = order[owner[order] > 0]
             at, owner = at[order], owner[order] - 1
