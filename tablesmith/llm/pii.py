@@ -1,14 +1,18 @@
 """Personal data replaced by surrogates of the same kind, in DataFrame and SQL functions alone.
 
 Entities are e-mail addresses, phone numbers, IP addresses, long card or account numbers, IBANs, social security
-numbers and names after a form of address. A surrogate is drawn from a keyed hash of the entity and keeps its
-format; names keep gender and script. All distinct entities of the corpus get their surrogates in one table, where
+numbers and names after a form of address. A surrogate is drawn by an HMAC of the entity and keeps its format; names
+keep gender and script. A name is its word: each word of a name has one surrogate wherever it stands, its gender and
+its being a given name come from all mentions in the corpus, and in a document that has a name, every later or earlier
+mention of its words is replaced, with or without a form of address. All distinct entities of the corpus get their surrogates in one table, where
 a surrogate that two entities share, or that is itself an entity, is drawn again until none is left: so equal
 entities have equal surrogates in all documents, and different ones have different surrogates.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +53,9 @@ CARD = r"(?<![\p{L}\p{N}._+-])[0-9]{13,19}(?![\p{L}\p{N}_]|[.-][0-9])|(?<![\p{L}
 TITLE = "(?:" + "|".join(sorted(MEN + WOMEN + EITHER, key=len, reverse=True)) + r")\.?"
 NAME = rf"(?<![\p{{L}}]){TITLE}(?: \p{{Lu}}[\p{{L}}'’-]{{1,30}}){{1,3}}(?![\p{{L}}])"
 ENTITY = f"{EMAIL}|{IBAN}|{PHONE}|{IP}|{SSN}|{CARD.replace(chr(92) + '1', chr(92) + 'k<s>').replace('([ -])', '(?<s>[ -])')}|{NAME}"
+#: A word that may be a name, too, in documents that have names.
+WORD = r"(?<![\p{L}\p{N}_@.-])\p{Lu}[\p{L}'’-]{1,30}(?![\p{L}\p{N}_@])"
+MENTION = f"{ENTITY}|{WORD}"
 #: A cheap test that a text can hold an entity at all.
 HINT = rf"[@0-9]|(?:^|[^\p{{L}}]){TITLE} \p{{Lu}}"
 
@@ -63,8 +70,29 @@ def kind(entity: Column) -> Column:
 
 def _digest(key: str, *parts: Column) -> Column:
     """256 hexadecimal digits drawn by the key from what identifies an entity, and from the number of the draw."""
-    said = F.concat_ws("\u0001", F.lit(key), *[p.cast("string") for p in parts])
-    return F.concat(*[F.sha2(F.concat(F.lit(f"{i}:"), said), 512) for i in range(2)])
+    said = F.concat_ws("\u0001", *[p.cast("string") for p in parts])
+    return F.concat(*[_hmac(key, F.concat(F.lit(f"{i}:"), said)) for i in range(2)])
+
+
+def _hmac(key: str, text: Column) -> Column:
+    """HMAC-SHA-512 in hexadecimal digits."""
+    block = key.encode() if len(key.encode()) <= 128 else hashlib.sha512(key.encode()).digest()
+    inner, outer = (bytes(b ^ x for b in block.ljust(128, b"\0")) for x in (0x36, 0x5C))
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), F.encode(text, "UTF-8")), 512))), 512)
+
+
+def _iban_rest(text: Column) -> Column:
+    """The number that an IBAN stands for, modulo 97: its first four characters last, letters as two digits."""
+    turned = F.concat(F.substr(text, F.lit(5)), F.substr(text, F.lit(1), F.lit(4)))
+    codes = F.transform(F.filter(F.split(turned, ""), lambda c: c != ""), lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55))
+    return F.aggregate(codes, F.lit(0), lambda r, c: F.pmod(r * F.when(c > 9, 100).otherwise(10) + c, F.lit(97)).cast("int"))
+
+
+def _iban(text: Column, digest: Column) -> Column:
+    """The same country and shape; check digits that were right are right again."""
+    country, rest = F.substr(text, F.lit(1), F.lit(2)), F.substr(_shaped(text, digest), F.lit(5))
+    check = F.lpad((98 - _iban_rest(F.concat(country, F.lit("00"), rest))).cast("string"), 2, "0")
+    return F.concat(country, F.when(_iban_rest(text) == 1, check).otherwise(F.substr(_shaped(text, digest), F.lit(3), F.lit(2))), rest)
 
 
 def _number(digest: Column, at: Column, below: int) -> Column:
@@ -102,22 +130,22 @@ def script(text: Column) -> Column:
 
 
 def drawn(entities: DataFrame, key: str, draw: int) -> DataFrame:
-    """``entities`` (type, value) with their ``draw``-th surrogates. The digest is a column of its own, taken once."""
+    """``entities`` (type, value, shape) with their ``draw``-th surrogates. The digest is a column of its own, taken once."""
     domain = F.lower(F.regexp_replace("value", "^.*@", ""))
     rows = entities.withColumn("__digest", _digest(key, F.col("type"), F.col("value"), F.lit(draw)))
-    rows = rows.withColumn("__host", F.substr(F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("domain"), domain), 256), F.lit(1), F.lit(10)))
-    return rows.withColumn("surrogate", _surrogate(F.col("type"), F.col("value"), F.col("__digest"), F.col("__host"), draw)).drop("__digest", "__host")
+    rows = rows.withColumn("__host", F.substr(_hmac(key, F.concat_ws("\u0001", F.lit("domain"), domain)), F.lit(1), F.lit(10)))
+    return rows.withColumn("surrogate", _surrogate(F.col("shape"), F.col("value"), F.col("__digest"), F.col("__host"), draw)).drop("__digest", "__host")
 
 
 def _surrogate(type_: Column, value: Column, digest: Column, mark: Column, draw: int) -> Column:
-    """Types of names end in gender: given_m, given_f, given_x, or are family; family names grow with the draws."""
+    """Shapes of names are given_m, given_f, given_x or family, which grow with the draws; other shapes are types."""
     local = F.regexp_replace(value, "@.*$", "")
     host = F.concat(F.lit("m"), mark, F.lit(".example.org"))
     shaped_local = _shaped(local, digest) if draw < 6 else F.concat(_shaped(local, digest), F.lit(str(draw)))
     octets = F.concat_ws(".", *[(_number(digest, F.lit(i), 254) + 1).cast("string") for i in range(4)])
     country = F.regexp_extract(value, r"^(\+[0-9]{1,3}(?=[ .(-])|)", 1)
     phone = F.concat(country, _shaped(F.substr(value, F.length(country) + 1), digest))
-    iban = F.concat(F.substr(value, F.lit(1), F.lit(2)), _shaped(F.substr(value, F.lit(3)), digest))
+    iban = _iban(value, digest)
     sets = {s: F.array(*map(F.lit, words)) for s, words in SYLLABLES.items()}
 
     def family(of: str) -> Column:
@@ -142,16 +170,22 @@ def _title_gender(title: Column) -> Column:
 
 
 def parts(entity: Column) -> Column:
-    """An array of (type, value): the entity itself, or a name's words after the form of address."""
+    """An array of (type, value, use): the entity itself, or a name's words, of which all but the last are given names of a gender."""
     words = F.split(entity, " ")
     gender, rest = _title_gender(words[0]), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
-    named = F.transform(rest, lambda w, i: F.struct(F.when(i + 1 == F.size(rest), F.lit("family")).otherwise(F.concat(F.lit("given_"), gender)).alias("type"), w.alias("value")))
-    return F.when(kind(entity) == "name", named).otherwise(F.array(F.struct(kind(entity).alias("type"), entity.alias("value"))))
+    named = F.transform(rest, lambda w, i: F.struct(F.lit("name").alias("type"), w.alias("value"), F.when(i + 1 == F.size(rest), F.lit("last")).otherwise(gender).alias("use")))
+    return F.when(kind(entity) == "name", named).otherwise(F.array(F.struct(kind(entity).alias("type"), entity.alias("value"), F.lit(None).cast("string").alias("use"))))
 
 
 def table(entities: DataFrame, key: str) -> DataFrame:
-    """(type, value, surrogate) of all distinct (type, value): no two values share a surrogate, and none is a value."""
-    left = cut(entities.select("type", "value").distinct())
+    """(type, value, surrogate) of all distinct (type, value): no two values share a surrogate, and none is a value.
+
+    ``entities`` has (type, value, use); a word that any mention uses as a given name is one, of the gender that most of
+    these mentions have, and of neither where as many have the other.
+    """
+    men, women = F.count_if(F.col("use") == "m"), F.count_if(F.col("use") == "f")
+    given = F.when(men > women, "given_m").when(women > men, "given_f").when(F.count_if(F.col("use") == "x") + men > 0, "given_x").otherwise("family")
+    left = cut(entities.groupBy("type", "value").agg(F.when(F.col("type") == "name", given).otherwise(F.col("type")).alias("shape")))
     known = left.select(F.lower("value").alias("s")).distinct()
     settled, taken = None, cut(known)
     for draw in range(ROUNDS):
@@ -169,8 +203,9 @@ def table(entities: DataFrame, key: str) -> DataFrame:
 def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with surrogates in their texts, n_entities, and n_chars, where there, counted anew.
 
-    Null and empty texts, and texts without entities, stay as they are with 0 entities. Rows are matched with their
-    surrogates by the hash of their text, so ids may be null or repeated. Columns named n_entities are replaced.
+    Null and empty texts, and texts without entities, stay as they are with 0 entities; texts of any length are searched
+    whole, and an empty table gives no rows. Rows are matched with their surrogates by the hash of their text, so ids may
+    be null or repeated. A column named n_entities is replaced; other columns pass through, whatever their names.
     """
     ready(docs.sparkSession)
     names = [c for c in docs.columns if c != "n_entities"]
@@ -178,19 +213,21 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     rows = docs.select(*names, F.coalesce(found, F.array().cast("array<string>")).alias("__found"))
     clean = rows.where(F.size("__found") == 0).select(*names, F.lit(0).alias("n_entities"))
     held = rows.where(F.size("__found") > 0).withColumn("__key", F.xxhash64("text"))
-    each = held.select("__key", F.explode(F.array_distinct(F.flatten(F.transform("__found", parts)))).alias("p")).select("__key", "p.type", "p.value").distinct()
+    each = held.select("__key", F.explode(F.array_distinct(F.flatten(F.transform("__found", parts)))).alias("p")).select("__key", "p.type", "p.value", "p.use").distinct()
     each = cut(each)
     made = cut(table(each, key))
-    mapped = each.join(made.hint("merge"), ["type", "value"])
+    mapped = each.select("__key", "type", "value").distinct().join(made.hint("merge"), ["type", "value"])
     maps = cut(mapped.groupBy("__key").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\u0001", "type", "value"), "surrogate"))).alias("__map")))
     both = held.join(maps.hint("merge"), "__key", "left")
 
     def replaced(e: Column) -> Column:
         of = lambda p: F.coalesce(F.try_element_at(F.col("__map"), F.concat_ws("\u0001", p["type"], p["value"])), F.lit(MASK))
-        return F.when(kind(e) == "name", F.concat_ws(" ", F.concat(F.array(F.split(e, " ")[0]), F.transform(parts(e), of)))).otherwise(of(parts(e)[0]))
+        named = F.concat_ws(" ", F.concat(F.array(F.split(e, " ")[0]), F.transform(parts(e), of)))
+        word = F.coalesce(F.try_element_at(F.col("__map"), F.concat_ws("\u0001", F.lit("name"), e)), e)
+        return F.when(kind(e) != "name", of(parts(e)[0])).when(e.contains(" "), named).otherwise(word)
 
-    new = F.transform("__found", replaced)
-    text = F.concat_ws("", F.zip_with(F.split("text", ENTITY, -1), new, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))))
+    new = F.transform(F.regexp_extract_all("text", F.lit(MENTION), F.lit(0)), replaced)
+    text = F.concat_ws("", F.zip_with(F.split("text", MENTION, -1), new, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))))
     changed = both.withColumn("text", text).select(*names, F.size("__found").alias("n_entities"))
     out = clean.unionByName(changed)
     if "n_chars" in names:

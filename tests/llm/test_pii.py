@@ -40,7 +40,35 @@ def test_surrogates(frame):
 def test_distinct_entities_stay_distinct(spark, frame):
     from pyspark.sql import functions as F
 
-    names = spark.range(300).select(F.lit("given_f").alias("type"), F.concat(F.lit("N"), F.col("id").cast("string")).alias("value"))
+    names = spark.range(300).select(F.lit("name").alias("type"), F.concat(F.lit("N"), F.col("id").cast("string")).alias("value"), F.lit("f").alias("use"))
     made = pii.table(names, "k")
     assert made.count() == 300 and made.select(F.lower("surrogate")).distinct().count() == 300
     assert pii.pseudonymize(frame([], SCHEMA), "k").count() == 0
+
+
+def test_a_name_is_one_person_in_all_mentions(frame):
+    text = "Dr Anna Smith saw Mrs Anna Smith. Anna Smith left, Anna too. Mr. John said: call Smith-Jones or SMITH. Smith's car."
+    rows = [(1, text, "s", 1, "x", "y"), (2, "Mr John Miller and Anna, Smith", "s", 1, "x", "y"), (3, "Anna Smith and John", "s", 1, "x", "y")]
+    out = {r.doc_id: r.text for r in pii.pseudonymize(frame(rows, SCHEMA), "k").collect()}
+    m = re.fullmatch(r"Dr (\S+) (\S+) saw Mrs (\S+) (\S+)\. (\S+) (\S+) left, (\S+) too\. Mr\. (\S+) said: call Smith-Jones or SMITH\. Smith's car\.", out[1])
+    assert m and m[1] == m[3] == m[5] == m[7] in pii.GIVEN["f", "latin"] and m[2] == m[4] == m[6] != "Smith" and m[8] in pii.GIVEN["m", "latin"]
+    assert re.fullmatch(rf"Mr {m[8]} (\S+) and Anna, Smith", out[2]) and "Miller" not in out[2] and out[3] == rows[2][1]
+
+
+def test_check_digits_of_ibans_stay_right(frame):
+    rest = lambda s: int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+    right, wrong = "GB82WEST12345698765432", "DE44500105175407324930"
+    out = frame([(1, f"{right} and {wrong}", "s", 1, "x", "y")], SCHEMA)
+    a, b = pii.pseudonymize(out, "k").collect()[0].text.split(" and ")
+    assert rest(right) == rest(a) == 1 and a != right and a[:2] == "GB" and re.fullmatch(r"GB\d\d[A-Z]{4}\d{14}", a) and b[:2] == "DE" and b != wrong
+
+
+def test_digests_are_hmac(spark):
+    import hashlib
+    import hmac
+
+    from pyspark.sql import functions as F
+
+    for key in ("k", "x" * 300):
+        got = spark.range(1).select(pii._hmac(key, F.lit("téxt")).alias("h")).first()["h"]
+        assert got == hmac.new(key.encode(), "téxt".encode(), hashlib.sha512).hexdigest()
