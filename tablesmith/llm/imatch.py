@@ -1,7 +1,7 @@
 """I-Match fingerprints.
 
 Terms (words as ``words`` has them) whose share of documents lies within a band form the lexicon. A document's
-terms in the lexicon are sorted and hashed once for each of several randomised subsets of the lexicon. Subsets
+distinct terms in the lexicon are sorted and hashed, in 64 bits, once for each of several randomised subsets of the lexicon. Subsets
 of several rates are used, so that short and long documents have subsets that hold a few of their terms.
 """
 
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,34 +84,29 @@ def _find(known: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 class Fingerprints:
+    """A row of 64-bit hashes for each text, one for each subset; 0 where a subset holds none of its terms.
+
+    A subset's hash is that of the sorted list of a text's distinct terms in the subset. A text with no term in any
+    subset has the hash of all its terms, in or out of the lexicon, in the first place, told apart by its seed.
+    """
+
     def __init__(self, terms: np.ndarray):
         self.terms = terms
-        mixed = [mix(terms * s) for s in SEEDS]
-        self.values = np.array(mixed + [mix(terms)]).T if len(terms) else np.zeros((0, len(SEEDS) + 1), np.uint64)
-        inside = np.array([m >> np.uint64(64 - r) == 0 for m, r in zip(mixed, RATES, strict=True)]).T if len(terms) else np.zeros((0, len(SEEDS)), bool)
-        self.inside = inside
+        self.inside = np.array([mix(terms * s) >> np.uint64(64 - r) == 0 for s, r in zip(SEEDS, RATES, strict=True)]) if len(terms) else np.zeros((len(SEEDS), 0), bool)
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
-        """A row of 32-bit values for each text: one for each subset, 0 where a subset holds none of its terms.
-
-        The hash of a sorted list of distinct terms is the sum of their mixed values, which depends on the set
-        alone. A text with no term of the lexicon has the hash of all its terms in the first place, with the first
-        value's top bit set to tell it apart.
-        """
         h, offsets = word_hashes(texts)
-        out = np.zeros((len(texts), len(RATES)), np.uint32)
-        if len(self.terms):
-            at = _find(self.terms, h)
+        out = np.zeros((len(texts), len(self.inside)), np.uint64)
+        at = _find(self.terms, h) if len(self.terms) else np.zeros(len(h), np.int64)
         for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-            found = np.unique(at[a:b]) if len(self.terms) else np.empty(0, np.int64)
+            found = np.unique(at[a:b])  # the lexicon is sorted, so places in it are in the order of terms
             found = found[found < len(self.terms)]
             if len(found):
-                inside = self.inside[found]
-                total = mix((self.values[found, :-1] * inside).sum(0, dtype=np.uint64))
-                out[i] = np.where(inside.any(0), (total >> np.uint64(33)).astype(np.uint32) | np.uint32(1), 0)
+                own, inside = self.terms[found], self.inside[:, found]
+                for k in np.flatnonzero(inside.any(1)):
+                    out[i, k] = xxhash.xxh3_64_intdigest(own[inside[k]].tobytes()) or 1
             if not out[i].any():
-                rest = mix(np.unique(h[a:b])).sum(dtype=np.uint64)
-                out[i, 0] = np.uint32(mix(np.array([rest]))[0] >> np.uint64(33)) | np.uint32(1 << 31) | np.uint32(1)
+                out[i, 0] = xxhash.xxh3_64_intdigest(np.unique(h[a:b]).tobytes(), seed=1) or 1
         return out
 
 
@@ -121,7 +117,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _hex(rows: np.ndarray) -> list[str]:
-    return [r.astype(">u4").tobytes().hex() for r in rows]
+    return [r.astype(">u8").tobytes().hex() for r in rows]
 
 
 def fingerprint(docs: DataFrame, terms: np.ndarray | None = None) -> DataFrame:
@@ -161,7 +157,13 @@ def ordered(docs: DataFrame) -> DataFrame:
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of all ``docs``."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of all ``docs`` (doc_id, text).
+
+    The edited text ends in the first characters of the next document's, by descending doc_id; rows without a doc_id are
+    the last, and rows of equal ids follow their texts. A null text is empty; texts of any length are taken whole; each
+    row is a document of its own, also where it repeats another. Other columns are ignored, whatever their names; an
+    empty table gives no rows.
+    """
     shared = ready(docs.sparkSession).sparkContext.broadcast(Fingerprints(lexicon(docs)))
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
