@@ -24,8 +24,10 @@ def read(spark: SparkSession, path: str, kind: str | None = None, columns: list[
     if kind in ("csv", "tsv"):
         sep = "\t" if kind == "tsv" else sep
         if skip:
-            lines = spark.read.option("wholetext", True).text(path).select(F.explode(F.slice(F.split("value", "\r?\n"), skip + 1, 2**31 - 1 - skip)).alias("value")).where("value <> ''")
-            out = reader.csv(lines.rdd.map(lambda r: r["value"]), sep=sep, header=header, inferSchema=schema is None)
+            lines = _without_first(spark, path, skip)
+            strings = getattr(lines._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+            reader = reader.options(sep=sep, header=header, inferSchema=schema is None)
+            out = DataFrame(reader._jreader.csv(strings), spark)
         else:
             out = reader.csv(path, sep=sep, header=header, inferSchema=schema is None)
     elif kind == "json":
@@ -35,6 +37,59 @@ def read(spark: SparkSession, path: str, kind: str | None = None, columns: list[
     return out.select(*columns) if columns else out
 
 
+def _without_first(spark: SparkSession, path: str, skip: int) -> DataFrame:
+    """The lines of text files but for the first ``skip`` of each, which lie in the first block of their file.
+
+    Files are read in blocks like any others; where a block's lines begin is told by numbers that rise within a task.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("head"), F.monotonically_increasing_id().alias("i"))
+    first = rows.where("head").groupBy("file").agg(F.min("i").alias("first"))
+    kept = rows.join(F.broadcast(first), "file", "left").where(~F.col("head") | (F.col("i") >= F.col("first") + skip))
+    return kept.where("value <> ''").select("value")
+
+
+def chunks(df: DataFrame, order: list[str], size: int) -> DataFrame:
+    """``df`` with chunk: rows in order, ``size`` a chunk, each with all columns and their names; a task has whole chunks or parts."""
+    from ..functions.ranks import numbered
+
+    return numbered(df, order).select(*df.columns, F.floor(F.col("__i") / size).alias("chunk"))
+
+
+def excel(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """The first sheet of a workbook (.xlsx), read on the driver, as workbooks are small; a column is numeric if all its cells are.
+
+    Only Spark opens the path. Formulas give their kept values; dates are the numbers that the sheet has.
+    """
+    import io
+    import re
+    import xml.etree.ElementTree as ET
+    import zipfile
+
+    data = spark.read.format("binaryFile").load(path).select("content").first()[0]
+    book = zipfile.ZipFile(io.BytesIO(data))
+    tag = lambda e: e.tag.rpartition("}")[2]
+    said = lambda e: "".join(t.text or "" for t in e.iter() if tag(t) == "t")
+    shared = [said(x) for x in ET.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in book.namelist() else []
+    sheets = sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
+    rows: list[dict[int, object]] = []
+    for row in (e for e in ET.fromstring(book.read(sheets[0])).iter() if tag(e) == "row"):
+        cells: dict[int, object] = {}
+        for at, cell in enumerate(e for e in row if tag(e) == "c"):
+            letters = re.sub(r"[^A-Z]", "", cell.get("r", ""))
+            column = sum((ord(c) - 64) * 26**i for i, c in enumerate(reversed(letters))) - 1 if letters else at
+            value = next((v.text for v in cell if tag(v) == "v"), None)
+            kind = cell.get("t")
+            cells[column] = said(cell) if kind == "inlineStr" else None if value is None else shared[int(value)] if kind == "s" else value if kind in ("str", "b", "e") else float(value)
+        rows.append(cells)
+    width = max((max(r, default=-1) + 1 for r in rows), default=0)
+    table = [[r.get(i) for i in range(width)] for r in rows]
+    names = [str(v) if v is not None else f"column_{i}" for i, v in enumerate(table[0])] if header and table else [f"column_{i}" for i in range(width)]
+    body = table[1:] if header else table
+    numeric = [all(r[i] is None or isinstance(r[i], float) for r in body) for i in range(width)]
+    body = [[v if numeric[i] or v is None else f"{v:g}" if isinstance(v, float) else v for i, v in enumerate(r)] for r in body]
+    return spark.createDataFrame(body, ", ".join(f"`{n}` {'double' if k else 'string'}" for n, k in zip(names, numeric, strict=True)))
+
+
 def write(df: DataFrame, path: str, kind: str | None = None, mode: str = "errorifexists", files: int | None = None) -> None:
     """Writes csv (with a header), tsv, parquet, json or orc, into ``files`` files if given."""
     kind = kind or kind_of(path)
