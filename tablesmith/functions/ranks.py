@@ -29,7 +29,7 @@ def numbered(df: DataFrame, order: list[str | Column], by: list[str] | None = No
     offsets = df.sparkSession.createDataFrame(list(starts.items()), "__p long, __before long")
     global_ = rows.join(F.broadcast(offsets), part == F.col("__p")).withColumn("__i", F.col("__before") + place)
     if not by:
-        return global_.select(*df.columns, "__i", F.lit(before).cast("long").alias("__n"))
+        return global_.select(*df.columns, "__i", F.lit(max(before, 1)).cast("long").alias("__n"))  # without rows nobody reads it
     groups = global_.groupBy(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)]).agg(F.min("__i").alias("__first"), F.count("*").alias("__n"))
     same = F.lit(True)
     for i, c in enumerate(by):

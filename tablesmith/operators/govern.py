@@ -82,7 +82,7 @@ def pseudonym(v: Column, salt: str) -> Column:
 
 
 def mask(v: Column, keep: int = 3) -> Column:
-    return F.when(F.octet_length(v) > keep, F.concat(F.substring(v, 1, keep), F.lit("***"))).otherwise(F.lit("***"))
+    return F.when(F.octet_length(v) > keep, F.concat(F.substring(v, 1, keep), F.lit("***"))).otherwise(F.repeat(F.lit("*"), F.octet_length(v)))
 
 
 def suppress(v: Column) -> Column:

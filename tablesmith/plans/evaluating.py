@@ -240,7 +240,7 @@ def randomize(s, d):
     return gv.randomize(table(s, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey")
 
 
-@query("anonymize", "SELECT c_custkey, 'pseudo_' || substr(sha256('salt' || c_name), 1, 12) AS pseudonym, CASE WHEN strlen(c_name) > 3 THEN substr(c_name, 1, 3) || '***' ELSE '***' END AS masked, CASE WHEN c_acctbal >= 5000 THEN '5000+' WHEN c_acctbal >= 0 AND c_acctbal < 1000 THEN '0-1000' WHEN c_acctbal >= 1000 AND c_acctbal < 5000 THEN '1000-5000' ELSE '<0' END AS bin FROM customer")
+@query("anonymize", "SELECT c_custkey, 'pseudo_' || substr(sha256('salt' || c_name), 1, 12) AS pseudonym, CASE WHEN strlen(c_name) > 3 THEN substr(c_name, 1, 3) || '***' ELSE repeat('*', strlen(c_name)) END AS masked, CASE WHEN c_acctbal >= 5000 THEN '5000+' WHEN c_acctbal >= 0 AND c_acctbal < 1000 THEN '0-1000' WHEN c_acctbal >= 1000 AND c_acctbal < 5000 THEN '1000-5000' ELSE '<0' END AS bin FROM customer")
 def anonymize(s, d):
     return table(s, d, "customer").select("c_custkey", gv.pseudonym(F.col("c_name"), "salt").alias("pseudonym"), gv.mask(F.col("c_name")).alias("masked"), gv.generalize(F.col("c_acctbal"), [0.0, 1000.0, 5000.0]).alias("bin"))
 

@@ -76,14 +76,14 @@ def k_means(s, d):
     return learn.assign(v, "vec_id", "v", learn.k_means(v, "vec_id", "v", 5, rounds=5)).withColumn("dist", F.round("dist", 6))
 
 
-_E = f"SELECT a.vec_id, b.vec_id AS near FROM {_V} a, {_V} b WHERE list_distance(a.v, b.v) <= .9"
+_E = f"SELECT a.vec_id, b.vec_id AS near FROM {_V} a, {_V} b WHERE list_distance(a.v, b.v) <= 1.15"
 
 
 @query("dbscan", f"""WITH RECURSIVE e AS MATERIALIZED ({_E}), c AS MATERIALIZED (SELECT vec_id FROM e GROUP BY 1 HAVING count(*) >= 4), l AS MATERIALIZED (SELECT * FROM e WHERE vec_id IN (FROM c) AND near IN (FROM c)),
     r AS (SELECT vec_id, vec_id AS root FROM c UNION SELECT l.near, r.root FROM r JOIN l ON l.vec_id = r.vec_id), m AS (SELECT vec_id, min(root) AS cluster FROM r GROUP BY 1), b AS (SELECT e.vec_id, min(cluster) AS reach FROM e JOIN m ON m.vec_id = e.near GROUP BY 1)
     SELECT v.vec_id, m.vec_id IS NOT NULL AS core, coalesce(m.cluster, b.reach) AS cluster FROM embeddings v LEFT JOIN m USING (vec_id) LEFT JOIN b ON b.vec_id = v.vec_id""")
 def dbscan(s, d):
-    return learn.dbscan(vectors(s, d), "vec_id", "v", 0.9, 4)
+    return learn.dbscan(vectors(s, d), "vec_id", "v", 1.15, 4)
 
 
 def _split(i):

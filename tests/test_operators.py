@@ -59,10 +59,15 @@ def test_difference_and_folds(spark, five):
 
 
 def test_outliers(spark):
-    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate([1, 2, 3, 4, 5, 100, 7, 8, 9, -50])], "i int, x double")
-    b = transforms.bounds(df, "x", "iqr", 1.5)
-    assert all(-20 <= v <= 20 for v in values(transforms.treat(df, "x", b, "clip"), "x"))
-    assert transforms.treat(df, "x", b, "remove").count() == 8
+    data = [0.5 * i for i in range(41)] + [-33.0, 61.5, None]
+    df = spark.createDataFrame(list(enumerate(data)), "i int, x double")
+    known = sorted(v for v in data if v is not None)
+    a, b = known[int(43 * 0.25)], known[int(43 * 0.75)]
+    low, high = transforms.bounds(df, "x", "iqr", 1.5)
+    assert (low, high) == (a - 1.5 * (b - a), b + 1.5 * (b - a))
+    assert values(transforms.treat(df, "x", (low, high), "clip"), "x") == data[:41] + [low, high, None]
+    assert values(transforms.treat(df, "x", (low, high), "remove"), "x") == data[:41] + [None]
+    assert values(transforms.treat(df, "x", (low, high), "median"), "x")[41:] == [10.0, 10.0, None]
 
 
 def test_bins_send_outsiders_to_the_last(spark):
@@ -80,9 +85,9 @@ def test_drift(spark):
 
 
 def test_tokens(spark):
-    df = spark.createDataFrame([("Hello World! TEST.",)], "t string")
-    assert df.select(fx.tokens(F.col("t"))).first()[0] == ["hello", "world", "test"]
-    assert df.select(fx.ngrams(fx.tokens(F.col("t")), 1, 2)).first()[0] == ["hello", "world", "test", "hello world", "world test"]
+    df = spark.createDataFrame([("The Ärzte's 2nd gig, at BERLIN-Mitte: \u00bfno?", 1), ("", 2), (None, 3), ("a I of", 4)], "t string, i int")
+    assert values(df.select("i", fx.tokens(F.col("t")).alias("w")), "w") == [["ärzte", "2nd", "gig", "berlin", "mitte", "no"], [], None, []]
+    assert values(df.select("i", fx.ngrams(fx.tokens(F.col("t")), 2, 3).alias("w")), "w")[0] == ["ärzte 2nd", "2nd gig", "gig berlin", "berlin mitte", "mitte no", "ärzte 2nd gig", "2nd gig berlin", "gig berlin mitte", "berlin mitte no"]
 
 
 def test_encoders(spark):
@@ -101,10 +106,95 @@ def test_imputation(spark):
 
 
 def test_privacy(spark):
-    df = spark.createDataFrame([("john.doe@email.com",), ("ab",)], "v string")
-    assert [r[0] for r in df.select(govern.mask(F.col("v"))).collect()] == ["joh***", "***"]
-    four = spark.createDataFrame([("A", "X"), ("A", "X"), ("B", "Y"), ("B", "Y")], "a string, b string")
-    assert govern.k_anonymity(four, ["a", "b"]).first()["k"] == 2 and govern.k_anonymity(four, []).first()["k"] == 0
+    df = spark.createDataFrame([(1, "żółw 77"), (2, "ok"), (3, "ab\u00e9"), (4, ""), (5, None)], "i int, v string")
+    assert values(df.select("i", govern.mask(F.col("v"), 4).alias("m")), "m") == ["żółw***", "**", "****", "", None]
+    assert values(df.select("i", govern.suppress(F.col("v")).alias("m")), "m") == ["[REDACTED]"] * 4 + [None]
+    mixed = govern.randomize(df, "v", "i")
+    assert sorted(map(str, values(mixed, "v"))) == sorted(map(str, values(df, "v"))) and values(mixed, "i") == [1, 2, 3, 4, 5]
+    groups = spark.createDataFrame([(i % 3, "x" if i < 8 else "y") for i in range(11)], "a int, b string")
+    assert govern.k_anonymity(groups, ["a"]).first()["k"] == 3 and govern.k_anonymity(groups, ["a", "b"]).first()["k"] == 1 and govern.k_anonymity(groups, []).first()["k"] == 0
+
+
+def test_personal_columns(spark):
+    rows = [(i, f"u{i}@b.org" if i % 4 else None, f"{i:05d}", f"2001:db8::{i}", "4539 1488 0343 6467" if i % 2 else "4539 1488 0343 6468") for i in range(1, 41)]
+    df = spark.createDataFrame(rows, "i int, contact string, place string, source_ip string, paid string")
+    found = {(r["column"], r["kind"]): r["confidence"] for r in govern.pii_columns(df, ["contact", "place", "source_ip", "paid"], order="i").collect()}
+    assert found == {("contact", "email"): 1.0, ("place", "postal_code"): 1.0, ("source_ip", "ip_address"): 0.7, ("paid", "credit_card"): 0.5}
+    advice = {r["column"]: r["advice"] for r in govern.pii_advice(govern.pii_columns(df, ["contact", "place", "paid"], order="i")).collect()}
+    assert advice == {"contact": "anonymize", "place": "review", "paid": "remove"}
+
+
+def test_one_class_of_nearly_all_rows(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 100 == 0, "few").otherwise("many").alias("y")).repartition(6)
+    assert sampling.under_sample(df, "y", "id").groupBy("y").count().collect() == sampling.under_sample(df, "y", "id").groupBy("y").count().collect()
+    assert {r["y"]: r["count"] for r in sampling.under_sample(df, "y", "id").groupBy("y").count().collect()} == {"few": 30, "many": 30}
+    assert {r["y"]: r["count"] for r in sampling.over_sample(df, "y", "id").groupBy("y").count().collect()} == {"few": 2970, "many": 2970}
+    held = {r["y"]: r["n"] for r in sampling.stratified_split(df, "y", "id", 0.2).where("held").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    assert held == {"few": 6, "many": 594}
+    folds = sampling.stratified(df, "y", 5, "id").groupBy("y", "fold").count().collect()
+    assert {(r["y"], r["count"]) for r in folds} == {("few", 6), ("many", 594)}
+    turns = sampling.repeated(df, 7, 2, "id").groupBy("turn", "fold").count().collect()
+    assert sorted(r["count"] for r in turns) == [428] * 6 + [429] * 8
+
+
+def test_nearest_in_chunks_are_those_of_a_plain_scan(spark, monkeypatch):
+    import numpy as np
+
+    from tablesmith.functions import near
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 5))
+    x[7] = x[9] = x[11]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [float("nan")] * 5), (502, [1.0])], "i long, v array<double>").repartition(3)
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for size in (1 << 25, 1000):
+        monkeypatch.setattr(near, "CHUNK_BYTES", size)
+        got = {}
+        for r in near.pairs(df, df, "i", "v", k=4).collect():
+            got.setdefault(r["i"], set()).add(r["near"])
+        assert got == {i: {j for _, j in sorted((round(dist[i, j], 12), j) for j in range(120) if j != i)[:4]} for i in range(120)}
+        far = near.pairs(df, df, "i", "v", k=1, farthest=True)
+        assert all(abs(r["dist"] - dist[r["i"]].max()) < 1e-12 for r in far.collect())
+        within = {(r["i"], r["near"]) for r in near.pairs(df, df, "i", "v", radius=1.0, apart=True).collect()}
+        assert within == {(i, j) for i in range(120) for j in range(120) if 0 < dist[i, j] <= 1.0}
+
+
+def test_boosted_minorities(spark):
+    rows = [(i, 0, [float(i % 20), float(i // 20)]) for i in range(100)] + [(200 + i, 1, [5.0 + 0.3 * i, 2.5]) for i in range(12)]
+    df = spark.createDataFrame(rows, "i long, y int, v array<double>")
+    for made in (sampling.borderline_points(df, "y", "i", "v", 1), sampling.adasyn(df, "y", "i", "v", 1)):
+        points = made.collect()
+        assert 80 <= len(points) <= 96 and all(5.0 <= r["v"][0] <= 8.4 and r["v"][1] == 2.5 and r["source"] != r["near"] for r in points)
+    assert sampling.borderline_points(df, "y", "i", "v", 1).count() == 88
+    assert sampling.adasyn(df, "y", "i", "v", 1, most_share=0.1).count() == 0
+
+
+def test_choices(spark):
+    from tablesmith.operators import choose
+
+    assert choose.parzen([], 0, 1) != choose.parzen([(0.5, 1.0)], 0, 1)
+    history: list = []
+    for _ in range(60):
+        v = choose.parzen(history, -4, 6, seed=3)
+        history.append((v, (v - 1.5) ** 2))
+    assert min(h[1] for h in history) < 0.01 and sum(h[1] for h in history[-20:]) < sum(h[1] for h in history[:20])
+    df = spark.range(400).select("id", (F.col("id") % 20).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b")).withColumn("y", 3 * F.col("a") - 2 * F.col("b") + 1)
+    rows, weights, _ = choose.stacked(df, "id", {"first": ["a"], "second": ["b"]}, "y")
+    error = lambda c: rows.agg(F.avg(F.pow(F.col(c) - F.col("y"), F.lit(2)))).first()[0]
+    assert error("stacked") < 0.1 * min(error("first"), error("second")) and set(weights) == {"first", "second"}
+
+
+def test_plans(spark):
+    from tablesmith.operators import prepare
+
+    df = spark.range(300).select("id", (F.col("id") % 2).cast("string").alias("c"), F.when(F.col("id") % 9 > 0, F.exp(F.col("id") / 40)).alias("skewed"), F.lit(1).alias("one"), F.when(F.col("id") < 5, 1.0).alias("rare"), (F.col("id") * 2.0).alias("y"))
+    steps = prepare.compose(prepare.detected(df, ["id", "c", "skewed", "one", "rare"]))
+    assert [(s.action, s.method, s.columns) for s in steps] == [
+        ("drop", "unusable", ("id", "one", "rare")), ("impute", "median", ("skewed",)), ("encode", "one_hot", ("c",)), ("outliers", "clip", ("skewed",)), ("transform", "yeo_johnson", ("skewed",)), ("scale", "standard", ("skewed",)),
+    ]
+    out = prepare.applied(df, steps, "y")
+    assert {"c_0", "c_1", "skewed", "y"} <= set(out.columns) and out.where("skewed is null").count() == 0
+    assert 0 < prepare.complexity(prepare.detected(df, ["c", "skewed"]), steps) <= 1 and prepare.models(prepare.detected(df, ["c"])) == ["boosted", "forest", "linear", "knn"]
 
 
 def test_isotonic_pools_exactly(spark):
@@ -131,8 +221,9 @@ def test_rate_limits(spark):
     assert values(govern.rate_limit(df, "u", "ts", "i", 2, 10), "accepted") == [True, True, False, True, True]
 
 
-def test_backpressure():
-    assert govern.backpressure([900, 900, 100], 1000) == [500, 250, 300]
+def test_backpressure(spark):
+    df = spark.createDataFrame([(1, i, q) for i, q in enumerate([810, 800, 5000, 0])], "g int, i int, q int")
+    assert values(govern.backpressure(df, ["g"], ["i"], "q", 1000), "size") == [500, 600, 300, 360]
     assert math.isclose(len(timeseries.walking(20, 10, 3, 2)), 3)
 
 
