@@ -14,6 +14,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: A private key: its block from BEGIN to END, or, where no END follows, its head and the lines of base64 after it.
 _KEY = "[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
 BLOCK = rf"-----BEGIN {_KEY}(?:(?:(?!-----)[\s\S])*+-----END {_KEY}|(?:(?:\s|\\[nr])++[A-Za-z0-9+/=]{{16,}}+)*+)"
@@ -259,4 +261,5 @@ def redact(docs: DataFrame, forest: Forest) -> DataFrame:
 
 
 def built_in(spark: SparkSession) -> Forest:
-    return train(labelled_findings(spark))
+    # Kept, so that making findings and taking their features aren't one expression, too large to compile.
+    return train(cut(labelled_findings(spark)))
