@@ -88,10 +88,23 @@ def text_bytes(docs: DataFrame) -> int:
     return int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"])
 
 
+def _c():
+    try:
+        found = ctypes.CDLL(None)
+        return found if hasattr(found, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+_C = _c()
+if _C is not None:
+    # Arrays of more than 512 kB go straight back to the system when freed, and so does the heap's end (M_MMAP_THRESHOLD, M_TRIM_THRESHOLD).
+    _C.mallopt(-3, 512 << 10)
+    _C.mallopt(-1, 2 << 20)
+
+
 def release() -> None:
     """Gives memory that a worker has freed back to the system; idle workers would keep it."""
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):
-        pass
+    if _C is not None:
+        _C.malloc_trim(0)

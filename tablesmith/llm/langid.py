@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import release
 from .common import ready
 
 #: Bounds of what the model is fitted on: about so many landmarks and so many labelled documents, spread evenly over languages.
@@ -205,6 +206,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 for i, k in zip(part, best, strict=True):
                     langs[i] = model.names[k]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(langs), pa.array(scores)], [*names, "lang_pred", "score"])
+        release()
 
     return docs.select(*names).mapInArrow(run, schema)
 

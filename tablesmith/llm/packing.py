@@ -28,9 +28,9 @@ SLACK = 40
 #: Share of windows by which their number may rise before items are cut.
 WASTE = 1 / 64
 #: Units whose ids a worker keeps at hand, units that are encoded together, and bytes of text whose units are looked up together.
-CACHE = 500_000
+CACHE = 400_000
 TOGETHER = 512
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
