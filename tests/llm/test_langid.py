@@ -61,3 +61,35 @@ def test_many_languages_are_all_learned_or_refused(frame, monkeypatch):
     model = langid.fit(docs)
     assert len(model.names) == langid.MOST_LANGUAGES and built[0] > 6 * langid.MOST_LANGUAGES
     assert langid.predict(docs, model).where("lang = lang_pred").count() > 0.9 * docs.count()
+
+
+def test_scores_are_those_of_an_explicit_kernel():
+    """Nystroem landmarks and ridge regression, written out with sets of n-grams."""
+    import numpy as np
+
+    rows = corpus(60)
+    landmarks, train, asked = [r[1] for r in rows[:12]], rows[12:48], [r[1] for r in rows[48:]] + ["über the cheveu", "zzz"]
+    model = langid.Model([langid.grams(t) for t in landmarks])
+    model.fit(model.features([r[1] for r in train]), [r[2] for r in train])
+
+    def spectrum(text):
+        low = text.lower()
+        return {low[i : i + n] for n in langid.ORDERS for i in range(len(low) - n + 1)}
+
+    known = set().union(*map(spectrum, landmarks))
+    unit = lambda t: (spectrum(t) & known, len(spectrum(t) & known) ** 0.5 or 1.0)
+    kernel = lambda xs, ys: np.array([[len(a & b) / max(p, 1) / max(q, 1) for b, q in map(unit, ys)] for a, p in map(unit, xs)])
+    values, vectors = np.linalg.eigh(kernel(landmarks, landmarks))
+    keep = values > 1e-6 * max(1.0, values.max())
+    features = lambda xs: kernel(xs, landmarks) @ (vectors[:, keep] / np.sqrt(values[keep]))
+    texts, langs = [r[1] for r in train], [r[2] for r in train]
+    names = sorted(set(langs))
+    weight = np.array([1 / langs.count(x) for x in langs])
+    x = np.hstack([features(texts), np.ones((len(texts), 1))])
+    y = np.array([[1.0 if lang == n else -1.0 for n in names] for lang in langs])
+    gram = (x * weight[:, None]).T @ x
+    w = np.linalg.solve(gram + langid.RIDGE * np.eye(len(gram)) * np.trace(gram) / len(gram), (x * weight[:, None]).T @ y)
+    value = np.hstack([features(asked), np.ones((len(asked), 1))]) @ w
+    best, score = model.predict(asked)
+    assert [model.names[k] for k in best] == [names[k] for k in value.argmax(1)]
+    assert np.allclose(score, np.clip((value.max(1) + 1) / 2, 0, 1), atol=1e-4)

@@ -61,3 +61,25 @@ def test_apply_and_empty(frame):
 
 
 rows_id = 3
+
+
+def test_slots_follow_the_golden_ratio(frame):
+    """The schedule by plain arithmetic: points of the golden ratio through cumulative weights, ranked per source."""
+    from bisect import bisect_right
+
+    parts, _, sources = mixing.mix(frame(corpus(), SCHEMA))
+    live = [s for s in sources if s["take"] > 0]
+    need = [-(-s["take"] // s["block"]) + s["take"] // max(1, s["source_size"]) + 1 for s in live]
+    edges = [sum(need[: i + 1]) / sum(need) for i in range(len(need))][:-1]
+    got = {s.slot: (s.src, s.rank, s.block, s.words) for s in mixing.schedule(parts.sparkSession, sources).collect()}
+    rank, left, want = defaultdict(int), {s["src"]: s["take"] for s in live}, {}
+    for slot in range(max(got) + 1):
+        s = live[bisect_right(edges, (slot * mixing.GOLDEN) % 10**16 / 1e16)]
+        src, r = s["src"], rank[s["src"]]
+        rank[src] += 1
+        blocks = -(-s["source_size"] // s["block"])
+        words = min(s["block"], s["source_size"] - r % blocks * s["block"], left[src])
+        if words > 0:
+            left[src] -= words
+            want[slot] = (src, r, r % blocks, words)
+    assert got == want and not any(left.values())

@@ -39,3 +39,47 @@ def test_run(spark, tmp_path):
     spark.createDataFrame(corpus(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+
+
+WIDE = SCHEMA + ", node long, size string, score double, text_ string, component_id string, __key long"
+
+
+def edges():
+    """Nulls in every column, empty and very long texts, ties, repeated rows and ids, and columns with clashing names."""
+    wide = lambda i, t, lang="en", source="a", n=7: (i, t, lang, source, n, 1, "s", 0.5, "t", "c", 2)
+    base = " ".join(f"the{i % 9} thing with{i} reading" for i in range(40))
+    rows = [wide(1, base), wide(1, base), wide(2, base + " more"), wide(3, None), wide(4, ""), wide(5, " \n\t "), wide(6, "12 34 !!"), wide(7, "leur élève " * 30_000, "fr", "b"), wide(8, f"see token = '{HEX}' the and thing with reading", None, None, None)]
+    rows += [(None, "the house and thing with reading here", "en", "b", 1, 1, "s", 0.5, "t", "c", 2), (9, "the only thing reading there", *[None] * 9), wide(2, "a wholly other thing with the same id and reading")]
+    return rows + [wide(100 + i, f"{'the thing with reading' if i % 2 else 'leur élève aux cheveu'} {i} {i * 7} {i * 13}", "en" if i % 2 else "fr", "ab"[i % 3 > 0]) for i in range(60)]
+
+
+def test_stages_on_edges(spark):
+    docs = spark.createDataFrame(edges(), WIDE)
+    kept = corpus_pipeline.language_id(spark, docs, "")
+    ids = lambda df: sorted(str(r.doc_id) for r in df.collect())
+    letters = [r for r in edges() if r[1] and any(map(str.isalpha, r[1]))]
+    assert kept.columns == docs.columns and ids(kept) == sorted(str(r[0]) for r in letters) and kept.where("lang is null").count() == 0
+    unique = corpus_pipeline.ngram_jaccard(spark, docs, "")
+    assert unique.columns == docs.columns
+    assert ids(unique) == sorted([*(str(r[0]) for r in edges() if r[0] not in (1, 2)), "1", "2"])  # one of 1 and 1, and 2's other text
+    assert [r.text for r in unique.where("doc_id = 2").collect()] == ["a wholly other thing with the same id and reading"]
+    clean = corpus_pipeline.secret_scan(spark, docs, "")
+    assert clean.columns == docs.columns and ids(clean) == ids(docs) and not [r for r in clean.collect() if r.text and HEX in r.text]
+    assert [r.text for r in clean.where("doc_id in (3, 4, 5, 7)").orderBy("doc_id").collect()] == [None, "", " \n\t ", "leur élève " * 30_000]
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    times = {}
+    for r in mixed.collect():
+        times[str(r.doc_id)] = times.get(str(r.doc_id), 0) + 1
+    assert mixed.columns == docs.columns and not {"3", "4", "5"} & set(times) and max(v for k, v in times.items() if k not in ("1", "2")) <= 3
+    pieces = corpus_pipeline.pack(spark, docs, "").collect()
+    tokens = {}
+    for r in pieces:
+        tokens[str(r.doc_id)] = tokens.get(str(r.doc_id), 0) + r.length
+    assert set(tokens) == {str(r[0]) for r in edges()} and tokens["3"] == tokens["4"] == tokens["5"] == 1
+    assert tokens["1"] == 2 * next(r.doc_tokens for r in pieces if r.doc_id == 1)
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], WIDE)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, "").count() == 0, name
