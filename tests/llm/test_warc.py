@@ -40,3 +40,14 @@ def test_damage_is_found():
                 list(warc.records(iter([gzip.compress(bad)])))
     with pytest.raises((ValueError, zlib.error)):
         list(warc.records(iter([data[:-9]])))
+
+
+def test_files_of_archives(spark, frame, tmp_path):
+    pages = frame([(i, f"http://x/{i}", f"<p>page {i % 7}</p>" * 20, "x", 1) for i in range(40)], SCHEMA).coalesce(2)
+    segments = {}
+    for r in warc.write(pages).collect():
+        segments.setdefault(r.archive, {})[r.segment] = bytes(r.data)
+    for archive, parts in segments.items():
+        (tmp_path / f"{archive}.warc.gz").write_bytes(b"".join(parts[i] for i in sorted(parts)))
+    key = lambda df: sorted((r.page_id, r.record_type, r.payload_digest, r.refers_to) for r in df.collect())
+    assert key(warc.read_files(spark, str(tmp_path))) == key(warc.digest_pages(pages)) and len(segments) >= 1
