@@ -66,6 +66,26 @@ def vote(df: DataFrame, column: str, side: str) -> DataFrame:
     return tests.agg(F.lit(column).alias("column"), F.count_if(F.col("severity") > 0).alias("votes"), F.avg("score").alias("score"), F.max("severity").alias("severity")).withColumn("drift", F.col("votes") >= 2)
 
 
+def report(df: DataFrame, columns: list[str], side: str) -> DataFrame:
+    """A row per column: size, mean, population deviation and the values at ranks trunc(n / 4), trunc(n / 2) and trunc(3 n / 4)
+    of both samples, the three scores, how many of them tell of drift, and whether two do."""
+    out = None
+    place = lambda n: [min(int(n * p), n - 1) for p in (0.25, 0.5, 0.75)]
+    for c in columns:
+        row = None
+        for name, part in (("before", df.where(F.col(side))), ("after", df.where(~F.col(side)))):
+            n, found = order_stats.ranked(part, {c: place})[c]
+            quarters = [found[k] for k in place(n)] if n else [None] * 3
+            facts = part.agg(F.count(c).alias(f"n_{name}"), F.avg(c).alias(f"mean_{name}"), F.stddev_pop(c).alias(f"std_{name}"), *[F.lit(q).cast("double").alias(f"q{k}_{name}") for k, q in zip((25, 50, 75), quarters, strict=True)])
+            row = facts if row is None else row.crossJoin(F.broadcast(facts))
+        tests = ks(df, c, side).unionByName(psi(df, c, side)).unionByName(js(df, c, side))
+        votes = tests.agg(*[F.max(F.when(F.col("test") == t, F.col("score"))).alias(t) for t in ("ks", "psi", "js")], F.count_if(F.col("severity") > 0).alias("votes"), F.max("severity").alias("__most"))
+        own = row.crossJoin(F.broadcast(votes)).withColumn("drift", F.col("votes") >= 2).withColumn("severity", F.when(F.col("drift"), F.col("__most")).otherwise(0)).drop("__most")
+        own = own.select(F.lit(c).alias("column"), *own.columns)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def ddm(df: DataFrame, by: list[str], order: list[str], error: str, least: int = 30) -> DataFrame:
     """Each row's error rate p and deviation s, and whether p + s rises 2 or 3 deviations above their least sum so far."""
     w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)

@@ -142,6 +142,53 @@ def partial_dependence(df: DataFrame, column: str, score, points: int = 10, low:
     return row.select(F.explode(F.array(*[F.struct(F.lit(g).alias("grid"), F.col(f"g{i}").alias("mean")) for i, g in enumerate(grid)])).alias("s")).select("s.*")
 
 
+def grid_of(df: DataFrame, column: str, points: int, low: float = 5, high: float = 95) -> list[float]:
+    """Evenly spaced points between the values at two percentiles' ranks."""
+    place = lambda n: [int(p / 100 * (n - 1)) for p in (low, high)]
+    n, found = order_stats.ranked(df, {column: place})[column]
+    a, b = (found[k] for k in place(n))
+    return [a + (b - a) * i / (points - 1) for i in range(points)]
+
+
+def partial_dependence_2d(df: DataFrame, one: str, other: str, score, points: int = 5) -> tuple[DataFrame, float]:
+    """((x, y, mean) over the grid of two columns, the share of its variance that isn't the sum of both columns' own).
+
+    ``score`` is a function of replacements for both; one scan gives all means.
+    """
+    xs, ys = grid_of(df, one, points), grid_of(df, other, points)
+    cells = [(i, j) for i in range(points) for j in range(points)]
+    alone = [F.avg(score(F.lit(x), F.col(other))).alias(f"x{i}") for i, x in enumerate(xs)] + [F.avg(score(F.col(one), F.lit(y))).alias(f"y{j}") for j, y in enumerate(ys)]
+    row = df.agg(*[F.avg(score(F.lit(xs[i]), F.lit(ys[j]))).alias(f"m{i}_{j}") for i, j in cells], *alone).first()
+    mean = sum(row[f"m{i}_{j}"] for i, j in cells) / len(cells)
+    rest = sum((row[f"m{i}_{j}"] - (row[f"x{i}"] + row[f"y{j}"] - mean)) ** 2 for i, j in cells)
+    total = sum((row[f"m{i}_{j}"] - mean) ** 2 for i, j in cells)
+    return df.sparkSession.createDataFrame([(xs[i], ys[j], row[f"m{i}_{j}"]) for i, j in cells], "x double, y double, mean double"), rest / total if total > 0 else 0.0
+
+
+def centered_ice(df: DataFrame, key: list[str], column: str, score, points: int = 4) -> DataFrame:
+    """(key, i, change): each row's score at the grid's points, less that at the first."""
+    grid = grid_of(df, column, points)
+    first = score(F.lit(grid[0]))
+    return df.select(*key, F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), (score(F.lit(g)) - first).alias("change")) for i, g in enumerate(grid)])).alias("s")).select(*key, "s.i", "s.change")
+
+
+def beta_calibration(df: DataFrame, y: str, p: str, rounds: int = 25) -> tuple[float, float, float]:
+    """(a, b, c) of sigmoid(c + a ln p - b ln(1 - p)) by Newton steps, one aggregate each."""
+    import numpy as np
+
+    q = F.least(F.greatest(F.col(p), F.lit(1e-10)), F.lit(1 - 1e-10))
+    rows = df.select(F.ln(q).alias("u"), (-F.ln(1 - q)).alias("v"), F.lit(1.0).alias("w"), F.col(y).cast("double").alias("y"))
+    names, theta = ("u", "v", "w"), np.array([1.0, 1.0, 0.0])
+    for _ in range(rounds):
+        s = 1 / (1 + F.exp(-sum((F.col(n) * float(t) for n, t in zip(names, theta, strict=True)), F.lit(0.0))))
+        row = rows.agg(*[F.sum((s - F.col("y")) * F.col(n)).alias(f"g{n}") for n in names], *[F.sum(s * (1 - s) * F.col(m) * F.col(n)).alias(f"h{m}{n}") for m in names for n in names]).first()
+        move = np.linalg.solve(np.array([[row[f"h{m}{n}"] for n in names] for m in names]) + 1e-9 * np.eye(3), np.array([row[f"g{n}"] for n in names]))
+        theta = theta - move
+        if np.abs(move).sum() < 1e-8:
+            break
+    return tuple(theta.tolist())
+
+
 def linear_shap(df: DataFrame, weights: dict[str, float]) -> dict[str, Column]:
     """Exact Shapley values of a linear score: weight times the distance from the mean."""
     row = df.agg(*[F.avg(c).alias(c) for c in weights]).first()

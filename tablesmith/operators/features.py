@@ -107,6 +107,23 @@ def target_correlation(df: DataFrame, columns: list[str], y: str) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("r")) for c in columns])).alias("s")).select("s.*")
 
 
+def eliminated(df: DataFrame, columns: list[str], y: str, keep: int, step: int = 1) -> DataFrame:
+    """(column, rank): recursive elimination by |r| with the target, ``step`` columns a round; the ``keep`` that are left rank 1.
+
+    The first column to go has the rank of all columns' number, the next one less, and so on; ties go by name.
+    """
+    rows = sorted((abs(r["r"]), r["column"]) for r in target_correlation(df, columns, y).collect())
+    gone = max(0, len(rows) - keep)
+    return df.sparkSession.createDataFrame([(c, len(rows) - i if i < gone else 1) for i, (_, c) in enumerate(rows)], "column string, rank int")
+
+
+def by_percentile(df: DataFrame, columns: list[str], y: str, percentile: float) -> DataFrame:
+    """(column, r) of the columns whose |r| is at least that at rank trunc(percentile / 100 * (n - 1))."""
+    table = target_correlation(df, columns, y).withColumn("r", F.abs("r"))
+    bound = sorted(r["r"] for r in table.collect())[int(percentile / 100 * (len(columns) - 1))]
+    return table.where(F.col("r") >= bound)
+
+
 def mutual_information(df: DataFrame, columns: list[str], y: str) -> DataFrame:
     """(column, mi) in nats, over clamp(sqrt(n), 2, 20) equal bins of the column and of the target; one pass for all columns."""
     names = [*columns, y]

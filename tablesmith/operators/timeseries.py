@@ -89,6 +89,23 @@ def decompose(df: DataFrame, c: str, by: list[str], order: list[str], period: in
     return out.withColumn("residual", rest).drop("__i", "__p", "__d")
 
 
+def seasonal_means(df: DataFrame, c: str, by: list[str], order: list[str], period: int) -> DataFrame:
+    """``df`` with place (in the period) and pattern, the mean of its rows there."""
+    rows = df.withColumn("place", (F.row_number().over(over(by, order)) - 1) % period)
+    return rows.join(rows.groupBy(*by, "place").agg(F.avg(c).alias("pattern")), [*by, "place"])
+
+
+def chain(x: Column, log: bool = True, lam: float | None = None) -> Column:
+    """ln(x + 1), then Box-Cox of that plus 1 where ``lam`` is given; differences are ``difference``'s."""
+    out = F.log1p(x) if log else x
+    return out if lam is None else F.log1p(out) if abs(lam) < 1e-10 else (F.pow(out + 1, F.lit(lam)) - 1) / lam
+
+
+def unchained(y: Column, log: bool = True, lam: float | None = None) -> Column:
+    out = y if lam is None else F.expm1(y) if abs(lam) < 1e-10 else F.pow(y * lam + 1, F.lit(1 / lam)) - 1
+    return F.expm1(out) if log else out
+
+
 def folds(spark, n: int, spec: list[tuple[int, int, int, int, int]]) -> DataFrame:
     """(fold, role, row_idx) of folds (id, train start, train end, test start, test end), ends excluded."""
     table = spark.createDataFrame(spec, "fold int, a int, b int, c int, d int")

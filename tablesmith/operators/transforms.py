@@ -149,8 +149,22 @@ def dequantize(q: Column, scale: float, zero: int) -> Column:
     return (q - zero) * scale
 
 
+def moving_range(df: DataFrame, column: str, batch: str, keep: float = 0.9) -> tuple[float, float]:
+    """The range by batches in order: each batch's least and greatest value moves the bounds by 1 - ``keep``; batches are few."""
+    low = high = None
+    for r in df.groupBy(batch).agg(F.min(column).alias("a"), F.max(column).alias("b")).where("a is not null").orderBy(batch).collect():
+        low = r["a"] if low is None else keep * low + (1 - keep) * r["a"]
+        high = r["b"] if high is None else keep * high + (1 - keep) * r["b"]
+    return low, high
+
+
 def calibrate(df: DataFrame, column: str, method: str = "minmax", share: float = 0.999, bins: int = 2048) -> tuple[float, float]:
-    """minmax, or histogram: the edges between which ``share`` of the values lie, in equal shares cut on both sides."""
+    """minmax; percentile: the values at the ranks that cut (1 - ``share``) / 2 of the values on either side; or histogram: the
+    edges of bins between which ``share`` of the values lie, in equal shares cut on both sides."""
+    if method == "percentile":
+        place = lambda n: [int((1 - share) / 2 * (n - 1)), math.ceil((1 + share) / 2 * (n - 1))]
+        n, found = order_stats.ranked(df, {column: place})[column]
+        return tuple(found[k] for k in place(n))
     low, high = df.agg(F.min(column), F.max(column)).first()
     if method == "minmax" or high == low:
         return low, high

@@ -52,9 +52,25 @@ def drift_vote(s, d):
     return drift.vote(split(s, d), "value", "side").withColumn("score", F.round("score", 6))
 
 
-@query("drift_features", f"""SELECT CASE WHEN side THEN 'before' ELSE 'after' END AS part, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS low, max(value) AS high FROM {SPLIT} GROUP BY 1""")
+_SIDE = "(SELECT count(value) AS n, avg(value) AS m, stddev_pop(value) AS sd, list_sort(list(value)) AS l FROM {} WHERE {})"
+_Q = ", ".join(f"round({t}.l[least(CAST(floor({t}.n * {p}) AS BIGINT), {t}.n - 1) + 1], 6) AS q{k}_{name}" for t, name in (("x", "before"), ("y", "after")) for k, p in ((25, ".25"), (50, ".5"), (75, ".75")))
+
+
+def _whole(c, source):
+    ask = lambda sql: sql.replace(SPLIT, "@").replace("FROM events)", f"FROM {source})").replace("@", source)
+    tests = " UNION ALL ".join(ask(_report(q, k)) for q, k in ((_KS, "1.5"), (_PSI, "2"), (_JS, "2")))
+    return f"""SELECT '{c}' AS "column", x.n AS n_before, round(x.m, 6) AS mean_before, round(x.sd, 6) AS std_before, y.n AS n_after, round(y.m, 6) AS mean_after, round(y.sd, 6) AS std_after, {_Q}, round(k, 6) AS ks, round(p, 6) AS psi, round(j, 6) AS js, votes, votes >= 2 AS drift, CASE WHEN votes >= 2 THEN top ELSE 0 END AS severity
+    FROM {_SIDE.format(source, 'side')} x, {_SIDE.format(source, 'NOT side')} y, (SELECT max(score) FILTER (test = 'ks') AS k, max(score) FILTER (test = 'psi') AS p, max(score) FILTER (test = 'js') AS j, count(*) FILTER (severity > 0) AS votes, max(severity) AS top FROM ({tests}))"""
+
+
+_SHIFTED = "(SELECT value * 1.25 + 3 * CAST(NOT side AS INTEGER) AS value, side FROM " + SPLIT + ")"
+
+
+@query("drift_features", _whole("value", SPLIT) + " UNION ALL " + _whole("shifted", _SHIFTED))
 def drift_features(s, d):
-    return split(s, d).groupBy(F.when(F.col("side"), "before").otherwise("after").alias("part")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"), F.min("value").alias("low"), F.max("value").alias("high"))
+    rows = split(s, d).withColumn("shifted", F.col("value") * 1.25 + 3 * (~F.col("side")).cast("int"))
+    out = drift.report(rows, ["value", "shifted"], "side")
+    return out.select("column", *[F.round(c, 6).alias(c) if c.split("_")[0] not in ("n", "column", "votes", "drift", "severity") else c for c in out.columns if c != "column"])
 
 
 _RUN = "OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"

@@ -369,3 +369,25 @@ def percentile_pruner(s, d):
     v = F.array_sort(F.collect_list("score"))
     m = t.groupBy("step").agg(F.element_at(v, F.least(F.floor(F.size(v) * 0.25), F.size(v) - 1).cast("int") + 1).alias("mid"))
     return t.join(F.broadcast(m), "step").select("trial", "step", (F.col("score") > F.col("mid")).alias("prune"))
+
+
+def _span(c, i, k):
+    return f"(SELECT l[CAST(floor(.05 * (len(l) - 1)) AS BIGINT) + 1] + (l[CAST(floor(.95 * (len(l) - 1)) AS BIGINT) + 1] - l[CAST(floor(.05 * (len(l) - 1)) AS BIGINT) + 1]) * {i} / {k} FROM (SELECT list_sort(list({c})) AS l FROM lineitem))"
+
+
+@query("partial_dependence_2d", f"""WITH g AS (SELECT i, j, {_span('l_quantity', 0, 4)} AS a0, {_span('l_quantity', 4, 4)} AS a1, {_span('l_discount', 0, 4)} AS b0, {_span('l_discount', 4, 4)} AS b1 FROM range(5) t(i), range(5) u(j))
+    SELECT round(a0 + (a1 - a0) * i / 4, 6) AS x, round(b0 + (b1 - b0) * j / 4, 6) AS y, round((SELECT avg(l_tax) FROM lineitem) + (a0 + (a1 - a0) * i / 4) * (b0 + (b1 - b0) * j / 4), 4) AS mean FROM g""")
+def partial_dependence_2d(s, d):
+    table_, _ = ev.partial_dependence_2d(table(s, d, "lineitem"), "l_quantity", "l_discount", lambda a, b: F.col("l_tax") + a * b)
+    return r6(table_).withColumn("mean", F.round("mean", 4))
+
+
+@query("ice_centered", f"SELECT l_orderkey, l_linenumber, i, round(({_span('l_quantity', 3, 3)} - {_span('l_quantity', 0, 3)}) * i / 3 * l_discount, 6) AS change FROM lineitem, range(4) t(i)")
+def ice_centered(s, d):
+    return r6(ev.centered_ice(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], "l_quantity", lambda g: g * F.col("l_discount") + F.col("l_tax")), "l_orderkey", "l_linenumber", "i")
+
+
+@query("beta_calibration")
+def beta_calibration(s, d):
+    a, b, c = ev.beta_calibration(clf(s, d), "y", "p")
+    return s.createDataFrame([(round(a, 4), round(b, 4), round(c, 4))], "a double, b double, c double")

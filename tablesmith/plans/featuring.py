@@ -137,3 +137,22 @@ def high_cardinality(s, d):
 def pca(s, d):
     _, shares, projected = fx.pca(table(s, d, "lineitem"), NUM, 2)
     return projected.select("l_orderkey", "l_linenumber", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"), F.lit(round(float(shares[0]), 6)).alias("share1"))
+
+
+_ABS = "(" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", abs(coalesce(corr({c}, l_extendedprice), 0)) AS r FROM lineitem" for c in NUM if c != "l_extendedprice") + ")"
+
+
+@query("rfe_selection", f"SELECT \"column\", CAST(CASE WHEN i <= 2 THEN 4 - i ELSE 1 END AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY r, \"column\") AS i FROM {_ABS})")
+def rfe_selection(s, d):
+    return fx.eliminated(table(s, d, "lineitem"), [c for c in NUM if c != "l_extendedprice"], "l_extendedprice", 1)
+
+
+@query("percentile_selection", f"SELECT \"column\", round(r, 6) AS r FROM {_ABS} WHERE r >= (SELECT list_sort(list(r))[2] FROM {_ABS})")
+def percentile_selection(s, d):
+    return fx.by_percentile(table(s, d, "lineitem"), [c for c in NUM if c != "l_extendedprice"], "l_extendedprice", 60).withColumn("r", F.round("r", 6))
+
+
+@query("importance_selection", f"SELECT \"column\", round(r, 6) AS r FROM {_ABS} WHERE r >= .005")
+def importance_selection(s, d):
+    rows = fx.target_correlation(table(s, d, "lineitem"), [c for c in NUM if c != "l_extendedprice"], "l_extendedprice")
+    return rows.select("column", F.abs("r").alias("r")).where("r >= .005").withColumn("r", F.round("r", 6))

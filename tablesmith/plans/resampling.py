@@ -106,3 +106,17 @@ def tail_split(s, d):
 @query("stratified_split", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) > count(*) OVER (PARTITION BY o_orderstatus) - least(greatest(floor(count(*) OVER (PARTITION BY o_orderstatus) * .2), 1), count(*) OVER (PARTITION BY o_orderstatus) - 1) AS held FROM orders")
 def stratified_split(s, d):
     return sampling.stratified_split(table(s, d, "orders"), "o_orderstatus", "o_orderkey", 0.2).select("o_orderkey", "held")
+
+
+@query("borderline_points")
+def borderline_points(s, d):
+    rows = vectors(s, d)
+    least = rows.groupBy("label").count().orderBy("count", "label").first()["label"]
+    return sampling.borderline_points(rows, "label", "vec_id", "v", least).select("source", "near", F.round(F.element_at("v", 1), 6).alias("v1"))
+
+
+@query("adasyn")
+def adasyn(s, d):
+    rows = vectors(s, d)
+    least = rows.groupBy("label").count().orderBy("count", "label").first()["label"]
+    return sampling.adasyn(rows, "label", "vec_id", "v", least, beta=4.0, most_share=1.0).select("source", "near", F.round(F.element_at("v", 1), 6).alias("v1"))

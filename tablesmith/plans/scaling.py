@@ -227,3 +227,15 @@ def vector_kernels(s, d):
         "vec_id", F.round(T.mean(v) * F.size(v), 5).alias("total"), F.round(T.mean(v), 6).alias("mean"), F.round(T.variance(v), 6).alias("variance"), T.argmax(v).alias("argmax"), F.round(T.dot(v, v), 6).alias("norm2"),
         F.round(T.distance(v, F.reverse(v)), 5).alias("apart"), F.round(T.softmax(v)[0], 6).alias("soft1"), F.round(T.softmax(v, log=True)[0], 5).alias("log1"),
     )
+
+
+@query("calibrate_percentile", "SELECT l[CAST(floor((1 - .98::DOUBLE) / 2 * (len(l) - 1)) AS BIGINT) + 1] AS low, l[CAST(ceil((1 + .98::DOUBLE) / 2 * (len(l) - 1)) AS BIGINT) + 1] AS high FROM (SELECT list_sort(list(c_acctbal)) AS l FROM customer)")
+def calibrate_percentile(s, d):
+    return s.createDataFrame([T.calibrate(table(s, d, "customer"), "c_acctbal", "percentile", 0.98)], "low double, high double")
+
+
+@query("calibrate_moving", """WITH RECURSIVE b AS (SELECT c_nationkey AS k, min(c_acctbal) AS a, max(c_acctbal) AS b, row_number() OVER (ORDER BY c_nationkey) AS i FROM customer GROUP BY 1), r AS (SELECT i, a AS low, b AS high FROM b WHERE i = 1
+    UNION ALL SELECT b.i, .9::DOUBLE * low + (1 - .9::DOUBLE) * a, .9::DOUBLE * high + (1 - .9::DOUBLE) * b FROM r JOIN b ON b.i = r.i + 1) SELECT round(low, 6) AS low, round(high, 6) AS high FROM r ORDER BY i DESC LIMIT 1""")
+def calibrate_moving(s, d):
+    low, high = T.moving_range(table(s, d, "customer"), "c_acctbal", "c_nationkey")
+    return s.createDataFrame([(round(low, 6), round(high, 6))], "low double, high double")

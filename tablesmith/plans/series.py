@@ -112,8 +112,20 @@ def decompose_multiplicative(s, d):
 
 @query("deseasonalize", f"WITH r AS (SELECT day, status, x, (row_number() {P}) - 1) % 7 AS p FROM {DAILY}), q AS (SELECT status, p, avg(x) AS s FROM r GROUP BY ALL) SELECT day, status, round(x - s, 2) AS x FROM r JOIN q USING (status, p)")
 def deseasonalize(s, d):
-    rows = daily(s, d).withColumn("p", (F.row_number().over(ts.over(["status"], ["day"])) - 1) % 7)
-    return rows.join(rows.groupBy("status", "p").agg(F.avg("x").alias("s")), ["status", "p"]).select("day", "status", F.round(F.col("x") - F.col("s"), 2).alias("x"))
+    rows = ts.seasonal_means(daily(s, d), "x", ["status"], ["day"], 7)
+    return rows.select("day", "status", F.round(F.col("x") - F.col("pattern"), 2).alias("x"))
+
+
+@query("reseasonalize", f"SELECT day, status, round(x, 2) AS x FROM {DAILY}")
+def reseasonalize(s, d):
+    rows = ts.seasonal_means(daily(s, d), "x", ["status"], ["day"], 7).withColumn("x", F.col("x") - F.col("pattern"))
+    return rows.select("day", "status", F.round(F.col("x") + F.col("pattern"), 2).alias("x"))
+
+
+@query("transform_chain", f"SELECT day, status, round((pow(ln(x + 1) + 1, .5) - 1) / .5, 6) AS y, round(x, 4) AS x FROM {DAILY}")
+def transform_chain(s, d):
+    y = ts.chain(F.col("x"), lam=0.5)
+    return daily(s, d).select("day", "status", F.round(y, 6).alias("y"), F.round(ts.unchained(y, lam=0.5), 4).alias("x"))
 
 
 @query("log_chain", f"SELECT day, status, round(ln(x + 1), 6) AS x FROM {DAILY}")
