@@ -159,13 +159,18 @@ def tuner_halving(s, d):
 
 
 def _lines(s, d):
-    return table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), "l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("y"))
+    return table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), "l_quantity", "l_discount", (F.col("l_extendedprice") * F.col("l_discount")).alias("rebate"), F.col("l_extendedprice").alias("y"))
 
 
-@query("stacking")
+_FOLDED = "(SELECT l_orderkey * 10 + l_linenumber AS key, l_quantity AS q, l_extendedprice * l_discount AS d, l_extendedprice AS y, (row_number() OVER (ORDER BY l_orderkey * 10 + l_linenumber) - 1) % 5 AS f FROM lineitem)"
+
+
+@query("stacking", f"""WITH t AS {_FOLDED}, m AS (SELECT g.f, regr_slope(y, q) AS s1, regr_intercept(y, q) AS i1, regr_slope(y, d) AS s2, regr_intercept(y, d) AS i2 FROM t, (SELECT unnest(range(5)) AS f) g WHERE t.f <> g.f GROUP BY g.f), o AS (SELECT key, y, i1 + s1 * q AS a, i2 + s2 * d AS b FROM t JOIN m USING (f)),
+    c AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM o), w AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS w1, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS w2 FROM c)
+    SELECT key, round(my + w1 * (a - ma) + w2 * (b - mb), 2) AS stacked FROM o, w""")
 def stacking(s, d):
-    rows, *_ = choose.stacked(_lines(s, d), "key", {"quantity": ["l_quantity"], "rates": ["l_discount", "l_tax"]}, "y")
-    return rows.select("key", F.round("stacked", 4).alias("stacked"))
+    rows, *_ = choose.stacked(_lines(s, d), "key", {"quantity": ["l_quantity"], "rebate": ["rebate"]}, "y")
+    return rows.select("key", F.round("stacked", 2).alias("stacked"))
 
 
 _TAIL = "(SELECT l_orderkey * 10 + l_linenumber AS key, l_quantity, l_discount, l_extendedprice AS y, row_number() OVER (ORDER BY l_orderkey * 10 + l_linenumber) > count(*) OVER () - CAST(floor(count(*) OVER () * .2) AS BIGINT) AS held FROM lineitem)"

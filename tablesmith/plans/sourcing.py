@@ -63,10 +63,16 @@ def stream_scores(s, d):
     return out.withColumn("score", F.round("score", 6))
 
 
-@query("stream_page_hinkley")
+_STATE = """WITH RECURSIVE o AS (SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+    c AS (SELECT user_id, i, v AS mean, 0 + v - v - .005::DOUBLE AS total, least(0::DOUBLE, 0 + v - v - .005::DOUBLE) AS low FROM o WHERE i = 1
+    UNION ALL SELECT user_id, i, m, t, least(low, t) FROM (SELECT o.user_id, o.i, .9999::DOUBLE * c.mean + (1 - .9999::DOUBLE) * o.v AS m, c.total + (o.v - (.9999::DOUBLE * c.mean + (1 - .9999::DOUBLE) * o.v) - .005::DOUBLE) AS t, c.low AS low FROM c JOIN o ON o.user_id = c.user_id AND o.i = c.i + 1))
+    SELECT user_id, count(*) AS n, round(arg_max(total - low, i), 4) AS sum, bool_or(total - low > 50) AS drift FROM c GROUP BY 1"""
+
+
+@query("stream_page_hinkley", _STATE)
 def stream_page_hinkley(s, d):
     out = st.page_hinkley(_stream(s, d, "events"), "user_id", "event_id", "value")
-    return st.drain(out, f"hinkley_{uuid.uuid4().hex}", "update").withColumn("sum", F.round("sum", 6))
+    return st.drain(out, f"hinkley_{uuid.uuid4().hex}", "update").withColumn("sum", F.round("sum", 4))
 
 
 @query("window_sessions", "WITH b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM b) SELECT user_id, count(*) AS n, CAST(floor(epoch(min(ts))) AS BIGINT) AS start FROM s GROUP BY user_id, k")
