@@ -16,6 +16,8 @@ from ..functions import lineage
 BATCH_ROWS = 512
 #: Bytes of one Arrow batch, where the running Spark has that setting.
 BATCH_BYTES = 4 << 20
+#: Edges of a partition of what is kept between steps, and partitions at least.
+EDGES_PER_PART, LEAST_PARTS = 50_000, 8
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -73,7 +75,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of undirected ``edges`` (a, b); component is the smallest node reachable.
 
     Alternates the large-star and small-star steps until the edges are stars. Minima are pre-aggregated and
-    cut before they are joined back, so that the rows of a hub can be split by the adaptive skew join.
+    cut before they are joined back, so that the rows of a hub can be split by the adaptive skew join. What is
+    kept between steps has a partition per EDGES_PER_PART edges, so that few edges don't make many small files.
     Loops and rows with nulls are ignored; empty edges give an empty result.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -82,14 +85,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         seen = now.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)).alias("h")).first()
         if tuple(seen) == before or seen["n"] == 0:
             break
-        before = tuple(seen)
+        before, parts = tuple(seen), max(LEAST_PARTS, seen["n"] // EDGES_PER_PART)
+        now = now.coalesce(parts)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts))
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = cut(large.coalesce(parts))
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts))
         small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        now = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).coalesce(parts).distinct().coalesce(parts))
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

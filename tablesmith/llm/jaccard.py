@@ -30,6 +30,8 @@ from .words import mix, shingles, word_hashes
 
 #: Bounds of the bits of the table by which shingles are ordered; it grows with the shingles counted.
 FEWEST_BITS, MOST_BITS = 16, 22
+#: Nodes of a partition of the tables of nodes and prefixes, and partitions at least.
+NODES_PER_PART, LEAST_PARTS = 2000, 8
 #: Pivots of a shingle at most.
 PIVOTS = 4
 #: Longs of the bitmap of a set.
@@ -49,9 +51,8 @@ def _wanted(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return table, bits
 
 
-def _sets(docs: DataFrame, alive: DataFrame, n: int) -> DataFrame:
-    """(node, items): the sets of the nodes of ``alive`` (node, doc_id, n), each brought from one document."""
-    count = alive.count()
+def _sets(docs: DataFrame, alive: DataFrame, n: int, count: int) -> DataFrame:
+    """(node, items): the sets of the ``count`` nodes of ``alive`` (node, doc_id, n), each brought from one document."""
     table, bits = _wanted(alive, count)
     shared_table = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -134,29 +135,29 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den
     return both.where(den * common >= num * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def _labels(nodes: DataFrame, links: DataFrame, parts: int) -> DataFrame:
     """(node, component) for all nodes."""
     found = components(links)
-    return cut(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    return cut(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")).coalesce(parts))
 
 
-def _lanes(member: DataFrame, rows: DataFrame) -> DataFrame:
+def _lanes(member: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
     """``rows`` with the least and the greatest component (lo, hi) of the members of their groups, and the number of these."""
-    return cut(rows.join(member.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")), "g"))
+    return cut(rows.join(member.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")), "g").coalesce(parts))
 
 
-def _by_pivot(member: DataFrame, rows: DataFrame, pivots: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+def _by_pivot(member: DataFrame, rows: DataFrame, pivots: DataFrame, nodes: DataFrame, num: int, den: int, parts: int) -> DataFrame:
     """Pairs (a, b) of pivots of prefix shingles and other groups that may link and aren't connected."""
-    lanes = _lanes(member, rows)
+    lanes = _lanes(member, rows, parts)
     own = lanes.select(F.col("g").alias("of_g"), F.col("token").alias("of"), "lo", "hi").join(pivots, (F.col("of") == F.col("token")) & (F.col("of_g") == F.col("pivot.g"))).select("of", F.struct("pivot.*", "lo", "hi").alias("pivot"))
     # The conditions belong to the join, so that rows of groups that are connected never leave it.
     apart = (F.col("lo") != F.col("pivot.lo")) | (F.col("hi") != F.col("pivot.hi")) | (F.col("lo") != F.col("hi"))
     near = _near(num, den, F.col, lambda c: F.col(f"pivot.{c}"))
     pairs = lanes.join(own, (F.col("token") == F.col("of")) & (F.col("g") != F.col("pivot.g")) & apart & near)
-    return cut(pairs.select(F.least("pivot.g", "g").alias("a"), F.greatest("pivot.g", "g").alias("b")).distinct())
+    return cut(pairs.select(F.least("pivot.g", "g").alias("a"), F.greatest("pivot.g", "g").alias("b")).distinct().coalesce(parts))
 
 
-def _unconnected(member: DataFrame, rows: DataFrame, pivots: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+def _unconnected(member: DataFrame, rows: DataFrame, pivots: DataFrame, nodes: DataFrame, num: int, den: int, parts: int) -> DataFrame:
     """Pairs (a, b) of nodes in one group, or in groups that share a prefix shingle, that may link and aren't connected.
 
     Rows of a group or a shingle that belong to its main component are only compared with the others. Groups of a
@@ -164,15 +165,15 @@ def _unconnected(member: DataFrame, rows: DataFrame, pivots: DataFrame, nodes: D
     member are compared by their bitmaps within the join.
     """
     split = member.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    loose = cut(member.join(split.where("lo <> hi").select("g", F.col("lo").alias("main")), "g"))
+    loose = cut(member.join(split.where("lo <> hi").select("g", F.col("lo").alias("main")), "g").coalesce(parts))
     minor = loose.where("component <> main").select("g", F.col("node").alias("a"), F.col("component").alias("ca"))
     within = minor.join(loose.select(F.col("g").alias("other"), F.col("node").alias("b"), F.col("component").alias("cb")), (F.col("g") == F.col("other")) & (F.col("ca") != F.col("cb"))).select("a", "b")
-    lanes = _lanes(member, rows)
+    lanes = _lanes(member, rows, parts)
     kinds = lanes.groupBy("token").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.mode("lo", True).alias("main")).where("least <> most").select("token", "main")
     band = F.floor(F.log(F.col("n").cast("double")) / log(den / num) if num < den else F.col("n")).cast("long")
     bits = nodes.select(F.col("node").alias("g"), *_BITS)
     lanes = lanes.join(kinds, "token").join(bits, "g").withColumn("band", band).withColumn("major", (F.col("lo") == F.col("main")) & (F.col("hi") == F.col("main")))
-    lanes = cut(lanes)
+    lanes = cut(lanes.coalesce(parts))
     facts = F.struct("g", "at", "n", "lo", "hi", "members", *_BITS)
     x = lanes.where(~F.col("major")).select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), facts.alias("x"))
     y = lanes.select(F.col("token").alias("of"), F.col("band").alias("other"), facts.alias("y"), "major")
@@ -184,7 +185,7 @@ def _unconnected(member: DataFrame, rows: DataFrame, pivots: DataFrame, nodes: D
     across = across.select(F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).distinct()
     side = lambda c: member.select(F.col("g").alias(f"g{c}"), F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     spread = across.join(side("a"), "ga").join(side("b"), "gb").where("ca <> cb").select("a", "b")
-    return cut(within.unionByName(spread).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return cut(within.unionByName(spread).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().coalesce(parts))
 
 
 def join(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -198,34 +199,38 @@ def join(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFr
     docs = docs.select("doc_id", "text")
     whole = shared.sets(docs, n, num, den)
     alive = cut(whole.where("alive").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    sets = _sets(docs, alive, n)
-    nodes = _prefixes(sets, num, den)
+    count = alive.count()
+    # Tables of nodes and of their prefixes have a partition per NODES_PER_PART nodes: few nodes don't make many small files.
+    parts = max(LEAST_PARTS, count // NODES_PER_PART)
+    sets = _sets(docs, alive.coalesce(parts), n, count)
+    nodes = _prefixes(sets, num, den).coalesce(parts)
     # Groups of nodes with equal prefixes and sizes; the smallest node is the group's pivot and name.
     keyed = nodes.select("node", "n", F.xxhash64("prefix").alias("p"), F.hash("prefix").alias("q"))
     heads = keyed.groupBy("n", "p", "q").agg(F.min("node").alias("g"))
-    grouped = cut(keyed.join(heads, ["n", "p", "q"]).select("node", "g"))
+    grouped = cut(keyed.join(heads, ["n", "p", "q"]).select("node", "g").coalesce(parts))
     # Prefix shingles that two groups or more share. A shingle's pivots are, of each of a few classes of its groups, the
     # group that shares most shingles: it lies in the middle of its near copies, and most of them link with it.
     tops = nodes.join(grouped.where("node = g").select("node"), "node", "left_semi")
     every = tops.select(F.col("node").alias("g"), "n", F.posexplode("prefix").alias("at", "token"))
     tokens = every.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    rows = cut(every.join(tokens, "token").select("token", "g", "at", "n"))
+    rows = cut(every.join(tokens, "token").select("token", "g", "at", "n").coalesce(parts))
     middle = rows.join(rows.groupBy("g").agg(F.count("*").alias("shares")), "g")
     pivots = middle.groupBy("token", F.pmod(F.xxhash64("g"), F.lit(PIVOTS)).alias("kind")).agg(F.max(F.struct("shares", "g", "at", "n")).alias("pivot"))
-    pivots = cut(pivots.select("token", F.struct("pivot.g", "pivot.at", "pivot.n").alias("pivot")))
+    pivots = cut(pivots.select("token", F.struct("pivot.g", "pivot.at", "pivot.n").alias("pivot")).coalesce(parts))
     # First the pivots: of a group with its members, and with that one of its shingles' pivots that it shares most of.
     near = _near(num, den, F.col, lambda c: F.col(f"pivot.{c}"))
     first = rows.join(pivots.withColumnRenamed("token", "of"), (F.col("token") == F.col("of")) & (F.col("g") != F.col("pivot.g")) & near)
     first = first.select(F.col("pivot.g").alias("a"), F.col("g").alias("b")).groupBy("a", "b").agg(F.count("*").alias("k"))
     best = first.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
-    links = cut(_verified(best.select("a", "b").unionByName(grouped.where("node <> g").select(F.col("g").alias("a"), F.col("node").alias("b"))), nodes, sets, num, den))
-    label = _labels(nodes, links)
+    links = cut(_verified(best.select("a", "b").unionByName(grouped.where("node <> g").select(F.col("g").alias("a"), F.col("node").alias("b"))), nodes, sets, num, den).coalesce(parts))
+    label = _labels(nodes, links, parts)
     # Then the other pivots, and all pairs that may link, as far as they aren't connected yet.
     for step in (_by_pivot, _unconnected):
-        more = cut(_verified(step(cut(grouped.join(label, "node")), rows, pivots, nodes, num, den), nodes, sets, num, den))
+        member = cut(grouped.join(label, "node").coalesce(parts))
+        more = cut(_verified(step(member, rows, pivots, nodes, num, den, parts), nodes, sets, num, den).coalesce(parts))
         if more.limit(1).count():
             links = links.unionByName(more)
-            label = _labels(nodes, links)
+            label = _labels(nodes, links, parts)
     return whole, label
 
 
