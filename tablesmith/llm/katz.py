@@ -409,8 +409,9 @@ SCORES = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_sco
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of ``docs`` (doc_id, text, train, held_out).
 
-    A null text is empty and has its end alone. Each row is a document of its own, also where it repeats another;
-    without training rows all words are unknown, with a probability of 1. An empty table gives no rows.
+    A null text is empty and has its end alone; texts of any length are scored whole. Each row is a document of its own,
+    also where it repeats another; without training rows all words are unknown, with a probability of 1. An empty table
+    gives no rows, and other columns are ignored, whatever their names.
     """
     spark = ready(docs.sparkSession)
     sc, buckets = spark.sparkContext, text_bytes(docs) // TOKEN_BYTES // BUCKET_TOKENS + 1

@@ -144,7 +144,12 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[dict]]:
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, source, key, size, source_size, target, taken."""
+    """A row per document: doc_id, source, key, size, source_size, target, taken.
+
+    Documents with null or empty texts have no words and are taken 0 times; texts of any length count whole. Rows that
+    repeat a document share what the mix takes of it, as evenly as can be; a null source is a source of its own. Other
+    columns are ignored, whatever their names; an empty table gives no rows.
+    """
     parts, sizes, sources = mix(docs)
     facts = docs.sparkSession.createDataFrame([(s["source"], s["source_size"], s["target"]) for s in sources], "s string, source_size long, target double")
     played = parts.groupBy("doc_id", "fold").agg(F.sum("length").alias("played")).withColumnsRenamed({"doc_id": "id", "fold": "f"})
@@ -158,7 +163,8 @@ def apply(docs: DataFrame) -> DataFrame:
     """The documents of the mix, whole, each as often as it is taken (rounded), with the columns of ``docs``.
 
     What ``taken`` decides comes down to one number of passes and one last key for each source, so the texts
-    themselves need no shuffle. Documents without words are left out: no slot plays them.
+    themselves need no shuffle. Documents without words or with null texts are left out: no slot
+    plays them. Rows that repeat a document go together; other columns pass through; an empty table gives no rows.
     """
     rows = taken(docs).where("size > 0").withColumn("times", F.floor(F.col("taken") / F.col("size") + 0.5))
     marks = rows.groupBy("source").agg(F.min("times").alias("least"), F.max("times").alias("most"))
