@@ -158,28 +158,29 @@ def tuner_halving(s, d):
     return choose.halving(scores, [0, 1, 2]).select("trial", "budget", F.col("place").cast("long").alias("place"), "kept")
 
 
-def _lines(s, d):
-    return table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), "l_quantity", "l_discount", (F.col("l_extendedprice") * F.col("l_discount")).alias("rebate"), F.col("l_extendedprice").alias("y"))
+def _sold(s, d):
+    c = (F.col("o_custkey") % 7).cast("double")
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").cast("double").alias("customer"), (F.col("o_totalprice") * c).alias("share"), F.col("o_totalprice").alias("y"))
 
 
-_FOLDED = "(SELECT l_orderkey * 10 + l_linenumber AS key, l_quantity AS q, l_extendedprice * l_discount AS d, l_extendedprice AS y, (row_number() OVER (ORDER BY l_orderkey * 10 + l_linenumber) - 1) % 5 AS f FROM lineitem)"
+_FOLDED = "(SELECT o_orderkey AS key, CAST(o_custkey AS DOUBLE) AS q, o_totalprice * (o_custkey % 7) AS d, o_totalprice AS y, (row_number() OVER (ORDER BY o_orderkey) - 1) % 5 AS f FROM orders)"
 
 
 @query("stacking", f"""WITH t AS {_FOLDED}, m AS (SELECT g.f, regr_slope(y, q) AS s1, regr_intercept(y, q) AS i1, regr_slope(y, d) AS s2, regr_intercept(y, d) AS i2 FROM t, (SELECT unnest(range(5)) AS f) g WHERE t.f <> g.f GROUP BY g.f), o AS (SELECT key, y, i1 + s1 * q AS a, i2 + s2 * d AS b FROM t JOIN m USING (f)),
     c AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM o), w AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS w1, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS w2 FROM c)
     SELECT key, round(my + w1 * (a - ma) + w2 * (b - mb), 2) AS stacked FROM o, w""")
 def stacking(s, d):
-    rows, *_ = choose.stacked(_lines(s, d), "key", {"quantity": ["l_quantity"], "rebate": ["rebate"]}, "y")
+    rows, *_ = choose.stacked(_sold(s, d), "key", {"customer": ["customer"], "share": ["share"]}, "y")
     return rows.select("key", F.round("stacked", 2).alias("stacked"))
 
 
-_TAIL = "(SELECT l_orderkey * 10 + l_linenumber AS key, l_quantity, l_discount, l_extendedprice AS y, row_number() OVER (ORDER BY l_orderkey * 10 + l_linenumber) > count(*) OVER () - CAST(floor(count(*) OVER () * .2) AS BIGINT) AS held FROM lineitem)"
+_TAIL = "(SELECT o_orderkey AS key, CAST(o_custkey AS DOUBLE) AS q, o_totalprice * (o_custkey % 7) AS d, o_totalprice AS y, row_number() OVER (ORDER BY o_orderkey) > count(*) OVER () - CAST(floor(count(*) OVER () * .2) AS BIGINT) AS held FROM orders)"
 
 
-@query("blending", f"""WITH t AS {_TAIL}, f AS (SELECT regr_slope(y, l_quantity) AS s1, regr_intercept(y, l_quantity) AS i1, regr_slope(y, l_discount) AS s2, regr_intercept(y, l_discount) AS i2 FROM t WHERE NOT held), h AS (SELECT key, y, i1 + s1 * l_quantity AS p, i2 + s2 * l_discount AS q FROM t, f WHERE held),
+@query("blending", f"""WITH t AS {_TAIL}, f AS (SELECT regr_slope(y, q) AS s1, regr_intercept(y, q) AS i1, regr_slope(y, d) AS s2, regr_intercept(y, d) AS i2 FROM t WHERE NOT held), h AS (SELECT key, y, i1 + s1 * t.q AS p, i2 + s2 * t.d AS q FROM t, f WHERE held),
     w AS (SELECT 1 / avg((p - y) ** 2) AS a, 1 / avg((q - y) ** 2) AS b FROM h) SELECT key, round((p * a + q * b) / (a + b), 2) AS blended FROM h, w""")
 def blending(s, d):
-    rows, _ = choose.blended(_lines(s, d), "key", {"quantity": ["l_quantity"], "discount": ["l_discount"]}, "y", alpha=0.0)
+    rows, _ = choose.blended(_sold(s, d), "key", {"customer": ["customer"], "share": ["share"]}, "y", alpha=0.0)
     return rows.select("key", F.round("blended", 2).alias("blended"))
 
 
