@@ -71,9 +71,10 @@ def platt(s, d):
     return s.createDataFrame([(round(a, 5), round(b, 5))], "a double, b double")
 
 
-@query("temperature")
+@query("temperature", f"""SELECT round(min_by(t, loss), 6) AS temperature FROM (SELECT t, avg(-CASE WHEN y > .5 THEN ln(1 / (1 + exp(-x / t)) + 1e-15) ELSE ln(1 - 1 / (1 + exp(-x / t)) + 1e-15) END) AS loss
+    FROM (SELECT .25 * pow(16, i / 59.0) AS t FROM range(60) r(i)), (SELECT y, ln(greatest(p, 1e-12) / greatest(1 - p, 1e-12)) AS x FROM {CLF}) GROUP BY t)""")
 def temperature(s, d):
-    return s.createDataFrame([(ev.temperature(clf(s, d), "y", "p"),)], "temperature double")
+    return s.createDataFrame([(round(ev.temperature(clf(s, d), "y", "p"), 6),)], "temperature double")
 
 
 @query("conformal", "SELECT round(list_sort(list(abs(l_extendedprice - 1000 * l_quantity)))[CAST(greatest(1, least(count(*), ceil(.9 * (count(*) + 1)))) AS BIGINT)], 4) AS half_width FROM lineitem")
