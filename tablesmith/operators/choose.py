@@ -8,6 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lineage, order_stats
 from . import evaluate, learn, sampling
 
 # What is left out for small, large and wide tables.
@@ -80,6 +81,26 @@ def halving(scores: DataFrame, budgets: list[int], keep: int = 3) -> DataFrame:
     return out
 
 
+def pruned(scores: DataFrame, share: float) -> DataFrame:
+    """(trial, step, prune): whether a trial's score is above that at rank trunc(share * n) of the n scores of its step.
+
+    ``scores`` has (trial, step, score), less is better; steps are few. NaN is the greatest score and nulls
+    come after it; prune is null where the score or the bound is. Scores without a step are left out.
+    """
+    kept = lineage.cut(scores.where(F.col("step").isNotNull()))
+    sizes = {r["step"]: (r["n"], r["odd"]) for r in kept.groupBy("step").agg(F.count("*").alias("n"), F.count(F.when(F.isnan("score"), 1)).alias("odd")).collect()}
+    ranks = {k: min(int(share * n), n - 1) for k, (n, _) in sizes.items()}
+    columns = {f"score_{i}": k for i, k in enumerate(ranks)}
+    wide = kept.select(*[F.when(F.col("step") == k, F.col("score")).alias(c) for c, k in columns.items()])
+    found = order_stats.ranked(wide, {c: lambda n, k=k: [ranks[k]] for c, k in columns.items()}) if columns else {}
+    bound = F.lit(None).cast("double")
+    for c, k in columns.items():
+        n, values = found[c]
+        at = values.get(ranks[k], float("nan") if ranks[k] < n + sizes[k][1] else None)
+        bound = F.when(F.col("step") == k, F.lit(at).cast("double")).otherwise(bound)
+    return kept.select("trial", "step", (F.col("score") > bound).alias("prune"))
+
+
 def parzen(history: list[tuple[float, float]], low: float, high: float, candidates: int = 24, share: float = 0.25, seed: int = 0) -> float:
     """The next value to try: of candidates near good ones (the best ``share`` by least loss) that with the greatest ratio of
     the densities of good and of other values, by Gaussian kernels."""

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from tablesmith.functions.sums import means
+from tablesmith.operators import choose
 from tablesmith.operators import evaluate as ev
 from tablesmith.operators import govern as gv
 from tablesmith.registry import query, table
@@ -355,13 +357,16 @@ def backpressure(s, d):
     return gv.backpressure(queues, ["g"], ["day"], "queue", 15).select("g", "day", "size")
 
 
+def trials(s, d):
+    """Scores that don't depend on the order of rows: plain sums would part trials of equal values by their last bits."""
+    steps = table(s, d, "events").select(F.col("user_id").alias("trial"), (F.col("event_id") % 4).alias("step"), "value")
+    return means(steps, ["trial", "step"], "value", "score")
+
+
 @query("median_pruner", "WITH t AS (SELECT user_id AS trial, event_id % 4 AS step, avg(value) AS score FROM events GROUP BY ALL), m AS (SELECT step, list_sort(list(score))[count(*) // 2 + 1] AS mid FROM t GROUP BY 1) SELECT trial, step, score > mid AS prune FROM t JOIN m USING (step)")
 def median_pruner(s, d):
     """Prunes a trial's step that is worse than the upper median of all trials at that step."""
-    t = table(s, d, "events").groupBy(F.col("user_id").alias("trial"), (F.col("event_id") % 4).alias("step")).agg(F.avg("value").alias("score"))
-    v = F.array_sort(F.collect_list("score"))
-    m = t.groupBy("step").agg(F.element_at(v, F.floor(F.size(v) / 2).cast("int") + 1).alias("mid"))
-    return t.join(F.broadcast(m), "step").select("trial", "step", (F.col("score") > F.col("mid")).alias("prune"))
+    return choose.pruned(trials(s, d), 0.5)
 
 
 @query("percentile_pruner", "WITH t AS (SELECT user_id AS trial, event_id % 4 AS step, avg(value) AS score FROM events GROUP BY ALL), m AS (SELECT step, list_sort(list(score))[least(CAST(floor(.25 * count(*)) AS BIGINT), count(*) - 1) + 1] AS mid FROM t GROUP BY 1) SELECT trial, step, score > mid AS prune FROM t JOIN m USING (step)")

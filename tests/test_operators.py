@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablesmith.functions import order_stats
-from tablesmith.operators import anomaly, drift, encode, evaluate, govern, impute, learn, sampling, scale, timeseries, transforms
+from tablesmith.operators import anomaly, choose, drift, encode, evaluate, govern, impute, learn, sampling, scale, timeseries, transforms
 from tablesmith.operators import features as fx
 
 
@@ -295,3 +295,30 @@ def test_smote_evens_all_classes_despite_copies(spark):
     assert all(r["source"] // 100 == r["near"] // 100 and at[r["source"]] != at[r["near"]] and min(at[r["source"]][0], at[r["near"]][0]) <= r["v"][0] <= max(at[r["source"]][0], at[r["near"]][0]) for r in made)
     assert len({r["source"] for r in made if r["source"] < 200}) == 16
     assert {r["source"] // 100 for r in sampling.smote(df, "y", "i", "v", minority=2).collect()} == {2}
+
+
+def test_means_are_exact_in_any_order(spark):
+    from tablesmith.functions import sums
+
+    inf, nan = float("inf"), float("nan")
+    groups = {0: [0.1, 0.2, 0.3], 1: [0.3, 0.2, 0.1], 2: [1e16, 1.0, -1e16], 3: [None], 4: [inf, 1.0], 5: [inf, -inf], 6: [nan, 2.0], 7: [5e-324, 1e-300, -3.0], 8: [-0.1] * 7 + [1e300, -1e300], 9: [1.7e308, 1.7e308], 10: [0.0, None]}
+    df = spark.createDataFrame([(g, v) for g, own in groups.items() for v in own], "g int, x double").repartition(5)
+    got = {r.g: r.m for r in sums.means(df, ["g"], "x", "m").collect()}
+    want = {g: math.fsum(own) / len(own) for g, own in groups.items() if g in (0, 1, 2, 7, 8)}
+    assert {g: got[g] for g in want} == want and got[0] == got[1] and got[3] is None and got[4] == got[9] == inf and math.isnan(got[5]) and math.isnan(got[6]) and got[10] == 0
+    assert sums.means(df.where("g = 3"), ["g"], "x", "m").collect()[0].m is None and sums.means(df.where("false"), ["g"], "x", "m").count() == 0
+
+
+@pytest.mark.parametrize("name", ["median_pruner"])
+def test_trials_of_equal_values_are_pruned_alike(spark, tmp_path, name):
+    import __spark_entry__ as entry
+
+    rows = [(4 * (3 * t + i), t, v) for t, own in enumerate([(0.1, 0.2, 0.3), (0.3, 0.2, 0.1)] * 6 + [(9.0,), (None,), (None,), (float("nan"),)]) for i, v in enumerate(own)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.trial: (r.step, r.prune) for r in entry.queries()[name](spark, str(tmp_path)).collect()}
+    assert got == {t: (0, False) for t in range(12)} | {12: (0, True), 13: (0, None), 14: (0, None), 15: (0, True)}
+
+
+def test_pruned_counts_nulls(spark):
+    scores = spark.createDataFrame([(0, 1, 2.0), (1, 1, None), (2, 1, None), (3, 2, 1.0), (4, 2, float("nan")), (5, 2, None), (6, None, 1.0)], "trial int, step int, score double")
+    assert {r.trial: r.prune for r in choose.pruned(scores, 0.5).collect()} == {0: None, 1: None, 2: None, 3: False, 4: False, 5: None}
