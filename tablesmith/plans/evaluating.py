@@ -371,10 +371,7 @@ def median_pruner(s, d):
 
 @query("percentile_pruner", "WITH t AS (SELECT user_id AS trial, event_id % 4 AS step, avg(value) AS score FROM events GROUP BY ALL), m AS (SELECT step, list_sort(list(score))[least(CAST(floor(.25 * count(*)) AS BIGINT), count(*) - 1) + 1] AS mid FROM t GROUP BY 1) SELECT trial, step, score > mid AS prune FROM t JOIN m USING (step)")
 def percentile_pruner(s, d):
-    t = table(s, d, "events").groupBy(F.col("user_id").alias("trial"), (F.col("event_id") % 4).alias("step")).agg(F.avg("value").alias("score"))
-    v = F.array_sort(F.collect_list("score"))
-    m = t.groupBy("step").agg(F.element_at(v, F.least(F.floor(F.size(v) * 0.25), F.size(v) - 1).cast("int") + 1).alias("mid"))
-    return t.join(F.broadcast(m), "step").select("trial", "step", (F.col("score") > F.col("mid")).alias("prune"))
+    return choose.pruned(trials(s, d), 0.25)
 
 
 def _span(c, i, k):

@@ -309,7 +309,7 @@ def test_means_are_exact_in_any_order(spark):
     assert sums.means(df.where("g = 3"), ["g"], "x", "m").collect()[0].m is None and sums.means(df.where("false"), ["g"], "x", "m").count() == 0
 
 
-@pytest.mark.parametrize("name", ["median_pruner"])
+@pytest.mark.parametrize("name", ["median_pruner", "percentile_pruner"])
 def test_trials_of_equal_values_are_pruned_alike(spark, tmp_path, name):
     import __spark_entry__ as entry
 
