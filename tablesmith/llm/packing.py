@@ -30,7 +30,9 @@ WASTE = 1 / 64
 #: Units whose ids a worker keeps at hand, units that are encoded together, and bytes of text whose units are looked up together.
 CACHE = 400_000
 TOGETHER = 512
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
+#: Bytes of ids that a worker holds before it hands them over.
+HELD_BYTES = 1 << 20
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -276,6 +278,7 @@ def encoder(rules: str) -> Encoder:
     if rules not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[rules] = Encoder(rules)
+        release()  # of what was read for it, more than what it keeps
     return _ENCODERS[rules]
 
 
@@ -298,15 +301,16 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
         encode, first = encoder(rules.value), TaskContext.get().partitionId() << 32
         held: list[tuple] = []
         waiting: list[tuple] = []
-        total = sequences = 0
+        total = sequences = size_held = 0
 
         def place(sets: list[list[tuple]]) -> None:
-            nonlocal sequences
+            nonlocal sequences, size_held
             for items in sets:
                 offset = 0
                 for doc, start, ids, all_ids in items:
                     held.append((doc, start, len(ids), ids.tobytes(), all_ids, first + sequences, offset))
                     offset += len(ids)
+                    size_held += ids.nbytes
                 sequences += 1
 
         def settle() -> None:
@@ -316,8 +320,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
             waiting, total = [], 0
 
         def out() -> pa.RecordBatch:
-            nonlocal held
-            rows, held = held, []
+            nonlocal held, size_held
+            rows, held, size_held = held, [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         full = GROUP * (window - SLACK)
@@ -328,14 +332,16 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
                 while n - at >= window:
                     place([[(doc, at, ids[at : at + window], n)]])
                     at += window
+                    if size_held > HELD_BYTES:
+                        yield out()
                 while at < n:
                     size = min(n - at, full - total)
                     waiting.append((doc, at, ids[at : at + size], n))
                     at, total = at + size, total + size
                     if total == full:
                         settle()
-                if len(held) > 2000:
-                    yield out()
+                    if size_held > HELD_BYTES:
+                        yield out()
         settle()
         if held:
             yield out()

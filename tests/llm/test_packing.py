@@ -84,3 +84,19 @@ def test_digest(frame):
     r = packing.digest(frame([(1, "hello", "x", "y")], SCHEMA), PATH).collect()[0]
     ids = np.array([*Tokenizer.from_file(PATH).encode("hello", add_special_tokens=False).ids, 2], "<u4")
     assert r.ids_crc32 == zlib.crc32(ids.tobytes()) and r.doc_tokens == len(ids) == pytest.approx(r.length)
+
+
+def test_workers_hold_little(monkeypatch):
+    from types import SimpleNamespace as Own
+
+    import pyspark
+
+    monkeypatch.setattr(packing, "ready", lambda spark: spark)
+    monkeypatch.setattr(pyspark, "TaskContext", Own(get=lambda: Own(partitionId=lambda: 0)))
+    docs = Own(sparkSession=Own(sparkContext=Own(broadcast=lambda text: Own(value=text))))
+    docs.select = lambda *columns: Own(mapInArrow=lambda run, schema: run)
+    texts = ["w " * 1_000_000] + ["word of a text " * 1500] * 400
+    given = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    got = list(packing.pack(docs, PATH)(iter([given])))
+    ids = sum(sum(b.column("length").to_pylist()) for b in got)
+    assert ids == 1_000_001 + 400 * 6001 and max(b.nbytes for b in got) <= packing.HELD_BYTES + 4 * packing.WINDOW * (packing.GROUP + 1) + (1 << 18)
